@@ -68,8 +68,7 @@ JOBS_SCHEMA = _struct(
     raw_json=STR, created_at=TS, updated_at=TS,
 )
 
-# id is monotonic in the original table; here a skill row is identified by its job and its contents.
-JOB_SKILLS_SCHEMA = _struct(job_id=INT, skill_name=STR, skill_category=STR, is_required=BOOL)
+JOB_SKILLS_SCHEMA = _struct(id=INT, job_id=INT, skill_name=STR, skill_category=STR, is_required=BOOL)
 
 CAPTURE_SCHEMA = _struct(text=STR, url=STR, title=STR, contentLength=INT, capture_id=INT, ts=TS)
 

@@ -94,9 +94,10 @@ _SYNTAX_ONLY = ArrayType(StructType([StructField("source_url", StringType())]))
 
 
 def parse_posting(df: DataFrame, json_col: str = "json") -> DataFrame:
-    """Add `posting` (zero-filled document, NULL when refused) and `reject_reason` (NULL when accepted).
+    """Add `posting` (zero-filled document) and `reject_reason` (NULL when the document is accepted).
 
     A document of the wrong type is refused, and so is text after the object. Unknown keys are ignored.
+    Use `accepted` and `rejected` to split the result; a refused row's `posting` has no meaning.
     """
     text = F.col(json_col)
     typed = F.from_json(
@@ -106,19 +107,24 @@ def parse_posting(df: DataFrame, json_col: str = "json") -> DataFrame:
     )
     # As the only member of an array, an object followed by anything else no longer parses.
     alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), _SYNTAX_ONLY, _STRICT)) == 1
-    is_null = trim_decoder(text) == "null"
-    parsed = df.withColumn("_typed", typed).withColumn("_alone", F.coalesce(alone, F.lit(False)))
-    typed_ok = F.col("_typed").isNotNull() & F.col(f"_typed.{_CORRUPT}").isNull()
-    return (
-        parsed.withColumn(
-            "reject_reason",
-            F.when(F.coalesce(is_null, F.lit(False)), F.lit(None).cast("string"))
-            .when(is_blank(text), "empty response")
-            .when(~F.col("_alone"), "not a single JSON object")
-            .when(~typed_ok, "wrong type in a field"),
-        )
-        .withColumn("posting", F.when(F.col("reject_reason").isNull(), zero_filled(F.col("_typed"))))
-        .drop("_typed", "_alone")
+    # The one-row explode keeps the optimizer from copying the parse into every later use of its fields,
+    # which would parse the text once per use and make the plan grow without end.
+    once = F.struct(
+        typed.alias("doc"),
+        F.coalesce(alone, F.lit(False)).alias("alone"),
+        is_blank(text).alias("blank"),
+        F.coalesce(trim_decoder(text) == "null", F.lit(False)).alias("null"),
+    )
+    parsed = df.select(*df.columns, F.explode(F.array(once)).alias("_p"))
+    typed_ok = F.col("_p.doc").isNotNull() & F.col(f"_p.doc.{_CORRUPT}").isNull()
+    reason = (
+        F.when(F.col("_p.blank"), "empty response")
+        .when(F.col("_p.null"), None)
+        .when(~F.col("_p.alone"), "not a single JSON object")
+        .when(~typed_ok, "wrong type in a field")
+    )
+    return parsed.select(
+        *df.columns, reason.cast("string").alias("reject_reason"), zero_filled(F.col("_p.doc")).alias("posting")
     )
 
 
@@ -133,9 +139,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
 def resolve_source_url(df: DataFrame, setting: str = "source_url") -> DataFrame:
     """A non-empty URL given with the request replaces the one in the document."""
     chosen = F.when(is_blank(F.col(setting)), F.col("posting.source_url")).otherwise(F.col(setting))
-    return df.withColumn("posting", F.when(
-        F.col("posting").isNotNull(), F.col("posting").withField("source_url", chosen)
-    ))
+    return df.withColumn("posting", F.col("posting").withField("source_url", chosen))
 
 
 # ---------------------------------------------------------------- extraction
@@ -285,16 +289,14 @@ def flatten_posting(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def _with_category(names: Column, category: str) -> Column:
+    return F.transform(names, lambda s: F.struct(s.alias("skill_name"), F.lit(category).alias("skill_category")))
+
+
 def explode_skills(df: DataFrame, job_id: str = "job_id") -> DataFrame:
     """One job_skills row per non-empty skill name, categories in their fixed order, duplicates kept."""
     tech = F.col("posting.requirements.technical_skills")
-    tagged = [
-        F.transform(
-            list_or_empty(tech.getField(field)),
-            lambda s, c=category: F.struct(s.alias("skill_name"), F.lit(c).alias("skill_category")),
-        )
-        for field, category in zip(SKILL_FIELDS, CATEGORIES)
-    ]
+    tagged = [_with_category(list_or_empty(tech.getField(f)), c) for f, c in zip(SKILL_FIELDS, CATEGORIES)]
     rows = df.select(F.col(job_id).alias("job_id"), F.posexplode(F.concat(*tagged)).alias("pos", "skill"))
     return rows.filter(F.col("skill.skill_name") != "").select(
         F.xxhash64("job_id", "pos").alias("id"),

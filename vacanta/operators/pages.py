@@ -73,7 +73,9 @@ def _one_page(html: str, site: str, rules: dict) -> dict:
     head_title = markup.first(root, lambda n: n.tag == "title")
     body = markup.first(root, lambda n: n.tag == "body") or root
     out = {"page_title": markup.SPACES.sub(" ", markup.text_content(head_title)).strip(" ") if head_title else ""}
-    if site in rules:
+    if site == "remoterocketship":
+        out["body"] = markup.text_content(body, rules[site])
+    elif site in rules:
         spec = rules[site]
         for field in ("title", "salary", "company", "location"):
             found = [markup.first(root, m) for m in spec.get(field, [])]
@@ -82,8 +84,6 @@ def _one_page(html: str, site: str, rules: dict) -> dict:
         out["description"] = [markup.text_content(n, spec["description_drop"]) for n in found if n is not None]
         node = next((n for n in (markup.first(root, m) for m in spec["fallback"]) if n is not None), None)
         out["body"] = markup.text_content(node, spec["fallback_drop"]) if node is not None else ""
-    elif site == "remoterocketship":
-        out["body"] = markup.text_content(body, rules[site])
     else:
         out["body"] = markup.rendered(body)
     return out
@@ -95,10 +95,6 @@ def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") ->
     Adds page_title, body (whole-page or fallback text) and one array per field with the text of the first
     element of each selector that has one, in selector order.
     """
-    names = {
-        name: {k: [s for s in v] for k, v in spec.items()} for name, spec in SITE_RULES.items()
-    }
-    rocketship = list(ROCKETSHIP_DROP)
     kept = [f for f in pages.schema.fields if f.name != html]
     added = [StructField("page_title", StringType()), StructField("body", StringType())]
     added += [StructField(f, ArrayType(StringType())) for f in FIELDS]
@@ -107,9 +103,9 @@ def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = {
             name: {k: [markup.compile_selector(s) for s in v] for k, v in spec.items()}
-            for name, spec in names.items()
+            for name, spec in SITE_RULES.items()
         }
-        rules["remoterocketship"] = [markup.compile_selector(s) for s in rocketship]
+        rules["remoterocketship"] = [markup.compile_selector(s) for s in ROCKETSHIP_DROP]
         for batch in batches:
             rows = [_one_page(h, s, rules) for h, s in zip(batch[html], batch[site])]
             out = batch[keep_names].copy()

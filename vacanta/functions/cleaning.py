@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacanta.functions.text import BROWSER_SPACE, NOT_LINE_END, cut_at_marker, trim_browser
+from vacanta.functions.text import BROWSER_SPACE, FAST_BROWSER_SPACE, NOT_LINE_END, cut_at_marker, trim_browser
 
 NOT_SPACE = BROWSER_SPACE.replace("[", "[^", 1)
 LINE = NOT_LINE_END + "*"
@@ -62,27 +62,62 @@ LINKEDIN_CHAT_MARKER = "Close your conversation with"
 ROCKETSHIP_MARKERS = ["Similar Jobs", "Discover 100,000+ Remote Jobs"]
 
 
-def _apply(text: Column, rules) -> Column:
-    return reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), rules, text)
+# A text without any of these, in lower case, holds nothing that the rules of a group could remove, so the
+# group is skipped as a whole. Rules are never skipped one by one: a removal may create a later phrase.
+_MARKUP_RULES, _SPACE_RULE, _PHRASE_RULES = PAGE_RULES[:6], PAGE_RULES[6], PAGE_RULES[7:]
+_MARKUP_SIGNS = ["@font-face", "/*", "{", "http", ".woff", ".ttf", ".eot", "\n\n\n\n"]
+_PAGE_SIGNS = [
+    "discoverfind jobsfor recruiters", "copyright", "©", "cookie preferences", "browse by:", "similar jobs",
+    "find your dream remote job", "loved by ", "wall of love", "frequently asked questions",
+]
+_LINKEDIN_SIGNS = [
+    "skip to search", "keyboard shortcuts", " notifications total", "home my network jobs messaging notifications",
+    "show more options", "apply", "responses managed off linkedin",
+    "matches your job preferences", "no longer accepting applications", "job activity", "see more jobs like this",
+    "learn skills to get a new job", "looking for talent", "about accessibility", "status is online messaging",
+    "you are on the messaging overlay", "premium insights", "more jobs",
+    "get hired faster with the help of ai tools", "see how you compare to others",
+    "exclusive job seeker insights", "powered by bing",
+]
 
 
-def clean_text(text: Column) -> Column:
-    return trim_browser(_apply(text, PAGE_RULES))
+def _replace(text: Column, rules) -> Column:
+    return reduce(
+        lambda acc, rule: F.regexp_replace(acc, rule[0].replace(BROWSER_SPACE, FAST_BROWSER_SPACE), rule[1]), rules, text
+    )
 
 
-def strip_linkedin_phrases(cleaned: Column) -> Column:
-    """Second half of the LinkedIn clean-up, for text that already went through clean_text."""
-    return _apply(cleaned, LINKEDIN_RULES)
+def _replace_if(text: Column, signs, rules) -> Column:
+    lower = F.lower(text)
+    present = reduce(lambda acc, sign: acc | F.contains(lower, F.lit(sign)), signs, F.lit(False))
+    return F.when(present, _replace(text, rules)).otherwise(text)
 
 
-def clean_linkedin_text(text: Column) -> Column:
-    """Page clean-up, LinkedIn phrases, then a cut before the chat panel.
+def strip_markup(text: Column) -> Column:
+    """First part of the page clean-up: style remains, links, and long runs of whitespace."""
+    return _replace(_replace_if(text, _MARKUP_SIGNS, _MARKUP_RULES), [_SPACE_RULE])
 
-    The cut uses its input three times. A caller with much text should put strip_linkedin_phrases
-    in a column of its own first, as vacanta.operators.pages does.
-    """
-    return finish_linkedin(strip_linkedin_phrases(clean_text(text)))
+
+def strip_page_phrases(stripped: Column) -> Column:
+    """Second part of the page clean-up, for the result of strip_markup."""
+    return trim_browser(_replace_if(stripped, _PAGE_SIGNS, _PHRASE_RULES))
+
+
+def strip_linkedin_phrases(cleaned: Column) -> Column:
+    """Second half of the LinkedIn clean-up, for the result of clean_text."""
+    return _replace_if(cleaned, _LINKEDIN_SIGNS, LINKEDIN_RULES)
 
 
 def finish_linkedin(stripped: Column) -> Column:
     return trim_browser(cut_at_marker(stripped, LINKEDIN_CHAT_MARKER))
+
+
+def clean_text(text: Column) -> Column:
+    """The whole page clean-up. Each part reads its input more than once, so for much text put every
+    part in a column of its own, as vacanta.operators.pages.clean_columns does."""
+    return strip_page_phrases(strip_markup(text))
+
+
+def clean_linkedin_text(text: Column) -> Column:
+    """Page clean-up, LinkedIn phrases, then a cut before the chat panel."""
+    return finish_linkedin(strip_linkedin_phrases(clean_text(text)))

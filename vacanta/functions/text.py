@@ -13,19 +13,21 @@ DECODER_SPACE = (
     r"[\t\n\x0b\f\r \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
+BROWSER_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+DECODER_SPACE_CHARS = BROWSER_SPACE_CHARS.replace("\ufeff", "") + "\u0085"
 
-
-def _trim(col: Column, space: str) -> Column:
-    # Two anchored replacements: an alternation would be tried at every position of the text.
-    return F.regexp_replace(F.regexp_replace(col, rf"\A{space}+", ""), rf"(?<!{space}){space}+\z", "")
+# The browser's whitespace for Java alone: letters already fail the first, cheaper test.
+FAST_BROWSER_SPACE = rf"[\x00-\x20\x{{a0}}\x{{1680}}\x{{2000}}-\x{{feff}}&&{BROWSER_SPACE}]"
 
 
 def trim_browser(col: Column) -> Column:
-    return _trim(col, BROWSER_SPACE)
+    return F.btrim(col, F.lit(BROWSER_SPACE_CHARS))
 
 
 def trim_decoder(col: Column) -> Column:
-    return _trim(col, DECODER_SPACE)
+    return F.btrim(col, F.lit(DECODER_SPACE_CHARS))
 
 
 def utf16_length(col: Column) -> Column:

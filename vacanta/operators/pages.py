@@ -14,9 +14,10 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from vacanta.functions import markup
 from vacanta.functions.cleaning import (
     ROCKETSHIP_MARKERS,
-    clean_text,
     finish_linkedin,
     strip_linkedin_phrases,
+    strip_markup,
+    strip_page_phrases,
 )
 from vacanta.functions.postings import list_or_empty
 from vacanta.functions.text import cut_at_marker, or_default, trim_browser, utf16_length
@@ -201,7 +202,6 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
     """Cleaned posting text of each page by the rules of its site.
 
     Takes pages with `url` and `html` and returns all other columns plus site, page_title and text.
-    Each stage is a column of its own, so no chain of replacements is evaluated twice.
     """
     kept = [c for c in pages.columns if c != "html"]
     routed = pages.withColumn("site", route_source(F.col("url")))
@@ -213,17 +213,35 @@ def pages_to_text(pages: DataFrame) -> DataFrame:
         .when(F.col("site") == "remoterocketship", rocketship_cut(F.col("body")))
         .otherwise(F.col("body")),
     ).select(*kept, "site", "page_title", "_raw")
-    cleaned = raw.withColumn(
-        "_clean",
-        F.when(F.col("site").isin("generic", "greenhouse"), F.col("_raw")).otherwise(clean_text(F.col("_raw"))),
-    )
-    linkedin = F.col("site") == "linkedin"
-    phrased = cleaned.withColumn(
-        "_phrased", F.when(linkedin, strip_linkedin_phrases(F.col("_clean"))).otherwise(F.col("_clean"))
+    cleans = ~F.col("site").isin("generic", "greenhouse")
+    return clean_columns(raw, "_raw", "text", cleans, F.col("site") == "linkedin").drop("_raw")
+
+
+def clean_columns(df: DataFrame, source: str, target: str, page_rules: Column, linkedin_rules: Column) -> DataFrame:
+    """Cleaned text in `target`, for rows where a rule set applies; one column per part, so that no chain of
+    replacements is evaluated twice."""
+    parts = ["_stripped", "_cleaned", "_phrased"]
+
+    def where(rules: Column, part, name: str) -> Column:
+        return F.when(rules, part(F.col(name))).otherwise(F.col(name))
+
+    return (
+        df.withColumn(parts[0], where(page_rules, strip_markup, source))
+        .withColumn(parts[1], where(page_rules, strip_page_phrases, parts[0]))
+        .withColumn(parts[2], where(linkedin_rules, strip_linkedin_phrases, parts[1]))
+        .withColumn(target, where(linkedin_rules, finish_linkedin, parts[2]))
+        .drop(*parts)
     )
-    return phrased.withColumn(
-        "text", F.when(linkedin, finish_linkedin(F.col("_phrased"))).otherwise(F.col("_phrased"))
-    ).drop("_raw", "_clean", "_phrased")
+
+
+def clean_text(df: DataFrame, source: str = "text") -> DataFrame:
+    """The page clean-up over a text column."""
+    return clean_columns(df, source, source, F.lit(True), F.lit(False))
+
+
+def clean_linkedin_text(df: DataFrame, source: str = "text") -> DataFrame:
+    """The page and LinkedIn clean-up over a text column."""
+    return clean_columns(df, source, source, F.lit(True), F.lit(True))
 
 
 def wellfound_text(pages: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.functions import cleaning, rules, text, urls
+from vacanta.functions import rules, text, urls
 from vacanta.functions.postings import flat_skills, join_list, salary_text, skill_counts
 from vacanta.operators import analytics, changes, documents, listing, pages
 from vacanta.plans.reports import analytics_bundle
@@ -243,16 +243,12 @@ def cut_at_marker(spark, d):
 
 @query
 def clean_text(spark, d):
-    return planted_docs(spark, d).select("doc_id", cleaning.clean_text(F.col("text")).alias("text"))
+    return pages.clean_text(planted_docs(spark, d))
 
 
 @query
 def clean_linkedin_text(spark, d):
-    docs = planted_docs(spark, d, t.LINKEDIN_TEXT)
-    phrased = docs.select(
-        "doc_id", cleaning.strip_linkedin_phrases(cleaning.clean_text(F.col("text"))).alias("text")
-    )
-    return phrased.select("doc_id", cleaning.finish_linkedin(F.col("text")).alias("text"))
+    return pages.clean_linkedin_text(planted_docs(spark, d, t.LINKEDIN_TEXT))
 
 
 @query

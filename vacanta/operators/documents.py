@@ -189,14 +189,18 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
     """Add a `posting` read from the text by rules alone; every row is accepted."""
     stamp = F.lit("") if stamp is None else stamp
     text = F.coalesce(F.col(text_col), F.lit(""))
-    facts = df.withColumn("_words", rules.skill_words(text)).withColumns({
+    facts = df.withColumns({
+        "_words": rules.skill_words(text),
+        "_lower": F.lower(text),
         "_title": _line_after(text, "JOB TITLE"),
         "_place": _line_after(text, "LOCATION"),
-        "_years": rules.years_experience(text),
-        "_salary": rules.salary_range(text),
-        "_flags": rules.flags(text),
-        "_found": rules.known_skills(F.col("_words")),
+        "_years": rules.years_text(text),
+        "_salary": rules.salary_statement(text),
+    }).withColumns({
+        "_flags": rules.flags(text, F.col("_lower")),
+        "_found": rules.known_skills(F.col("_words"), F.col("_lower")),
     })
+    years, salary = rules.years_experience(F.col("_years")), rules.salary_range(F.col("_salary"))
     blank, empty, zero = F.lit(""), F.array().cast("array<string>"), F.lit(0).cast("bigint")
     values = {
         "metadata.job_title": F.col("_title"),
@@ -206,12 +210,12 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
         "company_info.company_name": _line_after(text, "COMPANY"),
         "company_info.location_full": F.col("_place"),
         "company_info.location_city": trim_decoder(F.regexp_extract(F.col("_place"), r"^([^,]*),", 1)),
-        "requirements.years_experience_min": F.col("_years.min"),
-        "requirements.years_experience_max": F.col("_years.max"),
+        "requirements.years_experience_min": years.getField("min"),
+        "requirements.years_experience_max": years.getField("max"),
         "requirements.technical_skills": rules.skills_by_category(F.col("_found")),
-        "compensation.salary_min": F.col("_salary.min"),
-        "compensation.salary_max": F.col("_salary.max"),
-        "compensation.salary_currency": F.col("_salary.currency"),
+        "compensation.salary_min": salary.getField("min"),
+        "compensation.salary_max": salary.getField("max"),
+        "compensation.salary_currency": salary.getField("currency"),
         "market_signals.urgency_level": rules.urgency(text),
         "extracted_at": stamp,
         "source_url": extract_url(text),
@@ -237,7 +241,7 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
         return F.struct(*parts)
 
     return facts.withColumn("posting", build(POSTING_SCHEMA, "")).drop(
-        "_words", "_title", "_place", "_years", "_salary", "_flags", "_found"
+        "_words", "_lower", "_title", "_place", "_years", "_salary", "_flags", "_found"
     )
 
 

@@ -248,7 +248,7 @@ job_function = first_match("title", FUNCTION_WORDS, "''")
 ORACLES["job_function"] = f"select doc_id, {job_function} as job_function from {RULE_DOCS}"
 ORACLES["salary_range"] = f"""
 select doc_id, {SALARY_SQL[0]} as salary_min, {SALARY_SQL[1]} as salary_max, {SALARY_SQL[2]} as currency from {RULE_DOCS}"""
-flag_columns = ", ".join(f"regexp_matches(text, {lit(p)}) as {name}" for name, p in FLAG_WORDS.items())
+flag_columns = ", ".join(f"regexp_matches(text, {lit(p)}) as {name}" for name, (p, _) in FLAG_WORDS.items())
 ORACLES["flags"] = f"select doc_id, {flag_columns} from {RULE_DOCS}"
 ORACLES["urgency"] = f"select doc_id, {URGENCY_SQL} as urgency from {RULE_DOCS}"
 
@@ -265,15 +265,15 @@ skill_columns = ", ".join(
 ORACLES["technical_skills"] = f"""
 with dictionary(field, spelled, name) as (values {spellings}),
 words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, w
-          from (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z.][A-Za-z0-9+#.]*'),
+          from (select doc_id, list_transform(regexp_extract_all(text, '[\\p{{L}}.][\\p{{L}}\\p{{N}}+#.]*'),
                                               lambda x: regexp_replace(x, '\\.+$', '')) as w from {RULE_DOCS})),
-offers as (select doc_id, word, 2 * i as pos from words
-           union all select doc_id, word || ' ' || w[i + 1], 2 * i - 1 from words where i < len(w)),
+offers as (select doc_id, word, i as pos from words
+           union all select doc_id, word || ' ' || w[i + 1], 1000000000 + i from words where i < len(w)),
 hits as (select doc_id, field, name, min(pos) as pos from offers join dictionary on word = spelled group by all)
 select doc_id, {skill_columns} from (select doc_id from documents) left join hits using (doc_id) group by doc_id"""
 ORACLES["rules_extract"] = f"""
 select doc_id, title, {SENIORITY_SQL} as seniority, 'Lyon' as city, {YEARS_SQL[0]} as years_min,
-       {SALARY_SQL[1]} as salary_max, regexp_matches(text, {lit(FLAG_WORDS['has_equity'])}) as has_equity,
+       {SALARY_SQL[1]} as salary_max, regexp_matches(text, {lit(FLAG_WORDS['has_equity'][0])}) as has_equity,
        {URGENCY_SQL} as urgency, 'https://x.example/a' as source_url from {RULE_DOCS}"""
 ORACLES["skill_count"] = WITH_MESSAGES + """
 select seq as ingest_seq, 7 + case when skill_cloud is null then 0 else 1 end as num_required, 2 as num_nice_to_have from m"""

@@ -9,7 +9,7 @@ from vacanta.operators import analytics, changes, documents, listing, pages
 from vacanta.plans.reports import analytics_bundle
 from vacanta.schemas import JOB_SKILLS_SCHEMA, JOBS_SCHEMA
 from vacanta.sources import files
-from vacanta.sources.scratch import scratch_dir
+from vacanta.sources.scratch import scratch_dir, written_once
 from vacanta.sources.store import JobStore
 from vacanta.streaming import streams
 from workload import tables as t
@@ -29,17 +29,17 @@ def moment(value: str = NOW):
 
 
 def planted_docs(spark, d, extra: str = t.PLANTED_TEXT) -> DataFrame:
-    return t.read(spark, d, "documents").select("doc_id", F.expr(extra).alias("text"))
+    return t.spread(spark, d, "documents").select("doc_id", F.expr(extra).alias("text"))
 
 
 def planted_pages(spark, d) -> DataFrame:
-    return t.read(spark, d, "pages").select(
+    return t.spread(spark, d, "pages").select(
         "page_id", F.expr(t.PLANTED_URL).alias("url"), F.expr(t.SITE_HTML).alias("html")
     )
 
 
 def site_pages(spark, d, prefix: str) -> DataFrame:
-    return t.read(spark, d, "pages").select(
+    return t.spread(spark, d, "pages").select(
         "page_id", F.concat(F.lit(prefix), F.col("page_id").cast("string")).alias("url"),
         F.expr(t.SITE_HTML).alias("html"),
     )
@@ -73,7 +73,7 @@ def read_pages(spark, d):
 
 
 def board_records(spark, d) -> DataFrame:
-    return t.read(spark, d, "pages").select(
+    return t.spread(spark, d, "pages").select(
         F.expr("regexp_extract(html, '<h1>(.*?)</h1>', 1)").alias("title"),
         F.col("html").alias("content"),
         F.struct(F.expr("case when page_id % 3 = 0 then '' else 'City ' || cast(page_id as string) end").alias("name"))
@@ -188,13 +188,13 @@ def one_space(col):
 
 @query
 def page_text(spark, d):
-    out = pages.page_text(t.read(spark, d, "pages").select("page_id", "html"))
+    out = pages.page_text(t.spread(spark, d, "pages").select("page_id", "html"))
     return out.select("page_id", one_space(F.col("text")).alias("text"))
 
 
 @query
 def drop_elements(spark, d):
-    source = t.read(spark, d, "pages").select("page_id", "html")
+    source = t.spread(spark, d, "pages").select("page_id", "html")
     return pages.drop_elements(source, ("script", "style", "nav", "footer", '[class*="ad"]'))
 
 
@@ -366,14 +366,14 @@ TITLE = """case doc_id % 8 when 0 then 'Senior Backend Engineer' when 1 then 'Sr
 
 
 def rule_docs(spark, d) -> DataFrame:
-    return t.read(spark, d, "documents").select(
+    return t.spread(spark, d, "documents").select(
         "doc_id", F.expr(TITLE).alias("title"), F.expr(RULE_TEXT).alias("text")
     )
 
 
 @query
 def years_experience(spark, d):
-    out = rule_docs(spark, d).select("doc_id", rules.years_experience(F.col("text")).alias("y"))
+    out = rule_docs(spark, d).select("doc_id", rules.years_experience(rules.years_text(F.col("text"))).alias("y"))
     return out.select("doc_id", F.col("y.min").alias("years_min"), F.col("y.max").alias("years_max"))
 
 
@@ -389,7 +389,8 @@ def job_function(spark, d):
 
 @query
 def salary_range(spark, d):
-    out = rule_docs(spark, d).select("doc_id", rules.salary_range(F.col("text")).alias("s"))
+    stated = rule_docs(spark, d).select("doc_id", rules.salary_statement(F.col("text")).alias("s"))
+    out = stated.select("doc_id", rules.salary_range(F.col("s")).alias("s"))
     return out.select(
         "doc_id", F.col("s.min").alias("salary_min"), F.col("s.max").alias("salary_max"),
         F.col("s.currency").alias("currency"),
@@ -398,15 +399,18 @@ def salary_range(spark, d):
 
 @query
 def technical_skills(spark, d):
-    words = rule_docs(spark, d).withColumn("words", rules.skill_words(F.col("text")))
-    found = words.select("doc_id", rules.known_skills(F.col("words")).alias("found"))
+    words = rule_docs(spark, d).select(
+        "doc_id", rules.skill_words(F.col("text")).alias("words"), F.lower("text").alias("lower")
+    )
+    found = words.select("doc_id", rules.known_skills(F.col("words"), F.col("lower")).alias("found"))
     s = found.select("doc_id", rules.skills_by_category(F.col("found")).alias("s"))
     return s.select("doc_id", *[F.array_join(f"s.{f}", "|").alias(f) for f in documents.SKILL_FIELDS])
 
 
 @query
 def flags(spark, d):
-    return rule_docs(spark, d).select("doc_id", rules.flags(F.col("text")).alias("f")).select("doc_id", "f.*")
+    docs = rule_docs(spark, d).withColumn("lower", F.lower("text"))
+    return docs.select("doc_id", rules.flags(F.col("text"), F.col("lower")).alias("f")).select("doc_id", "f.*")
 
 
 @query
@@ -477,7 +481,7 @@ def flat_skill_list(spark, d):
 
 def upserted(spark, d) -> tuple[DataFrame, DataFrame]:
     """Jobs and skills after two batches: all messages, then all again with changed values and some new URLs."""
-    sent = postings(spark, d)
+    sent = written_once(postings(spark, d), "sent")
     again = second_batch(sent)
     empty = spark.createDataFrame([], JOBS_SCHEMA)
     first = changes.upsert_jobs(empty, documents.flatten_posting(sent, ("ingest_seq",)), moment())
@@ -707,7 +711,7 @@ def ingest_stream(spark, d):
     """All messages as captures, then all again with changed values, each drained by the same stream."""
     base = scratch_dir(spark, "ingest")
     store = JobStore(spark, base + "/store", buckets=8)
-    sent = postings(spark, d)
+    sent = written_once(postings(spark, d), "sent")
     for batch in (sent, second_batch(sent)):
         batch.select(
             documents.posting_json(F.col("posting")).alias("text"), F.col("ingest_seq").alias("capture_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacanta.schemas import CHANGE_SCHEMA, JOBS_SCHEMA, POSTING_SCHEMA
+from vacanta.sources import files
 
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
@@ -119,8 +120,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    used = {name: read(spark, sf_dir, name) for name in GIVEN if "{" + name + "}" in text}
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for work that is heavy per row."""
+    return files.spread(read(spark, sf_dir, name))
+
+
+def derived(spark: SparkSession, sf_dir: str, text: str, heavy: str = "") -> DataFrame:
+    """The rows of a text above; `heavy` names the given table whose rows carry heavy work."""
+    used = {
+        name: (spread if name == heavy else read)(spark, sf_dir, name) for name in GIVEN if "{" + name + "}" in text
+    }
     return spark.sql(text, **used)
 
 
@@ -147,7 +156,7 @@ def job_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, MESSAGES)
+    return derived(spark, sf_dir, MESSAGES, heavy="orders")
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

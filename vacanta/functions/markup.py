@@ -16,6 +16,7 @@ BLOCK = PARAGRAPH_ENDERS | {"body", "dd", "dt", "html", "li", "tr", "caption", "
 HIDDEN = {"head", "script", "style", "title", "template", "noscript", "datalist", "meta", "link", "option"}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 CELL_END = ("\t", True)
+UNFINISHED_TAG = re.compile(r"</?[a-zA-Z][^>]*")
 
 
 class Node:
@@ -69,8 +70,12 @@ class _Tree(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    html = html or ""
+    last = html.rfind("<")
+    if UNFINISHED_TAG.fullmatch(html, last if last >= 0 else len(html)):
+        html = html[:last]
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(html)
     tree.close()
     return tree.root
 

@@ -26,11 +26,11 @@ def texts_of(spark, url, *htmls):
     ("<b>a<p>b</b>c</p>d", "a\n\nbc\n\nd"),
 ])
 def test_rendered(html, want):
-    assert markup.rendered(markup.parse(html)) == want
+    assert markup.rendered(markup.parse(html)[0]) == want
 
 
 def test_text_content_keeps_scripts_unless_dropped():
-    root = markup.parse("<div>a<script>b</script><p class='x similar y'>c</p><!-- d --></div>")
+    root, _ = markup.parse("<div>a<script>b</script><p class='x similar y'>c</p><!-- d --></div>")
     assert markup.text_content(root) == "abc"
     drop = [markup.compile_selector(s) for s in ("script", '[class*="similar"]')]
     assert markup.text_content(root, drop) == "a"
@@ -41,11 +41,11 @@ def test_text_content_keeps_scripts_unless_dropped():
     ("h1.k", None), ("section main", None),
 ])
 def test_selectors(selector, found):
-    root = markup.parse(
+    _, nodes = markup.parse(
         "<h1>1</h1><div class='a k'>2</div><p class=k>3</p><i class='x_long-name_y'>4</i><i id='consent'>5</i>"
         "<section>0</section><main><div><section>6</section></div></main>"
     )
-    node = markup.first(root, markup.compile_selector(selector))
+    node = markup.first(nodes, markup.compile_selector(selector))
     assert (markup.text_content(node) if node else None) == found
 
 
@@ -94,6 +94,17 @@ def test_generic_page_is_not_cleaned(spark):
     assert texts_of(spark, "https://x.example/", "<body><p>a {b}</p>Similar Jobs c</body>") == ["a {b}\n\nSimilar Jobs c"]
 
 
+def test_board_links(spark):
+    frame = "<iframe></iframe><iframe src='https://boards.greenhouse.io/embed?for=acme'></iframe>"
+    df = spark.createDataFrame(
+        [(1, "https://x.example/?gh_jid=5", frame), (2, "https://x.example/?gh_jid=6", ""),
+         (3, "https://boards.greenhouse.io/beta/jobs/7", frame), (4, "https://x.example/", frame)],
+        "page_id bigint, url string, html string",
+    )
+    got = [tuple(r) for r in pages.board_links(df).select("page_id", "job_id", "board_token").orderBy("page_id").collect()]
+    assert got == [(1, "5", "acme"), (2, "6", None), (3, "7", "beta")]
+
+
 def test_board_text(spark):
     df = spark.createDataFrame(
         [("Dev", "&lt;p&gt;x", ("",), None, "u", None), ("Ops", "<p>a</p><p>b</p>", ("Oslo",), [("A",), (None,)], "v", "w")],

@@ -30,6 +30,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.top = Node("html", {}, None)
+        self.nodes = []
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -40,6 +41,7 @@ class _Tree(HTMLParser):
             self._close(*SELF_ENDERS[tag])
         node = Node(tag, {k: v or "" for k, v in attrs}, self.top)
         self.top.items.append(node)
+        self.nodes.append(node)
         if tag not in VOID:
             self.top = node
 
@@ -69,28 +71,16 @@ class _Tree(HTMLParser):
         self.top.items.append(data)
 
 
-def parse(html: str) -> Node:
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """The root and all elements in document order."""
     html = html or ""
     last = html.rfind("<")
-    if UNFINISHED_TAG.fullmatch(html, last if last >= 0 else len(html)):
+    if last >= 0 and UNFINISHED_TAG.fullmatch(html, last):
         html = html[:last]
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return tree.root
-
-
-def walk(node):
-    """All elements below a node in document order, without recursion."""
-    stack = [iter(node.items)]
-    while stack:
-        for item in stack[-1]:
-            if isinstance(item, Node):
-                yield item
-                stack.append(iter(item.items))
-                break
-        else:
-            stack.pop()
+    return tree.root, tree.nodes
 
 
 def compile_selector(selector: str):
@@ -99,14 +89,18 @@ def compile_selector(selector: str):
     tag, klass, attr, part = re.fullmatch(
         r'([a-z0-9]*)(?:\.([\w-]+))?(?:\[(\w+)\*="([^"]*)"\])?', last
     ).groups()
+    needs_attrs = bool(klass or attr)
 
     def matches(node):
         if tag and node.tag != tag:
             return False
-        if klass and klass not in node.attrs.get("class", "").split():
-            return False
-        if attr and part not in node.attrs.get(attr, ""):
-            return False
+        if needs_attrs:
+            if not node.attrs:
+                return False
+            if klass and klass not in node.attrs.get("class", "").split():
+                return False
+            if attr and part not in node.attrs.get(attr, ""):
+                return False
         up = node.parent
         for name in reversed(outer):
             while up is not None and up.tag != name:
@@ -119,8 +113,8 @@ def compile_selector(selector: str):
     return matches
 
 
-def first(root: Node, matches):
-    return next((node for node in walk(root) if matches(node)), None)
+def first(nodes: list[Node], matches):
+    return next((node for node in nodes if matches(node)), None)
 
 
 def text_content(node: Node, drop=()) -> str:

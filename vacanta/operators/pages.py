@@ -21,7 +21,7 @@ from vacanta.functions.cleaning import (
 )
 from vacanta.functions.postings import list_or_empty
 from vacanta.functions.text import cut_at_marker, or_default, trim_browser, utf16_length
-from vacanta.functions.urls import route_source
+from vacanta.functions.urls import board_ids, board_token_from_frames, route_source
 
 # Selectors per site and field in the order they are tried, and the elements dropped
 # from a description before its text is taken.
@@ -70,20 +70,21 @@ SITE_RULES = {"wellfound": WELLFOUND, "linkedin": LINKEDIN}
 
 def _one_page(html: str, site: str, rules: dict) -> dict:
     """Candidate texts of one page under one site's rules."""
-    root = markup.parse(html)
-    head_title = markup.first(root, lambda n: n.tag == "title")
-    body = markup.first(root, lambda n: n.tag == "body") or root
+    root, nodes = markup.parse(html)
+    head_title = markup.first(nodes, lambda n: n.tag == "title")
+    body = markup.first(nodes, lambda n: n.tag == "body") or root
     out = {"page_title": markup.SPACES.sub(" ", markup.text_content(head_title)).strip(" ") if head_title else ""}
+    out["frames"] = [n.attrs["src"] for n in nodes if n.tag == "iframe" and n.attrs.get("src")]
     if site == "remoterocketship":
         out["body"] = markup.text_content(body, rules[site])
     elif site in rules:
         spec = rules[site]
         for field in ("title", "salary", "company", "location"):
-            found = [markup.first(root, m) for m in spec.get(field, [])]
+            found = [markup.first(nodes, m) for m in spec.get(field, [])]
             out[field] = [markup.rendered(n) for n in found if n is not None]
-        found = [markup.first(root, m) for m in spec["description"]]
+        found = [markup.first(nodes, m) for m in spec["description"]]
         out["description"] = [markup.text_content(n, spec["description_drop"]) for n in found if n is not None]
-        node = next((n for n in (markup.first(root, m) for m in spec["fallback"]) if n is not None), None)
+        node = next((n for n in (markup.first(nodes, m) for m in spec["fallback"]) if n is not None), None)
         out["body"] = markup.text_content(node, spec["fallback_drop"]) if node is not None else ""
     else:
         out["body"] = markup.rendered(body)
@@ -93,12 +94,12 @@ def _one_page(html: str, site: str, rules: dict) -> dict:
 def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") -> DataFrame:
     """Replace the HTML column by the texts found under the rules of each page's site.
 
-    Adds page_title, body (whole-page or fallback text) and one array per field with the text of the first
-    element of each selector that has one, in selector order.
+    Adds page_title, body (whole-page or fallback text), frames (addresses of embedded pages) and one array per
+    field with the text of the first element of each selector that has one, in selector order.
     """
     kept = [f for f in pages.schema.fields if f.name != html]
     added = [StructField("page_title", StringType()), StructField("body", StringType())]
-    added += [StructField(f, ArrayType(StringType())) for f in FIELDS]
+    added += [StructField(f, ArrayType(StringType())) for f in [*FIELDS, "frames"]]
     keep_names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +113,7 @@ def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") ->
             out = batch[keep_names].copy()
             out["page_title"] = [r["page_title"] for r in rows]
             out["body"] = [r["body"] for r in rows]
-            for field in FIELDS:
+            for field in [*FIELDS, "frames"]:
                 out[field] = [r.get(field) for r in rows]
             yield out
 
@@ -125,8 +126,8 @@ def page_text(pages: DataFrame, mode: str = "rendered", drop: tuple[str, ...] =
     keep_names = [f.name for f in kept]
 
     def one(source, tests):
-        root = markup.parse(source)
-        body = markup.first(root, lambda n: n.tag == "body") or root
+        root, nodes = markup.parse(source)
+        body = markup.first(nodes, lambda n: n.tag == "body") or root
         return markup.rendered(body) if mode == "rendered" else markup.text_content(body, tests)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,6 +257,19 @@ def rocketship_text(pages: DataFrame) -> DataFrame:
     return pages_to_text(pages).filter(F.col("site") == "remoterocketship")
 
 
+def board_links(pages: DataFrame) -> DataFrame:
+    """Board token and job id of the pages that show a job-board posting.
+
+    The token stands in the page's own URL or, for an embedded posting, in the first frame that names one; it
+    is NULL when neither does.
+    """
+    ids = pages.withColumn("_board", board_ids(F.col("url"))).filter(F.col("_board").isNotNull())
+    framed = page_candidates(ids.withColumn("site", F.lit("greenhouse")))
+    token = F.coalesce(F.col("_board.board_token"), board_token_from_frames(F.col("frames")))
+    kept = [c for c in pages.columns if c != "html"]
+    return framed.select(*kept, F.col("_board.job_id").alias("job_id"), token.alias("board_token"))
+
+
 def board_text(jobs: DataFrame) -> DataFrame:
     """Posting text of job-board records; the description is the raw text of their HTML content."""
     departments = F.array_join(

@@ -87,6 +87,10 @@ select page_id, case when page_id % 6 = 0 then 'acme' || page_id end as board_to
 ORACLES["board_token_from_frames"] = """
 select page_id, case when page_id % 3 = 0 then 'co' || page_id else 'none' end as board_token from pages"""
 
+ORACLES["board_links"] = """
+select page_id, cast(page_id as varchar) as job_id, case when page_id % 2 = 0 then 'co' || page_id else 'none' end as board_token
+from pages"""
+
 # ---------------------------------------------------------------- pages to text
 
 

@@ -9,7 +9,7 @@ from vacanta.operators import analytics, changes, documents, listing, pages
 from vacanta.plans.reports import analytics_bundle
 from vacanta.schemas import JOB_SKILLS_SCHEMA, JOBS_SCHEMA
 from vacanta.sources import files
-from vacanta.sources.scratch import scratch_dir, written_once
+from vacanta.sources.scratch import scratch_dir, write_scratch
 from vacanta.sources.store import JobStore
 from vacanta.streaming import streams
 from workload import tables as t
@@ -179,6 +179,17 @@ def board_token_from_frames(spark, d):
     )
 
 
+@query
+def board_links(spark, d):
+    frame = F.expr("""case when page_id % 2 = 0 then '<iframe src="https://boards.greenhouse.io/embed/job_app?for=co'
+        || cast(page_id as string) || '&amp;token=1"></iframe>' else '' end""")
+    embedded = F.expr("'https://careers.example.com/jobs?gh_jid=' || cast(page_id as string)")
+    source = t.spread(spark, d, "pages").select(
+        "page_id", embedded.alias("url"), F.replace("html", F.lit("<nav>"), F.concat(frame, F.lit("<nav>"))).alias("html")
+    )
+    return pages.board_links(source).select("page_id", "job_id", F.coalesce("board_token", F.lit("none")).alias("board_token"))
+
+
 # ---------------------------------------------------------------- pages to text
 
 
@@ -481,7 +492,7 @@ def flat_skill_list(spark, d):
 
 def upserted(spark, d) -> tuple[DataFrame, DataFrame]:
     """Jobs and skills after two batches: all messages, then all again with changed values and some new URLs."""
-    sent = written_once(postings(spark, d), "sent")
+    sent = write_scratch(postings(spark, d), scratch_dir(spark, "sent"))
     again = second_batch(sent)
     empty = spark.createDataFrame([], JOBS_SCHEMA)
     first = changes.upsert_jobs(empty, documents.flatten_posting(sent, ("ingest_seq",)), moment())
@@ -711,7 +722,7 @@ def ingest_stream(spark, d):
     """All messages as captures, then all again with changed values, each drained by the same stream."""
     base = scratch_dir(spark, "ingest")
     store = JobStore(spark, base + "/store", buckets=8)
-    sent = written_once(postings(spark, d), "sent")
+    sent = write_scratch(postings(spark, d), scratch_dir(spark, "sent"))
     for batch in (sent, second_batch(sent)):
         batch.select(
             documents.posting_json(F.col("posting")).alias("text"), F.col("ingest_seq").alias("capture_id")

@@ -24,6 +24,12 @@ def texts_of(spark, url, *htmls):
     ("&lt;a&gt; &amp; b", "<a> & b"),
     ("x</div></span> y <p", "x y"),
     ("<b>a<p>b</b>c</p>d", "a\n\nbc\n\nd"),
+    ("a<!-- x > y -->b<!-->c<!doctype x>d<?php e ?>f", "abcdf"),
+    ("a < b <3 c</ x>d", "a < b <3 cd"),
+    ("<p title='a>b'>c<p title=it's>d<img alt=\"x", "c\n\nd"),
+    ("<script>if (a</b>c) '</p>'</SCRIPT >x<title>&lt;</title>", "x"),
+    ("<DIV>a</DIV>\r\nb\rc", "a\nb c"),
+    ("x<script>never closed <p>y", "x"),
 ])
 def test_rendered(html, want):
     assert markup.rendered(markup.parse(html)[0]) == want
@@ -34,6 +40,16 @@ def test_text_content_keeps_scripts_unless_dropped():
     assert markup.text_content(root) == "abc"
     drop = [markup.compile_selector(s) for s in ("script", '[class*="similar"]')]
     assert markup.text_content(root, drop) == "a"
+    root, _ = markup.parse("<title>&lt;t&gt;</title><style>p>a &lt;{}</style>")
+    assert markup.text_content(root) == "<t>p>a &lt;{}"
+
+
+def test_attributes():
+    assert markup.attributes(" class='a b' ID=x data-x=\"&quot;\" class=late checked src = /y/z?q=1&amp;r") == {
+        "class": "a b", "id": "x", "data-x": '"', "src": "/y/z?q=1&r",
+    }
+    root, _ = markup.parse("<p " + "a'" * 50000 + ">x")
+    assert markup.text_content(root) == "x"
 
 
 @pytest.mark.parametrize("selector, found", [

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacanta.functions.text import strip_fences
-from vacanta.operators import changes, documents
+from vacanta.operators import changes, documents, listing, pages
 from vacanta.plans.ingest import ingest_batch
+from vacanta.plans.reports import analytics_bundle
 from vacanta.schemas import CAPTURE_SCHEMA, CHANGE_SCHEMA
 from vacanta.sources import files
 from vacanta.sources.store import JobStore
@@ -162,6 +163,26 @@ def test_a_capture_after_the_period_is_new(spark, tmp_path):
     assert run_first(spark, tmp_path, [rows], streams.GENERIC_PERIOD) == ["first", "next"]
 
 
+def test_from_pages_to_reports(spark, tmp_path):
+    page = "<title>t</title><body><h1>%s</h1><div class='topcard__flavor'>ACME</div><article>%s</article></body>"
+    text = "5+ years of Python and Docker. $90,000 - $120,000. " * 5
+    rows = [(1, "https://linkedin.com/jobs/view/1", page % ("Senior Data Engineer", text)),
+            (2, "https://linkedin.com/jobs/view/2", page % ("Backend Developer", "Go or Rust, ASAP. " * 15)),
+            (3, "https://linkedin.com/jobs/view/1", page % ("Staff Data Engineer", text))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    captures_df = pages.capture_envelope(pages.pages_to_text(df))
+    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
+    ingest_batch(captures_df, documents.rules_extract, store, NOW, "page_id")
+    jobs = {r.source_url[-1]: r for r in store.jobs().collect()}
+    assert (jobs["1"].job_title, jobs["1"].company_name, jobs["1"].salary_max) == ("Staff Data Engineer", "ACME", 120000)
+    assert (jobs["2"].job_function, jobs["2"].urgency_level) == ("Backend", "Urgent")
+    bundle = analytics_bundle(store.jobs(), store.skills())
+    assert bundle["status_stats"].first().saved == 2
+    assert {r.skill_name for r in bundle["skills_by_status"].collect()} == {"Python", "Docker", "Go", "Rust"}
+    report = listing.job_report(listing.get_jobs(store.jobs())).filter("title = 'Staff Data Engineer'").first()
+    assert report.salary == "90000–120000 USD" and report.skills == "Python, Docker"
+
+
 def test_store_rekeys_imported_tables(spark, tmp_path):
     from workload import tables as t
 

@@ -1,7 +1,7 @@
 """Small per-page helper for the one Python stage: HTML to a light tree, first match, element text."""
 
 import re
-from html.parser import HTMLParser
+from html import unescape
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PARAGRAPH_ENDERS = {
@@ -13,10 +13,28 @@ SELF_ENDERS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd":
                "option": ({"option"}, {"select"})}
 FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 BLOCK = PARAGRAPH_ENDERS | {"body", "dd", "dt", "html", "li", "tr", "caption", "figcaption", "summary"}
-HIDDEN = {"head", "script", "style", "title", "template", "noscript", "datalist", "meta", "link", "option"}
+HIDDEN = {
+    "head", "script", "style", "title", "template", "noscript", "datalist", "meta", "link", "option", "iframe", "noembed",
+    "noframes",
+}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 CELL_END = ("\t", True)
-UNFINISHED_TAG = re.compile(r"</?[a-zA-Z][^>]*")
+NO_ATTRS = {}
+# A comment, a tag with well-quoted attributes, any other tag, or a declaration. Possessive, so that odd quotes
+# cost one pass.
+MARKUP = re.compile(
+    r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))
+    |(?P<end>/)?(?:(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
+                  |(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z))
+    |[!?/][^>]*+(?:>|\Z))""",
+    re.S | re.X,
+)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+DECODED = {"textarea", "title"}
+RAW_TEXT = {
+    name: re.compile(rf"</{name}(?=[\s/>])", re.I)
+    for name in ("script", "style", "iframe", "noembed", "noframes", "xmp", "textarea", "title")
+}
 
 
 class Node:
@@ -26,37 +44,33 @@ class Node:
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
 
 
-class _Tree(HTMLParser):
+class _Tree:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.top = Node("html", {}, None)
+        self.root = self.top = Node("html", NO_ATTRS, None)
         self.nodes = []
 
-    def handle_starttag(self, tag, attrs):
+    def open(self, tag, attrs):
         if tag == "html":
             return
         if tag in PARAGRAPH_ENDERS:
-            self._close({"p"}, {"table", "td", "th", "button", "li"})
+            self._close_nearest({"p"}, {"table", "td", "th", "button", "li"})
         if tag in SELF_ENDERS:
-            self._close(*SELF_ENDERS[tag])
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.top)
+            self._close_nearest(*SELF_ENDERS[tag])
+        node = Node(tag, attributes(attrs) if "=" in attrs else NO_ATTRS, self.top)
         self.top.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.top = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def _close(self, tags, fences):
-        """Close the nearest open element among `tags`, not looking past a fence."""
+    def _close_nearest(self, tags, fences):
+        """Close the open elements among `tags`, not looking past a fence."""
         node = self.top
         while node.parent is not None and node.tag not in fences:
             if node.tag in tags:
                 self.top = node.parent
             node = node.parent
 
-    def handle_endtag(self, tag):
+    def close(self, tag):
         if tag in ("html", "body"):
             return
         node, crossed_block = self.top, False
@@ -67,19 +81,44 @@ class _Tree(HTMLParser):
         if node.parent is not None and not (tag in FORMATTING and crossed_block):
             self.top = node.parent
 
-    def handle_data(self, data):
-        self.top.items.append(data)
+    def text(self, data):
+        if data:
+            self.top.items.append(unescape(data) if "&" in data else data)
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Attributes of a tag; of a repeated one the first counts."""
+    found = {}
+    for name, double, single, bare in ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), unescape(double or single or bare))
+    return found
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
-    """The root and all elements in document order."""
-    html = html or ""
-    last = html.rfind("<")
-    if last >= 0 and UNFINISHED_TAG.fullmatch(html, last):
-        html = html[:last]
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    """The root and all elements in document order. A tag cut off by the end of the page is ignored."""
+    html = (html or "").replace("\r\n", "\n").replace("\r", "\n")
+    tree, pos = _Tree(), 0
+    while found := MARKUP.search(html, pos):
+        tree.text(html[pos:found.start()])
+        pos = found.end()
+        name = found["name"] or found["loose"]
+        if name is None or html[pos - 1] != ">":
+            continue
+        name = name.lower()
+        if found["end"]:
+            tree.close(name)
+            continue
+        tree.open(name, found["attrs"] or found["rest"] or "")
+        if name in RAW_TEXT:
+            stop = RAW_TEXT[name].search(html, pos)
+            until = stop.start() if stop else len(html)
+            inside = html[pos:until]
+            if name in DECODED:
+                tree.text(inside)
+            elif inside:
+                tree.top.items.append(inside)
+            pos = until
+    tree.text(html[pos:])
     return tree.root, tree.nodes
 
 

@@ -152,12 +152,15 @@ ModelFn = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 
 def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None) -> DataFrame:
-    """Run a model over request rows (text, source_url, provider, model) and parse its answers.
+    """Run a model over request rows and parse its answers.
 
+    Rows have `text` and may have `source_url`, `provider` and `model`; blank ones get their defaults.
     `fn(prompts, providers, models)` gets one Arrow batch as pandas Series and returns the responses.
     A batch is retried when its executor is lost, so write the result once before using it twice.
     """
     stamp = local_stamp(F.current_timestamp()) if stamp is None else stamp
+    missing = [c for c in ("source_url", "provider", "model") if c not in requests.columns]
+    requests = requests.withColumns({c: F.lit("") for c in missing})
     provider = F.when(F.col("provider") == CLOUD_PROVIDER, CLOUD_PROVIDER).otherwise("ollama")
     default = F.when(F.col("provider") == CLOUD_PROVIDER, DEFAULT_MODELS[CLOUD_PROVIDER]).otherwise(
         DEFAULT_MODELS["ollama"]
@@ -186,7 +189,7 @@ def _line_after(text: Column, label: str) -> Column:
 
 
 def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None = None) -> DataFrame:
-    """Add a `posting` read from the text by rules alone; every row is accepted."""
+    """Add a `posting` read from the text by rules alone; every row is accepted (`reject_reason` is NULL)."""
     stamp = F.lit("") if stamp is None else stamp
     text = F.coalesce(F.col(text_col), F.lit(""))
     facts = df.withColumns({
@@ -240,7 +243,8 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
             parts.append(part.alias(field.name))
         return F.struct(*parts)
 
-    return facts.withColumn("posting", build(POSTING_SCHEMA, "")).drop(
+    done = facts.withColumns({"posting": build(POSTING_SCHEMA, ""), "reject_reason": F.lit(None).cast("string")})
+    return done.drop(
         "_words", "_lower", "_title", "_place", "_years", "_salary", "_flags", "_found"
     )
 

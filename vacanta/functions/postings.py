@@ -9,21 +9,28 @@ from vacanta.schemas import POSTING_SCHEMA, SKILL_FIELDS
 NO_STRINGS = "array<string>"
 
 
-def zero_filled(col: Column, schema: StructType = POSTING_SCHEMA) -> Column:
-    """The document with '', 0 and false for missing scalars. Missing lists stay NULL."""
-    return F.struct(*[_zero_field(col.getField(f.name), f.dataType).alias(f.name) for f in schema.fields])
+def zero_filled(path: str, schema: StructType = POSTING_SCHEMA) -> Column:
+    """The document at a column path with '', 0 and false for missing scalars. Missing lists stay NULL.
 
+    Written as one SQL text, since building some three hundred column objects takes seconds.
+    """
+    return F.expr(_zero_struct(path, schema))
 
-def _zero_field(col: Column, kind) -> Column:
+
+def _zero_struct(path: str, schema: StructType) -> str:
+    return f"named_struct({', '.join(f"'{f.name}', {_zero_field(f'{path}.{f.name}', f.dataType)}" for f in schema.fields)})"
+
+
+def _zero_field(path: str, kind) -> str:
     if isinstance(kind, StructType):
-        return zero_filled(col, kind)
+        return _zero_struct(path, kind)
     if isinstance(kind, ArrayType):
-        return F.transform(col, lambda x: F.coalesce(x, F.lit("")))
+        return f"transform({path}, x -> coalesce(x, ''))"
     if isinstance(kind, LongType):
-        return F.coalesce(col, F.lit(0).cast("bigint"))
+        return f"coalesce({path}, 0L)"
     if isinstance(kind, BooleanType):
-        return F.coalesce(col, F.lit(False))
-    return F.coalesce(col, F.lit(""))
+        return f"coalesce({path}, false)"
+    return f"coalesce({path}, '')"
 
 
 def list_or_empty(col: Column) -> Column:

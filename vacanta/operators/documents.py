@@ -124,7 +124,7 @@ def parse_posting(df: DataFrame, json_col: str = "json") -> DataFrame:
         .when(~typed_ok, "wrong type in a field")
     )
     return parsed.select(
-        *df.columns, reason.cast("string").alias("reject_reason"), zero_filled(F.col("_p.doc")).alias("posting")
+        *df.columns, reason.cast("string").alias("reject_reason"), zero_filled("_p.doc").alias("posting")
     )
 
 

@@ -176,34 +176,35 @@ _FROM_MESSAGE = {
 }
 
 
-def posting_of(message_schema=POSTING_SCHEMA, prefix: str = "") -> Column:
-    """The nested document of a message row. Fields without a value are left NULL, as in a sparse answer."""
-    lists = {
-        "role_details.key_responsibilities": F.array("duty1", "duty2"),
-        "requirements.technical_skills.programming_languages": F.array(F.col("skill_lang"), F.lit("")),
-        "requirements.technical_skills.frameworks": F.array("skill_framework"),
-        "requirements.technical_skills.databases": F.array("skill_db"),
-        "requirements.technical_skills.cloud_platforms": F.when(
-            F.col("skill_cloud").isNotNull(), F.array("skill_cloud")
-        ),
-        "requirements.technical_skills.devops_tools": F.array("skill_devops"),
-        "requirements.technical_skills.other": F.array("skill_lang", "skill_lang"),
-        "requirements.nice_to_have": F.array("duty2", "duty1"),
-        "compensation.benefits": F.array("duty1", "duty1"),
-    }
+_LISTS_FROM_MESSAGE = {
+    "role_details.key_responsibilities": "array(duty1, duty2)",
+    "requirements.technical_skills.programming_languages": "array(skill_lang, '')",
+    "requirements.technical_skills.frameworks": "array(skill_framework)",
+    "requirements.technical_skills.databases": "array(skill_db)",
+    "requirements.technical_skills.cloud_platforms": "case when skill_cloud is not null then array(skill_cloud) end",
+    "requirements.technical_skills.devops_tools": "array(skill_devops)",
+    "requirements.technical_skills.other": "array(skill_lang, skill_lang)",
+    "requirements.nice_to_have": "array(duty2, duty1)",
+    "compensation.benefits": "array(duty1, duty1)",
+}
+
+
+def _document(schema, prefix: str = "") -> str:
     parts = []
-    for field in message_schema.fields:
+    for field in schema.fields:
         path = prefix + field.name
-        if path in _FROM_MESSAGE:
-            part = F.col(_FROM_MESSAGE[path])
-        elif path in lists:
-            part = lists[path]
-        elif field.dataType.typeName() == "struct":
-            part = posting_of(field.dataType, path + ".")
+        if field.dataType.typeName() == "struct":
+            value = _document(field.dataType, path + ".")
         else:
-            part = F.lit(None)
-        parts.append(part.cast(field.dataType).alias(field.name))
-    return F.struct(*parts)
+            value = _FROM_MESSAGE.get(path) or _LISTS_FROM_MESSAGE.get(path) or "null"
+            value = f"cast({value} as {field.dataType.simpleString()})"
+        parts.append(f"'{field.name}', {value}")
+    return f"named_struct({', '.join(parts)})"
+
+
+def posting_of() -> Column:
+    """The nested document of a message row. Fields without a value are left NULL, as in a sparse answer."""
+    return F.expr(_document(POSTING_SCHEMA))
 
 
 def posting_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,14 +123,14 @@ def test_board_token_from_frames(spark):
 
 
 def test_years(values):
-    fn = lambda c: rules.years_experience(rules.years_text(c))
+    fn = lambda c: rules.years_experience(rules.years_text(c, F.lower(c)))
     cases = ["3-5 years", "5+ years of", "2 to 4 yrs", "7 years", "none", "100 years", "10–12+ Years", None]
     got = [tuple(v) for v in values(fn, cases)]
     assert got == [(3, 5), (5, 0), (2, 4), (7, 0), (0, 0), (0, 0), (10, 12), (0, 0)]
 
 
 def test_salary(values):
-    fn = lambda c: rules.salary_range(rules.salary_statement(c))
+    fn = lambda c: rules.salary_range(rules.salary_statement(c, F.lower(c)))
     cases = ["€80k-100k", "$90,000 - $120,000", "GBP 50-60k", "£45k to £50k", "80000 - 90000", "USD 100000–120000"]
     got = [tuple(v) for v in values(fn, cases)]
     assert got == [
@@ -165,4 +165,4 @@ def test_every_flag_piece_is_part_of_its_words(values):
     assert all(got[i][name] for i, name in enumerate(names))
     # Pieces alone state nothing.
     assert not any(values(lambda c: rules.flags(c, F.lower(c)), ["homework, plans, paid, budgets, pursue, 4010"])[0])
-    assert values(rules.urgency, ["ASAP", "hiring immediately", "insurgent"]) == ["Urgent", "Urgent", "Standard"]
+    assert values(lambda c: rules.urgency(c, F.lower(c)), ["ASAP", "hiring immediately", "insurgent"]) == ["Urgent", "Urgent", "Standard"]

@@ -185,7 +185,9 @@ def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None)
 
 
 def _line_after(text: Column, label: str) -> Column:
-    return trim_decoder(F.regexp_extract(text, rf"(?:^|\n){label}:([^\n]*)", 1))
+    """The rest of the first line that starts with a label, '' when there is none."""
+    after = F.split_part(F.concat(F.lit("\n"), text), F.lit(f"\n{label}:"), F.lit(2))
+    return trim_decoder(F.substring_index(after, "\n", 1))
 
 
 def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None = None) -> DataFrame:
@@ -197,9 +199,10 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
         "_lower": F.lower(text),
         "_title": _line_after(text, "JOB TITLE"),
         "_place": _line_after(text, "LOCATION"),
-        "_years": rules.years_text(text),
-        "_salary": rules.salary_statement(text),
     }).withColumns({
+        "_years": rules.years_text(text, F.col("_lower")),
+        "_salary": rules.salary_statement(text, F.col("_lower")),
+        "_urgency": rules.urgency(text, F.col("_lower")),
         "_flags": rules.flags(text, F.col("_lower")),
         "_found": rules.known_skills(F.col("_words"), F.col("_lower")),
     })
@@ -219,7 +222,7 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
         "compensation.salary_min": salary.getField("min"),
         "compensation.salary_max": salary.getField("max"),
         "compensation.salary_currency": salary.getField("currency"),
-        "market_signals.urgency_level": rules.urgency(text),
+        "market_signals.urgency_level": F.col("_urgency"),
         "extracted_at": stamp,
         "source_url": extract_url(text),
     }
@@ -245,7 +248,7 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
 
     done = facts.withColumns({"posting": build(POSTING_SCHEMA, ""), "reject_reason": F.lit(None).cast("string")})
     return done.drop(
-        "_words", "_lower", "_title", "_place", "_years", "_salary", "_flags", "_found"
+        "_words", "_lower", "_title", "_place", "_years", "_salary", "_urgency", "_flags", "_found"
     )
 
 

@@ -384,7 +384,7 @@ def rule_docs(spark, d) -> DataFrame:
 
 @query
 def years_experience(spark, d):
-    out = rule_docs(spark, d).select("doc_id", rules.years_experience(rules.years_text(F.col("text"))).alias("y"))
+    out = rule_docs(spark, d).select("doc_id", rules.years_experience(rules.years_text(F.col("text"), F.lower("text"))).alias("y"))
     return out.select("doc_id", F.col("y.min").alias("years_min"), F.col("y.max").alias("years_max"))
 
 
@@ -400,7 +400,7 @@ def job_function(spark, d):
 
 @query
 def salary_range(spark, d):
-    stated = rule_docs(spark, d).select("doc_id", rules.salary_statement(F.col("text")).alias("s"))
+    stated = rule_docs(spark, d).select("doc_id", rules.salary_statement(F.col("text"), F.lower("text")).alias("s"))
     out = stated.select("doc_id", rules.salary_range(F.col("s")).alias("s"))
     return out.select(
         "doc_id", F.col("s.min").alias("salary_min"), F.col("s.max").alias("salary_max"),
@@ -426,7 +426,7 @@ def flags(spark, d):
 
 @query
 def urgency(spark, d):
-    return rule_docs(spark, d).select("doc_id", rules.urgency(F.col("text")).alias("urgency"))
+    return rule_docs(spark, d).select("doc_id", rules.urgency(F.col("text"), F.lower("text")).alias("urgency"))
 
 
 @query

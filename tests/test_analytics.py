@@ -85,6 +85,30 @@ def test_one_job_with_a_third_of_all_skills(spark, jobs):
     assert got == many.filter("job_id = 1").count()
 
 
+def test_a_hot_job_is_split_by_the_skew_join(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1000",
+        "spark.sql.shuffle.partitions": "100",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(0, 60000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("job_id"),
+            F.concat(F.lit("skill "), F.col("id") % 50).alias("skill_name"), F.lit("other").alias("skill_category"),
+        )
+        ids = spark.range(60000).select("id", F.lit("saved").alias("status"))
+        got = analytics.skills_by_status(ids, many, 5)
+        assert [r.cnt for r in got.collect()] == [1200] * 5
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_bundle(jobs, skills):
     assert {k: v.count() for k, v in analytics_bundle(jobs, skills).items()} == {
         "status_stats": 1, "skills_by_category": 3, "skills_by_status": 4, "top_job_titles": 2,

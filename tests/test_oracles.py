@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_reference_sql():
-    assert set(e.oracle_sql()) == set(e.queries())
+    assert set(e.ORACLES) == set(e.QUERIES)
 
 
 def test_entry(spark):
@@ -19,7 +19,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", list(e.queries()))
+@pytest.mark.parametrize("name", list(e.QUERIES))
 def test_query(spark, name):
     result, _ = compare(spark, name, SF, e.queries()[name], e.oracle_sql().get(name))
     assert result.startswith("ok"), result

@@ -1,0 +1,126 @@
+"""Counts of texts and robust outliers against plain Python and numpy."""
+
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from vacanta.llm import quality_rules as rules
+from vacanta.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def counts(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(zip(w, w[1:], w[2:]))
+    marked = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
+    return (
+        len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(marked),
+    )
+
+
+def failed(c):
+    return c[0] < 50 or 100 * c[4] > 50 * c[0]
+
+
+def vector(c):
+    n = max(c[0], 1)
+    raw = [math.log(n), math.log(max(c[1], 1) / n), *(math.log1p(100 * x / n) for x in c[2:])]
+    return [math.floor(x * 256 + 0.5) for x in raw]
+
+
+def covariance(x, factor):
+    x = np.array(x, float) / 256
+    return x.mean(0), np.cov(x.T, bias=True) * factor + np.diag(np.square(list(rules.FEATURES.values())))
+
+
+def squared(x, centre, cov):
+    diff = np.array(x, float) / 256 - centre
+    return np.einsum("ij,ij->i", diff, np.linalg.solve(cov, diff.T).T)
+
+
+def estimate(x, share=0.75, steps=5):
+    x = np.array(x)
+    low, centre, high = np.percentile(x / 256, [25, 50, 75], axis=0)
+    cov = np.diag(np.maximum((high - low) / 1.349, list(rules.FEATURES.values())) ** 2)
+    for step in range(steps):
+        bins = np.floor(np.log(squared(x, centre, cov) + 1e-9) * 64)
+        last = sorted(bins)[math.ceil(share * len(x)) - 1]
+        centre, cov = covariance(x[bins <= last], rules.consistency(share) if step == steps - 1 else 1.0)
+    near = squared(x, centre, cov) <= rules.chi2_quantile(rules.P, 0.975)
+    return covariance(x[near], rules.consistency(0.975))
+
+
+def verdicts(docs, least):
+    """docs: (key, text, lang, source) with unique keys."""
+    seen = {k: counts(t) for k, t, _, _ in docs}
+    good = [(k, lang, s) for k, _, lang, s in docs if not failed(seen[k])]
+    sizes = Counter((lang, s) for _, lang, s in good)
+    rest = Counter()
+    for (lang, _), n in sizes.items():
+        rest[lang] += n if n < least else 0
+
+    def group(lang, s):
+        return (lang, s) if sizes[lang, s] >= least else (lang,) if rest[lang] >= least else ()
+
+    members = defaultdict(list)
+    for k, lang, s in good:
+        members[group(lang, s)].append(k)
+    kept = {k: not failed(seen[k]) for k in seen}
+    for ids in members.values():
+        if len(ids) >= least:
+            x = [vector(seen[k]) for k in ids]
+            for k, d in zip(ids, squared(x, *estimate(x))):
+                kept[k] = bool(d <= rules.chi2_quantile(rules.P, 1 - 1e-6))
+    return {k: (*seen[k], failed(seen[k]), kept[k]) for k in seen}
+
+
+def test_documents(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in QUERIES["op5_quality_rules"](spark, SF).collect()}
+    assert got == verdicts([tuple(r) for r in rows], 100)
+
+
+@pytest.mark.parametrize("least", [20, 60])
+def test_groups(spark, least):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    rows = [(k, t, None if lang == "es" else lang, None if k % 3 else s[:4]) for k, t, lang, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: tuple(r)[1:] for r in rules.quality_outliers(df, least=least).select(
+        "doc_id", *rules.COUNTS, "base_failed", "kept").collect()}
+    assert got == verdicts(rows, least)
+
+
+def test_odd_texts(spark):
+    texts = [
+        None, "", " \t\n\x0b", "a b c", "a b c a b c", "a a a a", "x y x y x y z", "#a *b $ %|<>& ü𝄞\x1cq",
+        "l one\n\nl one\r\nl one\n \nl one", "é" * 5000, "w " * 20000, " ".join(f"t{i % 700}" for i in range(30000)),
+    ]
+    rows = [(i, t, "x", 1.0, "y") for i, t in enumerate([*texts, texts[4]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, KEPT double, source string")
+    got = rules.quality_outliers(df)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "source", *rules.COUNTS, "base_failed", "distance", "kept"])
+    for r in got.collect():
+        assert tuple(r[c] for c in rules.COUNTS) == counts(r.text) and r.kept == (not failed(counts(r.text)))
+    assert rules.quality_outliers(df.limit(0)).count() == 0
+
+
+def test_symbol_rich_documents_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id").join(
+        spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    got = QUERIES["op5_quality_rules"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").collect()
+    clean = [r for r in got if r.quality == 1 and not r.base_failed]
+    junk = [r for r in got if r.quality == 0 and not r.base_failed]
+    assert sum(r.kept for r in clean) >= 0.99 * len(clean)
+    assert sum(not r.kept for r in junk) >= 0.9 * len(junk)
+
+
+def test_chi_squared():
+    assert rules.chi2_quantile(5, 0.95) == pytest.approx(11.0705, abs=1e-3)
+    assert rules.consistency(1 - 1e-12) == pytest.approx(1, abs=1e-6)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import mixing, packing, sharding, token_files
+from vacanta.llm import mixing, packing, quality_rules, sharding, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -60,3 +60,12 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     docs = document_texts(spark, d, "doc_id", "source", "text")
     mixed = mixing.mix_documents(docs, keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of every text, and whether fixed limits and outlier distances keep it."""
+    docs = document_texts(spark, d, "doc_id", "text", "lang", "source")
+    return quality_rules.quality_outliers(docs, keep=["doc_id"]).select(
+        "doc_id", *quality_rules.COUNTS, "base_failed", "kept"
+    )

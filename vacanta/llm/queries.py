@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import mixing, packing, quality_rules, sharding, token_files
+from vacanta.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -69,3 +69,14 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality_outliers(docs, keep=["doc_id"]).select(
         "doc_id", *quality_rules.COUNTS, "base_failed", "kept"
     )
+
+
+@query
+def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    found = fingerprints.fingerprint_documents(document_texts(spark, d, "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )

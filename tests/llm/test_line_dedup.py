@@ -1,0 +1,127 @@
+"""Repeated runs of lines against plain Python."""
+
+import random
+import re
+from collections import defaultdict
+
+import pytest
+import xxhash
+
+from vacanta.llm.line_dedup import remove_repeated_lines
+from vacanta.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]")
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def line_hash(line):
+    return signed(xxhash.xxh64_intdigest(line.strip(" \t\r\x0b\x0c").encode(), seed=42))
+
+
+def gram_hash(hashes):
+    seed = 42
+    for h in hashes:
+        seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), seed=seed)
+    return signed(seed)
+
+
+def reference(docs, gram=2, window=2, min_lines=3):
+    """docs: (id, text) with unique ids, in order; gives id -> (n_lines, n_removed, text)."""
+    docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
+    places, kept = defaultdict(list), {}
+    for n, (_, text) in enumerate(docs):
+        lines = (text or "").split("\n")
+        at = [i for i, x in enumerate(lines) if WORD.search(x)]
+        h = [line_hash(lines[i]) for i in at]
+        kept[n] = (lines, at, h)
+        grams = [gram_hash(h[i:i + gram]) for i in range(len(h) - gram + 1)]
+        chosen = set()
+        for s in range(max(len(grams) - window, 0) + 1 if grams else 0):
+            chosen.add(max((-g, s + o) for o, g in enumerate(grams[s:s + window]))[1])
+        for p in sorted(chosen):
+            places[grams[p]].append((n, p))
+    gone = defaultdict(set)
+    for found in places.values():
+        first, fp = min(found)
+        for n, p in found:
+            if (n, p) == (first, fp):
+                continue
+            mine, theirs, left, right = kept[n][2], kept[first][2], 0, 0
+            while left < window - 1 and p - left > 0 and fp - left > 0 and mine[p - left - 1] == theirs[fp - left - 1]:
+                left += 1
+            end, fend = p + gram, fp + gram
+            while right < window - 1 and end + right < len(mine) and fend + right < len(theirs) and (
+                mine[end + right] == theirs[fend + right]
+            ):
+                right += 1
+            gone[n].update(range(p - left, end + right))
+    out = {}
+    for n, (doc, text) in enumerate(docs):
+        lines, at, h = kept[n]
+        runs, delete = [], set()
+        for i in sorted(gone[n]):
+            if runs and runs[-1][-1] == i - 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        runs = [r for r in runs if len(r) >= min_lines]
+        for r in runs:
+            delete.update(range(at[r[0]], at[r[-1]] + 1))
+        left = text if not runs else "\n".join(x for i, x in enumerate(lines) if i not in delete)
+        out[doc] = (len(h), sum(map(len, runs)), left)
+    return out
+
+
+def found(df):
+    return {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in df.collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents(spark, sf):
+    path = f"/root/testdata/{sf}"
+    docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()]
+    got = found(QUERIES["op3_line_dedup"](spark, path))
+    assert got == reference(docs)
+    assert any(n for _, n, _ in got.values())
+
+
+@pytest.mark.parametrize("gram,window,min_lines", [(1, 1, 1), (2, 2, 3), (2, 4, 3), (3, 3, 5)])
+def test_random_lines(spark, gram, window, min_lines):
+    rng = random.Random(gram * 10 + window)
+    passages = [[f"p{i} line {j}" for j in range(rng.randint(1, 9))] for i in range(6)]
+    docs = []
+    for d in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            lines += rng.choice(passages) if rng.random() < 0.6 else [f"own {d} {rng.random()}"]
+            lines += rng.choice([[], [""], [" "]])
+        docs.append((d * 3, "\n".join(x + rng.choice(["", " ", "\r"]) for x in lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert found(remove_repeated_lines(df, gram=gram, window=window, min_lines=min_lines)) == reference(
+        docs, gram, window, min_lines
+    )
+
+
+def test_every_shared_run_goes_but_for_its_ends(spark):
+    run = [f"shared {i}" for i in range(8)]
+    docs = [(1, "\n".join(["x", *run[:4]])), (2, "\n".join(["y", *run, "z"])), (3, "\n".join(["q", *run]))]
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got[1] == (5, 0, docs[0][1]) and got[2][1] >= 3 and got[3][1] >= 7
+
+
+def test_odd_rows(spark):
+    copy = "a\nb\n\nc\nd"
+    docs = [(None, copy, 1), (4, None, 1), (5, "", 1), (6, copy, 1), (6, copy, 1), (7, "x\n" * 9, 1), (8, "a\nb", 1),
+            (9, "w " * 50000 + "\nq", 1), (9, "\n\n", 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, N_LINES int")
+    got = remove_repeated_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    rows = sorted([tuple(r) for r in got.collect()], key=str)
+    assert rows == sorted([
+        (None, copy, 4, 0), (4, None, 0, 0), (5, "", 0, 0), (6, "", 4, 4), (6, "", 4, 4), (7, "x\n", 9, 8),
+        (8, "a\nb", 2, 0), (9, "w " * 50000 + "\nq", 2, 0), (9, "\n\n", 0, 0),
+    ], key=str)
+    assert remove_repeated_lines(df.limit(0)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import fingerprints, mixing, packing, quality_rules, sharding, token_files
+from vacanta.llm import fingerprints, line_dedup, mixing, packing, quality_rules, sharding, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -80,3 +80,10 @@ def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
         fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
         fingerprints.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+@query
+def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without the runs of lines that stand earlier in the corpus."""
+    docs = document_texts(spark, d, "doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import fingerprints, line_dedup, mixing, packing, quality_rules, sharding, token_files
+from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -87,3 +87,10 @@ def op3_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     """All documents without the runs of lines that stand earlier in the corpus."""
     docs = document_texts(spark, d, "doc_id", "text")
     return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a similarity of 0.8 or more."""
+    found = jaccard_join.near_duplicates(document_texts(spark, d, "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")

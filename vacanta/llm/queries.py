@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, token_files
+from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -94,3 +94,12 @@ def op9_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     """Components of documents whose five-word shingles have a similarity of 0.8 or more."""
     found = jaccard_join.near_duplicates(document_texts(spark, d, "doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_quality_model(spark: SparkSession, d: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels that are not held out."""
+    docs = document_texts(spark, d, "doc_id", "text")
+    model = quality_model.fit_model(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    scored = quality_model.score_documents(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -65,3 +65,29 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list]]:
+    """Runs of rows with equal integer keys, over batch borders: the key and one array per column."""
+    import numpy as np
+
+    held: list[list] = []
+    where = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        changed = np.zeros(batch.num_rows - 1, bool)
+        for k in key:
+            changed |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            now = tuple(k[begin] for k in key)
+            if now != where and held:
+                yield where, [np.concatenate(v) for v in zip(*held)]
+                held = []
+            where = now
+            held.append([v[begin:end] for v in values])
+    if held:
+        yield where, [np.concatenate(v) for v in zip(*held)]

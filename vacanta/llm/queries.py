@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, token_files
+from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, substring_dedup, token_files
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -103,3 +103,9 @@ def op6_quality_model(spark: SparkSession, d: str) -> DataFrame:
     model = quality_model.fit_model(docs, spark.read.parquet(f"{d}/labels.parquet"))
     scored = quality_model.score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents, also with small changes."""
+    return substring_dedup.repeated_passages(document_texts(spark, d, "doc_id", "text"))

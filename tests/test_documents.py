@@ -167,7 +167,8 @@ def test_get_job(spark):
     (job,) = listing.get_job(stored(spark, FULL), 1).collect()
     assert (job.title, job.company, job.location, job.notes, job.rating) == ("Dev", "ACME", "Oslo, Norway", "", 0)
     assert job.skills == ["Go", "", "Go", "Redis", "", "Git"] and job.extracted.role_details.summary == "s"
-    assert listing.get_job(stored(spark, FULL), 2).count() == 0
+    with pytest.raises(Exception, match="no job 2"):
+        listing.get_job(stored(spark, FULL), 2).collect()
     ids = spark.createDataFrame([(1,), (1,), (9,)], "id bigint")
     assert listing.get_jobs(stored(spark, FULL), ids).count() == 1
 

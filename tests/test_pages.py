@@ -146,3 +146,22 @@ def test_envelope_and_first_capture(spark):
     assert "SOURCE: Generic (Scraped)" in rows[2].text and rows[2].title == "t"
     done = spark.createDataFrame([(500,), (501,)], "n bigint").select(pages.is_complete(F.col("n"))).collect()
     assert [r[0] for r in done] == [False, True]
+
+
+def test_parsing_time_grows_with_the_page():
+    import time
+
+    from vacanta.functions import markup
+
+    def seconds(html):
+        best = 9e9
+        for _ in range(3):
+            start = time.process_time()
+            root, nodes = markup.parse(html)
+            markup.rendered(root)
+            markup.first(nodes, markup.compile_selector("article span"))
+            best = min(best, time.process_time() - start)
+        return best
+
+    for piece in ("<div>", "<div></span>", "<li><ul>", "<b><div></b>", "<table><tr><td><p>"):
+        assert seconds(piece * 16000) < 12 * seconds(piece * 2000) + 0.2, piece

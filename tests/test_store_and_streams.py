@@ -38,6 +38,10 @@ def content(store):
     return jobs, skills
 
 
+def ingest(spark, rows, store, extract=None):
+    ingest_batch(captures(spark, *rows), extract or answers, store, NOW, "capture_id", lambda df: df.count())
+
+
 FIRST = [(1, doc("a", "A1", "x")), (2, doc("b", "B1", "y", "y")), (3, "broken"), (4, doc("a", "A2", "z"))]
 SECOND = [(5, doc("b", "B2")), (6, doc("c", "C1", "w"))]
 WANT = (
@@ -47,72 +51,122 @@ WANT = (
 
 
 def test_batches_build_the_same_store_as_one(spark, tmp_path):
-    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
+    store = JobStore(spark, str(tmp_path / "s"))
     assert store.jobs().count() == 0
     refused = []
-    ingest_batch(
-        captures(spark, *FIRST), answers, store, NOW, "capture_id", on_rejected=lambda df: refused.extend(df.collect())
-    )
+    ingest_batch(captures(spark, *FIRST), answers, store, NOW, "capture_id", lambda df: refused.extend(df.collect()))
     assert [r.capture_id for r in refused] == [3]
-    ingest_batch(captures(spark, *SECOND), answers, store, NOW, "capture_id")
+    ingest(spark, SECOND, store)
     assert content(store) == WANT
     assert content(JobStore(spark, str(tmp_path / "s"))) == WANT
-    whole = JobStore(spark, str(tmp_path / "w"), buckets=3)
-    ingest_batch(captures(spark, *FIRST, *SECOND), answers, whole, NOW, "capture_id")
+    whole = JobStore(spark, str(tmp_path / "w"))
+    ingest(spark, [*FIRST, *SECOND], whole)
     assert content(whole) == WANT
 
 
-def test_untouched_buckets_keep_their_files(spark, tmp_path):
-    store = JobStore(spark, str(tmp_path / "s"), buckets=16)
-    ingest_batch(captures(spark, *[(i, doc(f"u{i}", "t", "s")) for i in range(40)]), answers, store, NOW, "capture_id")
+def sizes(root):
+    return {f: f.stat().st_size for f in root.rglob("*.parquet")}
+
+
+def test_a_batch_costs_its_own_size(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path / "s"))
+    ingest(spark, [(i, doc(f"u{i}", "t", "s")) for i in range(400)], store)
+    before = sizes(tmp_path / "s")
     job = store.jobs().filter("source_url = 'u7'").first().id
-    edit = spark.createDataFrame([(job, 1, "update", "offer", "n", None)], CHANGE_SCHEMA)
+    edit = spark.createDataFrame([(job, 1, "update", "offer", "n", None), (5, 2, "update", "offer", "n", None)], CHANGE_SCHEMA)
     store.apply_changes(edit, NOW)
-    versions = set(store.state["tables"]["jobs"].values())
-    assert versions == {1, 2} and list(store.state["tables"]["jobs"].values()).count(2) == 1
-    assert store.jobs().count() == 40 and store.jobs().filter("status = 'offer'").first().source_url == "u7"
-    assert store.find(job).select("source_url").collect() == [("u7",)] and store.find(job + 1).count() == 0
-    store.vacuum()
-    assert JobStore(spark, str(tmp_path / "s")).jobs().count() == 40
-    plan = store.jobs().filter("status = 'offer'").select("id")._jdf.queryExecution().executedPlan().toString()
-    assert "raw_json" not in plan and "PushedFilters: [IsNotNull(status), EqualTo(status,offer)]" in plan
-
-
-def test_a_second_writer_is_refused(spark, tmp_path):
-    one, two = (JobStore(spark, str(tmp_path / "s"), buckets=2) for _ in range(2))
-    ingest_batch(captures(spark, *FIRST), answers, one, NOW, "capture_id")
+    ingest(spark, [(401, doc("u7", "new"))], store)
+    after = sizes(tmp_path / "s")
+    assert before.items() <= after.items()
+    assert sum(after.values()) - sum(before.values()) < sum(before.values()) / 2
+    assert store.jobs().count() == 400
+    row = store.find(job).first()
+    assert (row.source_url, row.job_title, row.status, row.notes) == ("u7", "new", "offer", "n")
+    assert store.find(job + 1).count() == 0 and store.skills().count() == 399
+    copy = store.copy_to(str(tmp_path / "c"))
+    assert content(copy) == content(store) and copy.skills().count() == 399
+
+
+def test_a_failed_second_writer_harms_nothing(spark, tmp_path):
+    one, two = (JobStore(spark, str(tmp_path / "s")) for _ in range(2))
+    ingest(spark, FIRST, one)
+    want = content(one)
+    with pytest.raises(Exception, match="broken model"):
+        broken = F.when(F.col("capture_id") > 0, F.raise_error(F.lit("broken model"))).otherwise(F.col("text"))
+        ingest(spark, SECOND, two, lambda df: answers(df.withColumn("text", broken)))
+
+    def refuse(df):
+        raise RuntimeError("no place for rejects")
+
     with pytest.raises(RuntimeError):
-        ingest_batch(captures(spark, *SECOND), answers, two, NOW, "capture_id")
+        ingest_batch(captures(spark, *SECOND), answers, two, NOW, "capture_id", refuse)
+    assert content(JobStore(spark, str(tmp_path / "s"))) == want
+    # Both go on, and see each other's batches.
+    ingest(spark, SECOND, two)
+    assert content(one) == WANT
+
+
+def test_a_delete_ends_what_came_before(spark, tmp_path):
+    store = JobStore(spark, str(tmp_path / "s"))
+    ingest(spark, FIRST, store)
+    ids = {r.source_url: r.id for r in store.jobs().collect()}
+    early = [(ids["a"], 1, "update", "offer", "old", 1), (999, 1, "update", "offer", None, None)]
+    store.apply_changes(spark.createDataFrame(early, CHANGE_SCHEMA), NOW)
+    store.apply_changes(spark.createDataFrame([(ids["a"], 1, "delete", None, None, None)], CHANGE_SCHEMA), NOW)
+    assert content(store)[0] == [("b", "B1", "saved", "")]
+    ingest(spark, [(9, doc("a", "A9", "n"))], store)
+    assert content(store) == ([("a", "A9", "saved", ""), ("b", "B1", "saved", "")], [("a", "n"), ("b", "y"), ("b", "y")])
+
+
+def test_nothing_is_lost_on_the_way_in(spark, tmp_path):
+    lines = [json.dumps({"text": json.dumps(doc("a", "A")), "capture_id": 1}), "{broken", json.dumps({"capture_id": 2}),
+             json.dumps({"text": json.dumps(doc("b", "B"))}), json.dumps({"text": "none", "capture_id": 4})]
+    (tmp_path / "in.json").write_text("\n".join(lines))
+    store, refused = JobStore(spark, str(tmp_path / "s")), []
+    read = files.read_captures(spark, str(tmp_path / "in.json"))
+    ingest_batch(read, answers, store, NOW, "capture_id", lambda df: refused.extend(df.collect()),
+                 raw_path=str(tmp_path / "raw"), json_path=str(tmp_path / "json"))
+    assert sorted(r.reject_reason for r in refused) == [
+        "empty response", "no capture_id", "not a JSON line", "not a single JSON object"]
+    assert len(refused) + store.jobs().count() == len(lines) == spark.read.parquet(str(tmp_path / "raw")).count()
+    kept = files.read_postings(spark, str(tmp_path / "json"), whole_files=False).collect()
+    assert [r.posting.source_url for r in kept] == ["a"]
+    with pytest.raises(Exception, match="ingest_seq is NULL"):
+        store.upsert(documents.accepted(answers(captures(spark, (1, doc("z", "Z"))))).select(
+            F.lit(None).cast("bigint").alias("ingest_seq"), "posting"), NOW)
+    assert store.jobs().count() == 1
 
 
 def test_ingest_stream_equals_batch_and_skips_replays(spark, tmp_path):
-    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
+    store = JobStore(spark, str(tmp_path / "s"))
     refused = []
 
-    def drain(checkpoint):
+    def drain(checkpoint, name):
         streams.ingest_stream(
-            files.stream_captures(spark, str(tmp_path / "in")), answers, store, str(tmp_path / checkpoint), now=NOW,
-            seq="capture_id", available_now=True, on_rejected=lambda df: refused.append(df.count()),
+            files.stream_captures(spark, str(tmp_path / "in")), answers, store, str(tmp_path / checkpoint), name,
+            "capture_id", lambda df: refused.append(df.count()), now=NOW, available_now=True,
         ).awaitTermination()
 
     for rows in (FIRST, SECOND):
         captures(spark, *rows).write.mode("append").json(str(tmp_path / "in"))
-        drain("cp")
+        drain("cp", "one")
     assert content(store) == WANT and refused == [1, 0]
-    version = store.state["version"]
-    # As after a crash between the store and the checkpoint: the last batch is run again and skipped.
+    # As after a crash between the store and the checkpoint: the last batch is run again and counts once.
     (tmp_path / "cp" / "commits" / "1").unlink()
     (tmp_path / "cp" / "commits" / ".1.crc").unlink()
-    drain("cp")
-    assert store.state["version"] == version
-    # A new checkpoint is a new stream: its batches count, and merging them again changes no content.
-    drain("cp2")
-    assert store.state["version"] == version + 1 and content(store) == WANT
+    ids = {r.source_url: r.id for r in store.jobs().collect()}
+    store.apply_changes(spark.createDataFrame([(ids["c"], 1, "delete", None, None, None)], CHANGE_SCHEMA), NOW)
+    drain("cp", "one")
+    without_c = ([r for r in WANT[0] if r[0] != "c"], [r for r in WANT[1] if r[0] != "c"])
+    assert content(store) == without_c
+    # A new checkpoint under a new name is a new stream: its batches count.
+    drain("cp2", "two")
+    assert content(store) == WANT
 
 
 def test_tracking_stream(spark, tmp_path):
-    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
-    ingest_batch(captures(spark, *FIRST, *SECOND), answers, store, NOW, "capture_id")
+    store = JobStore(spark, str(tmp_path / "s"))
+    ingest(spark, [*FIRST, *SECOND], store)
     ids = {r.source_url: r.id for r in store.jobs().collect()}
     log = [
         (ids["a"], 1, "update", "applied", None, None), (ids["a"], 2, "update", "", "note", 3),
@@ -120,7 +174,7 @@ def test_tracking_stream(spark, tmp_path):
     ]
     spark.createDataFrame(log, CHANGE_SCHEMA).write.json(str(tmp_path / "log"))
     incoming = spark.readStream.schema(CHANGE_SCHEMA).json(str(tmp_path / "log"))
-    streams.tracking_stream(incoming, store, str(tmp_path / "cp"), now=NOW, available_now=True).awaitTermination()
+    streams.tracking_stream(incoming, store, str(tmp_path / "cp"), "log", now=NOW, available_now=True).awaitTermination()
     assert content(store) == (
         [("a", "A2", "applied", "note"), ("c", "C1", "saved", "")], [("a", "z"), ("c", "w")],
     )
@@ -163,6 +217,22 @@ def test_a_capture_after_the_period_is_new(spark, tmp_path):
     assert run_first(spark, tmp_path, [rows], streams.GENERIC_PERIOD) == ["first", "next"]
 
 
+def test_a_complete_capture_ends_its_period_early(spark, tmp_path):
+    base = 1_700_000_000
+    rows = [("https://linkedin.com/jobs/view/1", 0, 10, "a"), ("https://linkedin.com/jobs/view/1", 14, 600, "b"),
+            ("https://linkedin.com/jobs/view/1", 15, 10, "c"), ("https://linkedin.com/jobs/view/1", 30, 900, "d"),
+            ("https://linkedin.com/jobs/view/1", 31, 10, "e"), ("https://linkedin.com/jobs/view/1", 32, 10, "f"),
+            ("https://x.example/", 0, None, "g"), ("https://x.example/", 19, 1, "h"), ("https://x.example/", 20, 1, "i")]
+    df = spark.createDataFrame([(n, u, s + base, c) for u, s, c, n in rows], "text string, url string, s bigint, contentLength bigint")
+    df.select("text", "url", "contentLength", F.timestamp_seconds("s").alias("ts")).repartition(9).write.json(str(tmp_path / "in"))
+    first = streams.first_capture_stream(files.stream_captures(spark, str(tmp_path / "in")))
+    first.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(CAPTURE_SCHEMA).parquet(str(tmp_path / "out")).collect()
+    # The first period ends at 15, as 14 + 2 is later, the second at 30, the third at 32, as 30 + 2 is earlier than 45.
+    assert sorted(r.text for r in got) == ["a", "c", "d", "f", "g", "i"]
+
+
 def test_from_pages_to_reports(spark, tmp_path):
     page = "<title>t</title><body><h1>%s</h1><div class='topcard__flavor'>ACME</div><article>%s</article></body>"
     text = "5+ years of Python and Docker. $90,000 - $120,000. " * 5
@@ -171,8 +241,8 @@ def test_from_pages_to_reports(spark, tmp_path):
             (3, "https://linkedin.com/jobs/view/1", page % ("Staff Data Engineer", text))]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     captures_df = pages.capture_envelope(pages.pages_to_text(df))
-    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
-    ingest_batch(captures_df, documents.rules_extract, store, NOW, "page_id")
+    store = JobStore(spark, str(tmp_path / "s"))
+    ingest_batch(captures_df, documents.rules_extract, store, NOW, "page_id", lambda df: df.count())
     jobs = {r.source_url[-1]: r for r in store.jobs().collect()}
     assert (jobs["1"].job_title, jobs["1"].company_name, jobs["1"].salary_max) == ("Staff Data Engineer", "ACME", 120000)
     assert (jobs["2"].job_function, jobs["2"].urgency_level) == ("Backend", "Urgent")
@@ -187,9 +257,14 @@ def test_store_rekeys_imported_tables(spark, tmp_path):
     from workload import tables as t
 
     d = "/root/testdata/sf0.001"
-    store = JobStore(spark, str(tmp_path / "s"), buckets=4)
+    store = JobStore(spark, str(tmp_path / "s"))
     jobs = t.all_columns(t.jobs(spark, d)).withColumn("raw_json", F.lit("{}"))
     skills = t.job_skills(spark, d).withColumns({"id": F.lit(0).cast("bigint"), "is_required": F.lit(True)})
     store.write(jobs, skills)
     assert store.jobs().filter(F.col("id") != changes.job_id(F.col("source_url"))).count() == 0
-    assert store.skills().count() == skills.join(jobs.select(F.col("id").alias("job_id")), "job_id").count()
+    assert store.skills().count() == skills.count()
+    twice = jobs.limit(3).unionByName(jobs.limit(3).withColumn("id", F.col("id") + 10**9))
+    other = JobStore(spark, str(tmp_path / "o"))
+    other.write(twice, skills.limit(50).withColumn("job_id", F.lit(-7).cast("bigint")))
+    assert other.jobs().count() == 3 and {r.job_id for r in other.skills().collect()} == {-7}
+    assert other.skills().select("id").distinct().count() == 50

@@ -124,18 +124,19 @@ def test_board_token_from_frames(spark):
 
 def test_years(values):
     fn = lambda c: rules.years_experience(rules.years_text(c, F.lower(c)))
-    cases = ["3-5 years", "5+ years of", "2 to 4 yrs", "7 years", "none", "100 years", "10–12+ Years", None]
+    cases = ["3-5 years", "5+ years of", "2 to 4 yrs", "7 years", "none", "100 years", "10–12+ Years", None, "9" * 30 + " years"]
     got = [tuple(v) for v in values(fn, cases)]
-    assert got == [(3, 5), (5, 0), (2, 4), (7, 0), (0, 0), (0, 0), (10, 12), (0, 0)]
+    assert got == [(3, 5), (5, 0), (2, 4), (7, 0), (0, 0), (100, 0), (10, 12), (0, 0), (0, 0)]
 
 
 def test_salary(values):
     fn = lambda c: rules.salary_range(rules.salary_statement(c, F.lower(c)))
-    cases = ["€80k-100k", "$90,000 - $120,000", "GBP 50-60k", "£45k to £50k", "80000 - 90000", "USD 100000–120000"]
+    cases = ["€80k-100k", "$90,000 - $120,000", "GBP 50-60k", "£45k to £50k", "80000 - 90000", "USD 100000–120000",
+             "GBP 1000000000-2000000000", "$" + "9" * 18 + "-" + "9" * 30 + "k"]
     got = [tuple(v) for v in values(fn, cases)]
     assert got == [
         (80000, 100000, "EUR"), (90000, 120000, "USD"), (50000, 60000, "GBP"), (45000, 50000, "GBP"), (0, 0, ""),
-        (100000, 120000, "USD"),
+        (100000, 120000, "USD"), (10**9, 2 * 10**9, "GBP"), (10**18 - 1, 0, "USD"),
     ]
 
 

@@ -1,6 +1,7 @@
 """Small per-page helper for the one Python stage: HTML to a light tree, first match, element text."""
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -38,16 +39,44 @@ RAW_TEXT = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items")
+    __slots__ = ("tag", "attrs", "parent", "items", "above")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        # Tags of all ancestors; most nodes share their parent's set.
+        over = parent.above if parent else frozenset()
+        self.above = over if parent is None or parent.tag in over else over | {parent.tag}
 
 
 class _Tree:
+    """Open elements are a stack, with the places of each tag in it, so no tag climbs to the root."""
+
     def __init__(self):
         self.root = self.top = Node("html", NO_ATTRS, None)
         self.nodes = []
+        self.stack = [self.root]
+        self.places = {}  # tag -> ascending places in the stack, the root left out
+        self.blocks = []  # places of block elements
+
+    def _push(self, node):
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+        self.top = node
+
+    def _cut(self, place):
+        """Close the element at a place of the stack and all inside it."""
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+        self.top = self.stack[-1]
+
+    def _last(self, tag):
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
     def open(self, tag, attrs):
         if tag == "html":
@@ -60,26 +89,28 @@ class _Tree:
         self.top.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
-            self.top = node
+            self._push(node)
 
     def _close_nearest(self, tags, fences):
         """Close the open elements among `tags`, not looking past a fence."""
-        node = self.top
-        while node.parent is not None and node.tag not in fences:
-            if node.tag in tags:
-                self.top = node.parent
-            node = node.parent
+        fence = max(map(self._last, fences))
+        inside = []
+        for tag in tags:
+            places = self.places.get(tag, ())
+            at = bisect_right(places, fence)
+            if at < len(places):
+                inside.append(places[at])
+        if inside:
+            self._cut(min(inside))
 
     def close(self, tag):
         if tag in ("html", "body"):
             return
-        node, crossed_block = self.top, False
-        while node.parent is not None and node.tag != tag:
-            crossed_block = crossed_block or node.tag in BLOCK
-            node = node.parent
+        place = self._last(tag)
+        crossed_block = bool(self.blocks) and self.blocks[-1] > place
         # A stray end tag, and a formatting end tag inside a later block, do not move text elsewhere.
-        if node.parent is not None and not (tag in FORMATTING and crossed_block):
-            self.top = node.parent
+        if place and not (tag in FORMATTING and crossed_block):
+            self._cut(place)
 
     def text(self, data):
         if data:
@@ -140,6 +171,10 @@ def compile_selector(selector: str):
                 return False
             if attr and part not in node.attrs.get(attr, ""):
                 return False
+        if not node.above.issuperset(outer):
+            return False
+        if len(outer) < 2:
+            return True
         up = node.parent
         for name in reversed(outer):
             while up is not None and up.tag != name:

@@ -6,21 +6,18 @@ from pyspark.sql import functions as F
 
 from vacanta.schemas import ANALYTICS_CATEGORIES, STATUSES
 
-# Spark keeps only n rows per group on each side of the shuffle up to this n.
-_GROUP_LIMIT = 1000
 _SALTS = 256
 
 
 def top_n_per_group(counted: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group, with their position as `rank`."""
-    if n > _GROUP_LIMIT:
-        # Larger n: cut salted parts of each group first, so no task sorts a whole group.
-        salted = counted.withColumn("_salt", F.pmod(F.xxhash64(*counted.columns), F.lit(_SALTS)))
-        part = W.partitionBy(*keys, "_salt").orderBy(*order)
-        counted = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop(
-            "_salt", "_part"
-        )
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    """The first n rows of each group, with their position as `rank`.
+
+    Salted parts of each group are cut first, so no task sorts a whole group.
+    """
+    salted = counted.withColumn("_salt", F.pmod(F.xxhash64(*counted.columns), F.lit(_SALTS)))
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    cut = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop("_salt", "_part")
+    ranked = cut.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
 
 

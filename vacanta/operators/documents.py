@@ -74,7 +74,8 @@ Answer with the JSON object alone."""
 
 
 def build_prompt(text: Column, source_url: Column, stamp: Column) -> Column:
-    """Prompt for one posting: text, time stamp and URL set into a fixed template."""
+    """Prompt for one posting: text, time stamp and URL set into a fixed template; what is NULL is left blank."""
+    text, source_url, stamp = (F.coalesce(c, F.lit("")) for c in (text, source_url, stamp))
     return F.concat(
         F.lit(PROMPT_INTRO), text, F.lit(PROMPT_SHAPE),
         F.lit(',\n  "extracted_at": "'), stamp, F.lit('",\n  "source_url": "'), source_url, F.lit('"\n}'),
@@ -128,6 +129,18 @@ def parse_posting(df: DataFrame, json_col: str = "json") -> DataFrame:
     )
 
 
+def parse_stored(df: DataFrame, json_col: str = "raw_json") -> DataFrame:
+    """Add `posting` and `unreadable` from documents that `posting_json` wrote: one parse, no checks of form.
+
+    An unreadable document keeps its row, with an empty posting.
+    """
+    schema = StructType([*POSTING_SCHEMA.fields, StructField(_CORRUPT, StringType())])
+    doc = F.from_json(json_col, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    once = df.select(*df.columns, F.explode(F.array(doc)).alias("_p"))
+    broken = F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull()
+    return once.select(*df.columns, zero_filled("_p").alias("posting"), broken.alias("unreadable"))
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
@@ -148,6 +161,8 @@ def resolve_source_url(df: DataFrame, setting: str = "source_url") -> DataFrame:
 CLOUD_PROVIDER = "perplexity"
 DEFAULT_MODELS = {"perplexity": "sonar-pro", "ollama": "qwen2.5:7b"}
 
+NO_TEXT = "no text"
+
 ModelFn = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 
@@ -156,7 +171,8 @@ def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None)
 
     Rows have `text` and may have `source_url`, `provider` and `model`; blank ones get their defaults.
     `fn(prompts, providers, models)` gets one Arrow batch as pandas Series and returns the responses.
-    A batch is retried when its executor is lost, so write the result once before using it twice.
+    A batch is retried when its executor is lost, so write the result once before using it twice. A row without
+    text never reaches the model and is refused.
     """
     stamp = local_stamp(F.current_timestamp()) if stamp is None else stamp
     missing = [c for c in ("source_url", "provider", "model") if c not in requests.columns]
@@ -173,15 +189,19 @@ def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            answers = fn(batch["prompt"], batch["provider"], batch["model"])
-            yield batch.drop(columns="prompt").assign(response=answers)
+            known = batch[batch["text"].notna()]
+            answers = fn(known["prompt"], known["provider"], known["model"]) if len(known) else None
+            yield batch.drop(columns="prompt").assign(
+                response=pd.Series(answers, index=known.index, dtype=object).reindex(batch.index) if len(known) else None
+            )
 
     out_schema = StructType(
         [f for f in prepared.schema.fields if f.name != "prompt"] + [StructField("response", StringType())]
     )
     answered = prepared.mapInPandas(run, out_schema)
     parsed = parse_posting(answered.withColumn("json", strip_fences(F.col("response"))), "json")
-    return resolve_source_url(parsed.drop("json"))
+    reason = F.when(F.col("text").isNull(), NO_TEXT).otherwise(F.col("reject_reason"))
+    return resolve_source_url(parsed.drop("json").withColumn("reject_reason", reason))
 
 
 def _line_after(text: Column, label: str) -> Column:
@@ -191,7 +211,10 @@ def _line_after(text: Column, label: str) -> Column:
 
 
 def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None = None) -> DataFrame:
-    """Add a `posting` read from the text by rules alone; every row is accepted (`reject_reason` is NULL)."""
+    """Add a `posting` read from the text by rules alone; only a row without text is refused (`reject_reason`).
+
+    A non-empty `source_url` or else `url` of the row is the posting's URL, whatever its text says.
+    """
     stamp = F.lit("") if stamp is None else stamp
     text = F.coalesce(F.col(text_col), F.lit(""))
     facts = df.withColumns({
@@ -246,7 +269,9 @@ def rules_extract(df: DataFrame, text_col: str = "text", stamp: Column | None =
             parts.append(part.alias(field.name))
         return F.struct(*parts)
 
-    done = facts.withColumns({"posting": build(POSTING_SCHEMA, ""), "reject_reason": F.lit(None).cast("string")})
+    done = facts.withColumns({"posting": build(POSTING_SCHEMA, ""), "reject_reason": F.when(F.col(text_col).isNull(), NO_TEXT)})
+    given = next((c for c in ("source_url", "url") if c in df.columns), None)
+    done = resolve_source_url(done, given) if given else done
     return done.drop(
         "_words", "_lower", "_title", "_place", "_years", "_salary", "_urgency", "_flags", "_found"
     )
@@ -304,15 +329,16 @@ def _with_category(names: Column, category: str) -> Column:
     return F.transform(names, lambda s: F.struct(s.alias("skill_name"), F.lit(category).alias("skill_category")))
 
 
-def explode_skills(df: DataFrame, job_id: str = "job_id") -> DataFrame:
+def explode_skills(df: DataFrame, job_id: str = "job_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One job_skills row per non-empty skill name, categories in their fixed order, duplicates kept."""
     tech = F.col("posting.requirements.technical_skills")
     tagged = [_with_category(list_or_empty(tech.getField(f)), c) for f, c in zip(SKILL_FIELDS, CATEGORIES)]
-    rows = df.select(F.col(job_id).alias("job_id"), F.posexplode(F.concat(*tagged)).alias("pos", "skill"))
+    rows = df.select(*keep, F.col(job_id).alias("job_id"), F.posexplode(F.concat(*tagged)).alias("pos", "skill"))
     return rows.filter(F.col("skill.skill_name") != "").select(
         F.xxhash64("job_id", "pos").alias("id"),
         "job_id",
         F.col("skill.skill_name").alias("skill_name"),
         F.col("skill.skill_category").alias("skill_category"),
         F.lit(True).alias("is_required"),
+        *keep,
     )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vacanta.functions.postings import flat_skills, list_or_empty, salary_text
 from vacanta.functions.text import fold_ascii, like_pattern, or_default
-from vacanta.operators.documents import accepted, parse_posting
+from vacanta.operators.documents import parse_stored
 from vacanta.schemas import SKILL_FIELDS
 
 
@@ -19,9 +19,20 @@ def _newest(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.desc_nulls_last("extracted_at"), F.desc("id"))
 
 
-def list_jobs(jobs: DataFrame, limit: int = LIST_LIMIT, offset: int = 0, status: str = "") -> DataFrame:
-    """Newest jobs, optionally of one status."""
+def list_jobs(
+    jobs: DataFrame, limit: int = LIST_LIMIT, offset: int = 0, status: str = "", after: tuple | None = None
+) -> DataFrame:
+    """Newest jobs, optionally of one status.
+
+    An offset makes each task hold all rows before the page. For pages far down give `after`, the `extracted_at`
+    and `id` of the last row of the page before: only rows below it are looked at.
+    """
     chosen = jobs.filter(F.col("status") == status) if status else jobs
+    if after is not None:
+        moment, last_id = F.lit(after[0]).cast("timestamp"), F.lit(after[1])
+        same = F.col("extracted_at").eqNullSafe(moment) & (F.col("id") < last_id)
+        below = F.coalesce(F.col("extracted_at") < moment, F.col("extracted_at").isNull() & moment.isNotNull())
+        chosen = chosen.filter(below | same)
     page = _newest(chosen)
     page = (page.offset(offset) if offset else page).limit(limit)
     return page.select(
@@ -58,10 +69,11 @@ def filter_listing(listing: DataFrame, search: str = "", status: str = "") -> Da
 def get_jobs(jobs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Stored documents with tracking fields and flat skills, for all jobs or for the given ids.
 
-    An id without a job, or a document that no longer parses, gives no row.
+    An id without a job gives no row. A document that no longer parses keeps its row, with `unreadable` set and
+    blank facts.
     """
     wanted = jobs if ids is None else jobs.join(ids.select("id").distinct(), "id", "left_semi")
-    parsed = accepted(parse_posting(wanted.select("id", "status", "notes", "rating", "raw_json"), "raw_json"))
+    parsed = parse_stored(wanted.select("id", "status", "notes", "rating", "raw_json"))
     return parsed.select(
         "id",
         F.col("posting.metadata.job_title").alias("title"),
@@ -73,11 +85,17 @@ def get_jobs(jobs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         F.coalesce("rating", F.lit(0).cast("bigint")).alias("rating"),
         flat_skills(F.col("posting")).alias("skills"),
         F.col("posting").alias("extracted"),
+        "unreadable",
     )
 
 
 def get_job(jobs: DataFrame, job_id: int) -> DataFrame:
-    return get_jobs(jobs.filter(F.col("id") == job_id))
+    """The one job with this id. Running the result fails with an error if there is none."""
+    asked = jobs.sparkSession.range(1).select(F.lit(job_id).cast("bigint").alias("id"))
+    found = asked.join(jobs.filter(F.col("id") == job_id).withColumn("_there", F.lit(True)), "id", "left")
+    known = F.when(F.col("_there").isNull(), F.raise_error(F.lit(f"no job {job_id}")))
+    # The error is part of the id, which every use of the row needs.
+    return get_jobs(found.withColumn("id", F.coalesce(known.cast("bigint"), F.col("id"))))
 
 
 # Texts shown for category codes and missing facts.

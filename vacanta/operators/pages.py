@@ -297,13 +297,16 @@ def board_text(jobs: DataFrame) -> DataFrame:
 
 
 def capture_envelope(texts: DataFrame) -> DataFrame:
-    """Captures from posting texts (url, site, page_title, text): the text is wrapped, its length is from before."""
+    """Captures from posting texts (url, site, page_title, text): the text is wrapped, its length is from before.
+
+    A NULL URL is blank; a NULL text stays NULL, which extraction refuses.
+    """
     names = F.create_map(*[F.lit(x) for kv in SOURCE_NAMES.items() for x in kv])
     source = F.coalesce(F.try_element_at(names, F.col("site")), F.lit(SOURCE_NAMES["generic"]))
     return texts.withColumns({
         "contentLength": utf16_length(F.col("text")),
         "text": F.concat(
-            F.lit("\nURL: "), F.col("url"), F.lit("\nSOURCE: "), source, F.lit(" (Scraped)\n\n"), F.col("text"),
+            F.lit("\nURL: "), F.coalesce("url", F.lit("")), F.lit("\nSOURCE: "), source, F.lit(" (Scraped)\n\n"), F.col("text"),
             F.lit("\n"),
         ),
     }).withColumnRenamed("page_title", "title")
@@ -315,8 +318,8 @@ def is_complete(content_length: Column) -> Column:
 
 
 def first_capture(captures: DataFrame, key: str = "capture_id", order: str = "ts") -> DataFrame:
-    """Of all frames of a capture the one that arrived first, whatever its length."""
+    """Of all frames of a capture the one that arrived first, whatever its length; one without a time is first."""
     others = [c for c in captures.columns if c != key]
-    return captures.groupBy(key).agg(F.min_by(F.struct(*others), F.col(order)).alias("f")).select(
+    return captures.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(order)).alias("f")).select(
         key, *[F.col(f"f.{c}").alias(c) for c in others]
     )

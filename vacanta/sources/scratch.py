@@ -1,22 +1,18 @@
 """Shared scratch space for data that must be written once and read more than once."""
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def file_system(spark: SparkSession, path: str):
-    """The Hadoop file system of a path, and the path as it takes it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is not set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vacanta-")
+    """A new folder below spark.checkpoint.dir, which all executors and the driver must share.
+
+    Raises an error where that is not set: a local folder would give each executor files of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -25,15 +21,9 @@ def write_scratch(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def written_once(df: DataFrame, label: str) -> Iterator[DataFrame]:
-    """The same rows read back from scratch Parquet, so that no use inside the block computes them again.
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from scratch Parquet, so that no later use computes them again.
 
-    The files outlive a lost executor and are removed at the end of the block.
+    The files outlive a lost executor and stay until the folder is cleared.
     """
-    path = scratch_dir(df.sparkSession, label)
-    try:
-        yield write_scratch(df, path)
-    finally:
-        fs, where = file_system(df.sparkSession, path)
-        fs.delete(where, True)
+    return write_scratch(df, scratch_dir(df.sparkSession, label))

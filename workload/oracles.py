@@ -391,7 +391,7 @@ select seq as id, title, company, place as location, url, 'saved' as status,
        skill_lang || '||' || skill_framework || '|' || skill_db || '|' || coalesce(skill_cloud || '|', '')
        || skill_devops || '|' || skill_lang || '|' || skill_lang as skills, urgency from m"""
 ORACLES["search_jobs"] = WITH + """
-select id, job_title as title, company_name as company, location_full as location, 'Remote' as workplace_type, status,
+select id, job_title as title, company_name as company, location_full as location, workplace_type, status,
        extracted_at, source_url as url from jobs
 where lower(job_title) like '%machinery%low%' or lower(company_name) like '%machinery%low%' or lower(location_full) like '%machinery%low%'
 order by extracted_at desc, id desc limit 50"""
@@ -453,7 +453,7 @@ union all select seq, 5, 'Other', skill_lang || ', ' || skill_lang from m"""
 # ---------------------------------------------------------------- first capture per period
 
 ORACLES["first_capture_stream"] = f"""
-with recursive captures as (select event_type as url, event_id as capture_id, epoch_us(ts) // 1000000 as s, epoch_us(ts) as us, props as text from events),
+with recursive captures as (select 'user ' || user_id as url, event_id as capture_id, epoch_us(ts) // 1000000 as s, epoch_us(ts) as us, props as text from events),
 opened as (
   select url, min(s) as s from captures group by url
   union all

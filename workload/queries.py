@@ -128,7 +128,7 @@ def write_raw(spark, d):
 
 @query
 def job_store(spark, d):
-    store = JobStore(spark, scratch_dir(spark, "store"), buckets=8)
+    store = JobStore(spark, scratch_dir(spark, "store"))
     store.write(t.all_columns(t.jobs(spark, d)), full_skills(spark, d))
     per_job = store.skills().groupBy("job_id").agg(F.count(F.lit(1)).alias("skills"))
     return (
@@ -624,7 +624,7 @@ def get_jobs(spark, d):
 
 @query
 def search_jobs(spark, d):
-    return listing.search_jobs(t.jobs(spark, d).withColumn("workplace_type", F.lit("Remote")), "machinery%LOW")
+    return listing.search_jobs(t.jobs(spark, d), "machinery%LOW")
 
 
 @query
@@ -721,14 +721,15 @@ def _answers(captures: DataFrame) -> DataFrame:
 def ingest_stream(spark, d):
     """All messages as captures, then all again with changed values, each drained by the same stream."""
     base = scratch_dir(spark, "ingest")
-    store = JobStore(spark, base + "/store", buckets=8)
+    store = JobStore(spark, base + "/store")
     sent = write_scratch(postings(spark, d), scratch_dir(spark, "sent"))
     for batch in (sent, second_batch(sent)):
         batch.select(
             documents.posting_json(F.col("posting")).alias("text"), F.col("ingest_seq").alias("capture_id")
         ).write.mode("append").json(base + "/captures")
         streams.ingest_stream(
-            files.stream_captures(spark, base + "/captures"), _answers, store, base + "/checkpoint", now=moment(), seq="capture_id", available_now=True
+            files.stream_captures(spark, base + "/captures"), _answers, store, base + "/checkpoint", "ingest", "capture_id",
+            lambda refused: refused.write.mode("append").parquet(base + "/refused"), now=moment(), available_now=True,
         ).awaitTermination()
     per_job = store.skills().groupBy("job_id").agg(F.count(F.lit(1)).alias("skills"))
     return store.jobs().join(per_job, F.col("id") == F.col("job_id"), "left").select(
@@ -741,7 +742,7 @@ PERIOD = 1800
 
 def streamed_captures(spark, d) -> DataFrame:
     return t.read(spark, d, "events").select(
-        F.col("event_type").alias("url"), F.col("event_id").alias("capture_id"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("capture_id"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"),
     )
 
@@ -762,14 +763,14 @@ def first_capture_stream(spark, d):
 @query
 def tracking_stream(spark, d):
     base = scratch_dir(spark, "tracking")
-    store = JobStore(spark, base + "/store", buckets=8)
+    store = JobStore(spark, base + "/store")
     store.write(t.all_columns(t.jobs(spark, d)), full_skills(spark, d))
     # The store numbers jobs by their URL.
     log = t.changes(spark, d)
     log.withColumn("id", changes.job_id(F.concat(F.lit("https://jobs.example.com/"), F.col("id").cast("string")))) \
         .write.json(base + "/changes")
     incoming = spark.readStream.schema(log.schema).json(base + "/changes")
-    streams.tracking_stream(incoming, store, base + "/checkpoint", now=moment(), available_now=True).awaitTermination()
+    streams.tracking_stream(incoming, store, base + "/checkpoint", "tracking", now=moment(), available_now=True).awaitTermination()
     per_job = store.skills().groupBy("job_id").agg(F.count(F.lit(1)).alias("skills"))
     return store.jobs().join(per_job, F.col("id") == F.col("job_id"), "left").select(
         "source_url", "status", F.coalesce("notes", F.lit("-")).alias("notes"),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacanta.schemas import CHANGE_SCHEMA, JOBS_SCHEMA, POSTING_SCHEMA
-from vacanta.sources import files
 
 GIVEN = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
@@ -121,8 +120,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table for work that is heavy per row."""
-    return files.spread(read(spark, sf_dir, name))
+    """A given table dealt out evenly, for work that is heavy per row."""
+    return read(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str, heavy: str = "") -> DataFrame:

@@ -119,20 +119,25 @@ def test_tree_prunes_nothing_that_links():
         base = rng.integers(0, 1 << 62, rng.integers(5, 300)).astype("u8")
         for _ in range(5):
             sets.append(np.unique(np.where(rng.random(len(base)) < 0.06, rng.integers(0, 1 << 62, len(base)).astype("u8"), base)))
-    sizes, maps = np.array([len(s) for s in sets]), []
-    for s in sets:
-        bits = np.zeros(jj.BITS, bool)
-        bits[(s >> np.uint64(40)).astype("i8") % jj.BITS] = True
-        maps.append(np.frombuffer(np.packbits(bits).tobytes(), "u8"))
+    sizes, maps = np.array([len(s) for s in sets]), [jj.bitmap_of(s) for s in sets]
     links = {(i, j) for i in range(len(sets)) for j in range(i)
              if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (sizes[i] + sizes[j])}
     labels = np.arange(len(sets))
-    pairs = {(max(p), min(p)) for p in jj.candidate_pairs(sizes, np.stack(maps), labels, False)}
+    pairs = {(max(p), min(p)) for p in jj.candidate_pairs(sizes, maps, labels, False)}
     assert links <= pairs and len(pairs) < 2 * len(links) + 50
-    spanning = jj.candidate_pairs(sizes, np.stack(maps), labels, True)
+    spanning = jj.candidate_pairs(sizes, maps, labels, True)
     assert len(spanning) < len(sets) and closed(range(len(sets)), spanning) == closed(range(len(sets)), pairs)
 
 
+def test_star_takes_all_that_may_link_to_the_centre():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 130).astype("u8")
+    sets = [base] + [np.unique(np.where(rng.random(130) < e, rng.integers(0, 1 << 62, 130).astype("u8"), base)) for e in (0.02, 0.05, 0.6)]
+    sets.append(np.unique(np.concatenate([base, rng.integers(0, 1 << 62, 400).astype("u8")])))
+    pairs = jj.star_pairs(np.array([len(s) for s in sets]), [jj.bitmap_of(s) for s in sets], np.arange(5), np.array([9, 1, 1, 9, 1]))
+    assert {tuple(sorted(p)) for p in pairs} == {(0, 1), (0, 2)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)]
@@ -148,3 +153,24 @@ def test_kept_postings(spark):
     got = {tuple(r) for r in jj.shared_postings(df).collect()}
     want = {r for r in rows if r[0] < 50}
     assert want <= got and len(got - want) <= 20
+
+
+def test_word_hashes(monkeypatch):
+    import pyarrow as pa
+
+    from vacanta.llm import wordhash
+
+    texts = ["a b", None, "", "ab", "b", " x\ty\n", "Ab É é" * 9, "q" * 3000 + " " + "q" * 256, "a\x0b\x0cb\rC", "z"]
+    for chunk in (1, 7, 1 << 20):
+        monkeypatch.setattr(wordhash, "CHUNK", chunk)
+        for array in (pa.array(texts), pa.array(["skipped", *texts]).slice(1)):
+            got = [h.tolist() for h in wordhash.word_hashes(array)]
+            assert len(got) == len(texts)
+            names = {}
+            for text, hashes in zip(texts, got):
+                words = WORD.findall((text or "").translate(LOWER))
+                assert len(words) == len(hashes)
+                for w, h in zip(words, hashes):
+                    assert names.setdefault(w, h) == h
+            assert len(set(names.values())) == len(names)
+    assert list(wordhash.word_hashes(pa.array([], pa.string()))) == []

@@ -35,10 +35,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges"
     )
-    known = None
-    while True:
+    while not are_stars(now):
         now = star(star(now, True), False)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == known:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        known = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a root that has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter(F.col("up") + F.col("down") > 1).isEmpty()

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import per_worker, written
+from vacanta.llm.common import runs_of, written
 from vacanta.llm.components import components
+from vacanta.llm.wordhash import mixed, word_hashes
 
 WORDS = 5
-#: Link at 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (sum of sizes).
-BITS = 1024
+# Sets link at 100 * intersection >= 80 * union, which is 9 * intersection >= 4 * (sum of sizes).
+#: A bitmap has the least power of two of bits, from 512, that is this many times its set's size.
+BITS_EACH = 8
 SLOTS = 1 << 17
 LEAF, FANOUT = 16, 8
 _KEPT = 200_000
@@ -22,36 +24,15 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
                          0x85EBCA77C2B2AE63], "u8")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; the commonest stay for the life of the worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < _KEPT:
-            self[word] = value
-        return value
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None) -> np.ndarray:
+def shingles(h: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's five-word shingles; of all its words if there are fewer."""
-    known = per_worker("word hashes", WordHashes)
-    found = (text or "").encode().lower().split()  # of bytes: A to Z only, and ASCII white space only
-    if not found:
-        return np.empty(0, "u8")
-    h = np.fromiter(map(known.__getitem__, found), "u8", len(found))
+    if not len(h):
+        return h
     width = min(WORDS, len(h))
     count = len(h) - width + 1
     total = np.full(count, width, "u8")
     for k in range(width):
-        total = total + mixed(h[k:k + count] + np.uint64(k)) * _MULTIPLIERS[k]
+        total += h[k:k + count] * _MULTIPLIERS[k]
     return np.unique(mixed(total))
 
 
@@ -69,7 +50,7 @@ def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
         counts = np.zeros(SLOTS, "i8")
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                slots = [slot_of(shingles(t.as_py())) for t in batch.column(0).slice(begin, 500)]
+                slots = [slot_of(shingles(h)) for h in word_hashes(batch.column(0).slice(begin, 500))]
                 counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
@@ -93,8 +74,8 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
         met: set[tuple] = set()
         for batch in batches:
             out: dict[str, list] = {"n": [], "d1": [], "d2": [], "bitmap": [], "prefix": []}
-            for text in batch.column("__text"):
-                s = shingles(text.as_py())
+            for h in word_hashes(batch.column("__text")):
+                s = shingles(h)
                 name = digest(s)
                 out["n"].append(len(s))
                 out["d1"].append(name[0])
@@ -105,9 +86,7 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                     continue
                 if len(met) < _KEPT:
                     met.add(name)
-                bits = np.zeros(BITS, bool)
-                bits[(s >> np.uint64(40)).astype("i8") % BITS] = True
-                out["bitmap"].append(np.packbits(bits).tobytes())
+                out["bitmap"].append(bitmap_of(s))
                 first = len(s) - (4 * len(s) + 4) // 5 + 1
                 out["prefix"].append(s[np.lexsort((s, rank[slot_of(s)]))[:first]].view("i8"))
             kinds = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bitmap": pa.binary(),
@@ -153,6 +132,18 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     )
 
 
+def bitmap_of(s: np.ndarray) -> bytes:
+    bits = np.zeros(max(512, 1 << (BITS_EACH * len(s) - 1).bit_length()), bool)
+    bits[(s >> np.uint64(24)).astype("i8") & (len(bits) - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def folded(bitmaps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half the length: a shingle's bit there is its bit here less the highest bit of its number."""
+    half = bitmaps.shape[1] // 2
+    return bitmaps[:, :half] | bitmaps[:, half:]
+
+
 class Tree:
     """Members ordered by size; nodes hold the OR of bitmaps, the range of sizes, and the most hidden shingles.
 
@@ -160,12 +151,12 @@ class Tree:
     of hidden ones; with ORs and greatest values the bound holds for all below two nodes.
     """
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
-        self.sizes, self.bitmaps = sizes, bitmaps
-        self.hidden = sizes - np.bitwise_count(bitmaps).sum(axis=1)
-        begins = np.arange(0, len(sizes), LEAF)
-        level = list(zip(begins.tolist(), np.minimum(begins + LEAF, len(sizes)).tolist()))
-        self.nodes = [self._node(b, e, []) for b, e in level]
+    def __init__(self, members: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray):
+        order = np.argsort(sizes, kind="stable")
+        self.members, self.sizes, self.bitmaps = members[order], sizes[order], bitmaps[order]
+        self.hidden = self.sizes - np.bitwise_count(self.bitmaps).sum(axis=1)
+        begins = range(0, len(sizes), LEAF)
+        self.nodes = [self._node(b, min(b + LEAF, len(sizes)), []) for b in begins]
         ids = list(range(len(self.nodes)))
         while len(ids) > 1:
             groups = [ids[i:i + FANOUT] for i in range(0, len(ids), FANOUT)]
@@ -180,98 +171,103 @@ class Tree:
         return (begin, end, children, np.bitwise_or.reduce(own, axis=0), int(self.sizes[begin]),
                 int(self.sizes[end - 1]), int(self.hidden[begin:end].max()))
 
-    def may_link(self, x: tuple, y: tuple) -> bool:
-        """Whether any pair below two nodes can reach the threshold."""
-        low, high = (x, y) if x[5] <= y[5] else (y, x)
-        if 5 * low[5] < 4 * high[4]:
-            return False
-        shared = int(np.bitwise_count(x[3] & y[3]).sum()) + min(x[6], y[6])
-        return 9 * min(shared, low[5]) >= 4 * (x[4] + y[4])
 
+def may_link(x: tuple, y: tuple) -> bool:
+    """Whether any pair below two nodes can reach the threshold."""
+    low, high = (x, y) if x[5] <= y[5] else (y, x)
+    if 5 * low[5] < 4 * high[4]:
+        return False
+    shared = int(np.bitwise_count(x[3] & y[3]).sum()) + min(x[6], y[6])
+    return 9 * min(shared, low[5]) >= 4 * (x[4] + y[4])
 
-def candidate_pairs(sizes: np.ndarray, bitmaps: np.ndarray, labels: np.ndarray, spanning: bool) -> list[tuple[int, int]]:
-    """Pairs of members with different labels that their bitmaps allow to link, by a dual traversal of a tree.
+
+def traverse(one: Tree, other: Tree, labels: np.ndarray, spanning: bool) -> list[tuple[int, int]]:
+    """Pairs of members of two trees (or of one) with different labels that their bitmaps allow to link.
 
     With `spanning`, members that a pair joins share a label from then on, so there are fewer pairs than members.
     """
-    order = np.argsort(sizes, kind="stable")
-    tree = Tree(sizes[order], bitmaps[order])
-    labels = labels[order].copy()
-    pairs, stack = [], [(tree.root, tree.root)]
+    pairs, stack = [], [(one.root, other.root)]
     while stack:
         i, j = stack.pop()
-        x, y = tree.nodes[i], tree.nodes[j]
-        mine, theirs = labels[x[0]:x[1]], labels[y[0]:y[1]]
-        if (mine == mine[0]).all() and (theirs == mine[0]).all() or not tree.may_link(x, y):
+        x, y = one.nodes[i], other.nodes[j]
+        rows, columns = one.members[x[0]:x[1]], other.members[y[0]:y[1]]
+        mine, theirs = labels[rows], labels[columns]
+        if (mine == mine[0]).all() and (theirs == mine[0]).all() or not may_link(x, y):
             continue
         if x[2] or y[2]:
-            left, right = x[2] or [i], y[2] or [j]
-            below = [(a, b) for a in left for b in right if i != j or a <= b]
+            below = [(a, b) for a in x[2] or [i] for b in y[2] or [j] if one is not other or i != j or a <= b]
             stack.extend(reversed(below))
             continue
-        shared = np.bitwise_count(tree.bitmaps[x[0]:x[1], None] & tree.bitmaps[None, y[0]:y[1]]).sum(axis=2)
-        shared = shared + np.minimum(tree.hidden[x[0]:x[1], None], tree.hidden[None, y[0]:y[1]])
-        a, b = tree.sizes[x[0]:x[1], None], tree.sizes[None, y[0]:y[1]]
+        shared = np.bitwise_count(one.bitmaps[x[0]:x[1], None] & other.bitmaps[None, y[0]:y[1]]).sum(axis=2)
+        shared = shared + np.minimum(one.hidden[x[0]:x[1], None], other.hidden[None, y[0]:y[1]])
+        a, b = one.sizes[x[0]:x[1], None], other.sizes[None, y[0]:y[1]]
         fits = (9 * np.minimum(shared, np.minimum(a, b)) >= 4 * (a + b)) & (mine[:, None] != theirs[None])
         for p, q in np.argwhere(fits).tolist():
-            p, q = p + x[0], q + y[0]
-            if p < q or i != j:
-                if labels[p] == labels[q]:
-                    continue
-                pairs.append((int(order[p]), int(order[q])))
+            p, q = int(rows[p]), int(columns[q])
+            if (p < q or one is not other or i != j) and labels[p] != labels[q]:
+                pairs.append((p, q))
                 if spanning:
                     labels[labels == labels[q]] = labels[p]
     return pairs
 
 
-def block_pairs(blocks: DataFrame, spanning: bool) -> DataFrame:
-    """Distinct candidate pairs `a` < `b` of all blocks, rows of `block`, `cid`, `n`, `bitmap`, `label`."""
+def candidate_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray, spanning: bool) -> list[tuple[int, int]]:
+    """All pairs that `traverse` finds among members with bitmaps of different lengths.
+
+    Sets that link differ in size by a quarter at most, so their bitmaps are of one length or of successive ones;
+    the longer are folded to meet the shorter.
+    """
+    labels, by_length = labels.copy(), {}
+    lengths = np.array([len(b) for b in bitmaps])
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == length)
+        by_length[length] = at, np.frombuffer(b"".join([bitmaps[i] for i in at]), "u8").reshape(len(at), length // 8)
+    pairs = []
+    for length, (at, maps) in by_length.items():
+        tree = Tree(at, sizes[at], maps)
+        pairs += traverse(tree, tree, labels, spanning)
+        if 2 * length in by_length:
+            more, longer = by_length[2 * length]
+            pairs += traverse(tree, Tree(more, sizes[more], folded(longer)), labels, spanning)
+    return pairs
+
+
+def star_pairs(sizes: np.ndarray, bitmaps: list[bytes], labels: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of the member of the greatest weight with all others that may link to it."""
+    centre = int(np.lexsort((-np.arange(len(weight)), weight))[-1])
+    marked = np.where(np.arange(len(sizes)) == centre, 0, 1)
+    near = np.flatnonzero((5 * sizes >= 4 * sizes[centre]) & (4 * sizes <= 5 * sizes[centre]))
+    found = candidate_pairs(sizes[near], [bitmaps[i] for i in near], marked[near], False)
+    return [(int(near[p]), int(near[q])) for p, q in found]
 
-    def solve(rows: list[np.ndarray]) -> list[tuple[int, int]]:
-        cid, n, bits, label = rows
-        if len(cid) < 2:
-            return []
-        maps = np.frombuffer(b"".join(bits.tolist()), "u8").reshape(len(cid), BITS // 64)
-        if len(cid) == 2:
-            shared = int(np.bitwise_count(maps[0] & maps[1]).sum())
-            hidden = n - np.bitwise_count(maps).sum(axis=1)
-            fits = 9 * min(shared + int(hidden.min()), int(n.min())) >= 4 * int(n.sum()) and label[0] != label[1]
-            found = [(0, 1)] if fits else []
-        else:
-            found = candidate_pairs(n, maps, label, spanning)
-        return [(min(cid[i], cid[j]), max(cid[i], cid[j])) for i, j in found]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = [], set()
-        where = None
+def block_pairs(blocks: DataFrame, how: str) -> DataFrame:
+    """Distinct candidate pairs `a` < `b` of all blocks, rows of `block`, `cid`, `n`, `bitmap`, `label`, `weight`.
+
+    `how` is `star`, `spanning` or `all`.
+    """
 
-        def flush(rows):
-            out = []
-            for pair in solve([np.concatenate(c) for c in zip(*rows)]) if rows else []:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, out = set(), []
+        for _, (cid, n, bits, label, weight) in runs_of(batches, ["block"], ["cid", "n", "bitmap", "label", "weight"]):
+            if len(cid) < 2:
+                continue
+            bits = bits.tolist()
+            found = star_pairs(n, bits, label, weight) if how == "star" else candidate_pairs(n, bits, label, how == "spanning")
+            for i, j in found:
+                pair = min(cid[i], cid[j]), max(cid[i], cid[j])
                 if pair not in met:
                     if len(met) < _KEPT:
                         met.add(pair)
                     out.append(pair)
-            return out
-
-        for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "cid", "n", "bitmap", "label")]
-            block, pairs = columns[0], []
-            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if begin == end:
-                    continue
-                if block[begin] != where:
-                    pairs += flush(held)
-                    held, where = [], block[begin]
-                held.append([c[begin:end] for c in columns[1:]])
-            if pairs:
-                yield _pairs(pairs)
-        pairs = flush(held)
-        if pairs:
-            yield _pairs(pairs)
-
-    dealt = blocks.select("block", "cid", "n", "bitmap", "label").repartition("block").sortWithinPartitions("block", "cid")
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
+
+    columns = ["block", "cid", "n", "bitmap", "label", "weight"]
+    dealt = blocks.select(*columns).repartition("block").sortWithinPartitions("block", "cid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -313,24 +309,27 @@ def sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame
         members.join(wanted.withColumnRenamed("cid", "__rid"), "__rid", "left_semi").select("cid", "__doc", "d1", "d2"),
         "wanted",
     )
-    ids = named.select("__doc").distinct()
+    # Merged at any size, so that the cost of a large table can be told from a small one.
     texts = docs.select("__doc", "__text").alias("t").join(
-        ids.alias("i"), F.col("t.__doc").eqNullSafe(F.col("i.__doc")), "left_semi"
-    )
+        named.alias("i").hint("merge"), F.col("t.__doc").eqNullSafe(F.col("i.__doc"))
+    ).select("cid", "d1", "d2", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
-                sets = [shingles(t.as_py()) for t in batch.column("__text").slice(begin, 500)]
-                d1, d2 = zip(*map(digest, sets))
-                tokens = pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), tokens], names=["d1", "d2", "tokens"]
-                )
+                part = batch.slice(begin, 500)
+                names = zip(*[part.column(c).to_pylist() for c in ("cid", "d1", "d2")])
+                # Rows with one id may differ, so the digest decides.
+                found = [(cid, s.view("i8")) for (cid, *name), s in zip(names, map(shingles, word_hashes(part.column("__text"))))
+                         if tuple(name) == digest(s)]
+                if found:
+                    cids, sets = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "tokens"]
+                    )
 
-    found = texts.mapInArrow(run, "d1 long, d2 long, tokens array<long>")
-    # Rows with one id may differ, and equal rows may share one, so digests decide.
-    return written(found.join(named, ["d1", "d2"]).select("cid", "tokens").dropDuplicates(["cid"]), "sets")
+    once = texts.withColumn("__h", F.xxhash64("__text")).dropDuplicates(["cid", "__h"]).select("cid", "d1", "d2", "__text")
+    return written(once.mapInArrow(run, "cid long, tokens array<long>"), "sets")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -356,9 +355,9 @@ def near_duplicates(
 
     Equal sets are one class. Classes that can link meet at a rare shingle of their prefixes. Where they meet, a
     signature tree prunes pairs by sizes and bitmaps; what is left is checked on the whole sets. The first round
-    keeps a spanning forest of each meeting place, so a group of copies of any size costs a pair per member; the
-    second round takes all remaining pairs between different components, so no link is lost. Places with more
-    than `most` members are cut in parts.
+    joins members of a place to the one whose shingles most others share, the second keeps a spanning forest, so
+    a group of copies of any size costs a pair or two per member; the third takes all remaining pairs between
+    different components, so no link is lost. Places with more than `most` members are cut in parts.
 
     Ids may be NULL or repeated; equal rows are one class; no rows give no rows; other columns are left out.
     """
@@ -383,26 +382,37 @@ def near_duplicates(
     ).filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("token").alias("token"))
     places = written(places.select("token", "members"), "places")
     rows = written(by_class.join(places, "token"), "rows")
-    meta = found.filter("bitmap is not null").select(F.col("__rid").alias("cid"), "n", "bitmap")
-    first = written(block_pairs(in_blocks(rows, meta.withColumn("label", F.col("cid")), most, False), True), "pairs")
-    sets = sets_of(slim, ends_of(first), members)
-    links = linked(first, sets)
-    roots = components(links)
     label = F.coalesce("root", "cid")
-    labelled = written(
-        rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).drop("root"), "labelled"
+    # A text that others were made from shares more of its shingles than they do among themselves.
+    weights = rows.groupBy("cid").agg(F.sum("members").alias("weight"))
+    meta = written(
+        found.filter("bitmap is not null").select(F.col("__rid").alias("cid"), "n", "bitmap").join(weights, "cid"), "meta"
     )
-    open_places = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    again = written(labelled.join(open_places.select("token"), "token", "left_semi"), "again")
-    labels = written(again.select("cid", "label").distinct(), "labels")
-    second = block_pairs(in_blocks(again.drop("label"), meta.join(labels, "cid"), most, True), False)
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    # Only members of different parts of one large place can be new here.
-    missing = written(ends_of(second).join(sets, "cid", "left_anti"), "missing")
-    if not missing.isEmpty():
-        sets = sets.unionByName(sets_of(slim, missing, members))
-    more = linked(second, sets)
-    roots = written(components(links.unionByName(more)), "roots")
+    sets, tested, links, open_rows = None, None, None, rows
+    labelled = meta.withColumn("label", F.col("cid"))
+    for how in ("star", "spanning", "all"):
+        pairs = block_pairs(in_blocks(open_rows, labelled, most, how == "all"), how)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        missing = ends_of(pairs) if sets is None else ends_of(pairs).join(sets, "cid", "left_anti")
+        missing = written(missing, "missing")
+        if sets is None or not missing.isEmpty():
+            more = sets_of(slim, missing, members)
+            sets = more if sets is None else sets.unionByName(more)
+        found_links = linked(pairs, sets)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found_links if links is None else links.unionByName(found_links)
+        if how == "all":
+            break
+        roots = components(links)
+        known = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).drop("root")
+        known = written(known, "labelled")
+        divided = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        open_rows = written(known.join(divided.select("token"), "token", "left_semi").drop("label"), "open")
+        labels = known.select("cid", "label").distinct()
+        labelled = written(meta.join(labels, "cid"), "labels")
+    roots = written(components(links), "roots")
     rooted = written(
         members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", label), "rooted"
     )

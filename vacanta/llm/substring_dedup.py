@@ -9,20 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import per_worker, runs_of, written
-from vacanta.llm.jaccard_join import WordHashes, mixed
+from vacanta.llm.common import runs_of, written
+from vacanta.llm.wordhash import mixed, word_hashes
 
 #: Words of a block in which passages' words travel to their alignment.
 BLOCK = 64
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text, A to Z in lower case."""
-    known = per_worker("word hashes", WordHashes)
-    found = (text or "").encode().lower().split()
-    return np.fromiter(map(known.__getitem__, found), "u8", len(found))
-
-
 def seeds_of(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of minimizers: the least hash of k words in each `window` successive ones.
 
@@ -54,7 +47,7 @@ def all_seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                found = [seeds_of(word_hashes(t.as_py()), k, window) for t in part.column("__text")]
+                found = [seeds_of(h, k, window) for h in word_hashes(part.column("__text"))]
                 row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 at, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
@@ -268,9 +261,9 @@ def block_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for begin in range(0, batch.num_rows, 200):
                 part = batch.slice(begin, 200)
                 out: list[tuple] = []
-                for rid, text, blocks in zip(part.column("rid").to_pylist(), part.column("__text"),
-                                             part.column("blocks").to_pylist()):
-                    h = (word_hashes(text.as_py()) & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
+                for rid, h, blocks in zip(part.column("rid").to_pylist(), word_hashes(part.column("__text")),
+                                          part.column("blocks").to_pylist()):
+                    h = (h & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
                     out += [(rid, b, h[b * BLOCK:(b + 1) * BLOCK]) for b in blocks if b * BLOCK < len(h)]
                 if out:
                     rid, block, words = zip(*out)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from vacanta.llm.common import barrier, without
 
-#: Terms in at least 1 and at most 10 percent of all documents.
-IDF_BAND = (math.log(10), math.log(100))
-#: Randomised lexicons as (mask, number): each keeps 1 in mask + 1 of the terms. Large ones tell texts apart, small
-#: ones outlast edits.
-SUBSETS = ((0, 1), (1, 3), (3, 4), (7, 4), (15, 4), (31, 8), (63, 16), (127, 24))
+#: Terms in at least 2 and at most 10 percent of all documents.
+IDF_BAND = (math.log(10), math.log(50))
+#: Randomised lexicons as (mask, number): each keeps 1 in mask + 1 of the terms, and those of one mask have none in
+#: common. Large ones tell texts apart, small ones outlast edits.
+SUBSETS = ((0, 1), (1, 2), (3, 4), (7, 4), (15, 4), (31, 8), (63, 16), (127, 24))
 _EMPTY = 42  # Spark's xxhash64 of an empty array
 
 
@@ -45,18 +45,27 @@ def with_fingerprint(docs: DataFrame, text_col: str, terms: list[int], name: str
     """
     known = F.from_json(F.lit(json.dumps(terms)), "array<bigint>")
     once = barrier(docs, __t=F.sort_array(F.array_intersect(term_hashes(F.col(text_col)), known)))
-    subsets, number = [], 0
-    for mask, count in SUBSETS:
-        for _ in range(count):
-            subsets.append({"salt": number, "mask": mask})
-            number += 1
-    plan = F.from_json(F.lit(json.dumps(subsets)), "array<struct<salt:bigint,mask:bigint>>")
-    hashed = F.transform(plan, lambda s: F.nullif(F.xxhash64(F.filter(
-        "__t", lambda t: F.xxhash64(t, s["salt"]).bitwiseAND(s["mask"]) == 0
-    )), F.lit(_EMPTY)))
+
+    def lexicon_of(term: Column, level: int) -> Column:
+        """Which lexicon of a level a term belongs to: bits of its hash that no other level looks at."""
+        return F.shiftright(term, 7 * level).bitwiseAND(F.lit(SUBSETS[level][0]).cast("bigint"))
+
+    def picked(level: int) -> Column:
+        return F.filter("__t", lambda t: lexicon_of(t, level) < SUBSETS[level][1])
+
+    def entries(level: int) -> Column:
+        numbers = F.sequence(F.lit(0), F.lit(SUBSETS[level][1] - 1))
+        return F.transform(numbers, lambda j: F.nullif(
+            F.xxhash64(F.filter(f"__l{level}", lambda t: lexicon_of(t, level) == j)), F.lit(_EMPTY)
+        ))
+
+    levels = range(len(SUBSETS))
+    # The terms that any lexicon of a level keeps are picked out once.
+    chosen = barrier(once, **{f"__l{i}": picked(i) for i in levels})
     rest = F.xxhash64(F.sort_array(F.array_distinct(term_hashes(F.col(text_col)))))
     last = F.when(F.size("__t") == 0, rest)
-    return barrier(once, **{name: F.concat(hashed, F.array(last))}).drop("__t")
+    done = barrier(chosen, **{name: F.concat(*map(entries, levels), F.array(last))})
+    return done.drop("__t", *[f"__l{i}" for i in levels])
 
 
 def likeness(one: Column, other: Column) -> Column:

@@ -19,7 +19,10 @@ _FLUSH = 4 << 20
 
 
 def tokenized(docs: DataFrame, kind: str, path: str, end_id: int, text_col: str) -> DataFrame:
-    """Replace the text by `ids` (little-endian uint32, the end id last) and `n`, their number."""
+    """Replace the text by `ids` (little-endian uint32, the end id last) and `n`, their number; number the rows.
+
+    One function does both, so a task needs one Python worker.
+    """
     names = [c for c in docs.columns if c != text_col]
     end = int(end_id).to_bytes(4, "little")
 
@@ -40,7 +43,8 @@ def tokenized(docs: DataFrame, kind: str, path: str, end_id: int, text_col: str)
 
     fields = [docs.schema[c] for c in names]
     schema = StructType([*fields, StructField("ids", BinaryType()), StructField("n", LongType())])
-    return docs.mapInArrow(run, schema)
+    number = numbered(["n"])
+    return docs.mapInArrow(lambda batches: number(run(batches)), numbered_schema(schema, ["n"]))
 
 
 def pack_documents(
@@ -60,7 +64,7 @@ def pack_documents(
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     order = [F.col("__id"), F.xxhash64("__text"), F.monotonically_increasing_id()]
     ids = tokenized(in_order(slim, order), kind, tokenizer, end_id, "__text")
-    first = written(ids.mapInArrow(numbered(["n"]), numbered_schema(ids.schema, ["n"])), "packing")
+    first = written(ids, "packing")
     laid, _ = add_offsets(first, {"__before_n": F.col("n")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

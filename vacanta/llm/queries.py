@@ -109,3 +109,26 @@ def op6_quality_model(spark: SparkSession, d: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Passages of 50 words or more that stand in several documents, also with small changes."""
     return substring_dedup.repeated_passages(document_texts(spark, d, "doc_id", "text"))
+
+
+# The same sets, all pairs that share a shingle, and components by reachability.
+ORACLES["op9_jaccard_join"] = r"""
+with recursive texts as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+grams as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ')
+         else array_to_string(list_slice(w, i, i + 4), ' ') end as gram
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from texts where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from grams x join grams y on x.gram = y.gram and x.doc_id < y.doc_id
+  group by x.doc_id, y.doc_id),
+links as (
+  select a, b from pairs join sizes s on s.doc_id = a join sizes t on t.doc_id = b where 100 * k >= 80 * (s.n + t.n - k)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least as (select a as doc_id, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id
+from documents d join least l using (doc_id) left join sizes s using (doc_id)"""

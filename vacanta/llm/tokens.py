@@ -14,7 +14,8 @@ _ASCII_SPACE = " \t\n\r\x0b\x0c"
 _CHUNK = re.compile(f"[^{_ASCII_SPACE}]+")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = string.punctuation.replace("'", "")
-_KEPT_WORDS = 400_000
+# Entries kept by a worker: chunks as they stand, plain words, trailing punctuation. About 70 MB in all.
+_KEPT_CHUNKS, _KEPT_CORES, _KEPT_TAILS = 120_000, 200_000, 20_000
 
 
 class WordIds(dict):
@@ -36,7 +37,7 @@ class WordIds(dict):
                 ids += self._tail(chunk[len(core):])
         else:
             ids = self._whole(self.space + chunk)
-        if len(self) < _KEPT_WORDS:
+        if len(self) < _KEPT_CHUNKS:
             self[chunk] = ids
         return ids
 
@@ -47,7 +48,7 @@ class WordIds(dict):
         ids = self.cores.get(core)
         if ids is None:
             ids = array("I", [t.id for t in self.model.tokenize(self.mark + core)]).tobytes()
-            if len(self.cores) < _KEPT_WORDS:
+            if len(self.cores) < _KEPT_CORES:
                 self.cores[core] = ids
         return ids
 
@@ -55,7 +56,7 @@ class WordIds(dict):
         ids = self.tails.get(tail)
         if ids is None:
             ids = self._whole(tail)
-            if len(self.tails) < _KEPT_WORDS:
+            if len(self.tails) < _KEPT_TAILS:
                 self.tails[tail] = ids
         return ids
 

@@ -174,3 +174,15 @@ def test_word_hashes(monkeypatch):
                     assert names.setdefault(w, h) == h
             assert len(set(names.values())) == len(names)
     assert list(wordhash.word_hashes(pa.array([], pa.string()))) == []
+
+
+def test_reference_sql():
+    import duckdb
+
+    from vacanta.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    docs = con.execute("select doc_id, text from documents").fetchall()
+    got = con.execute(ORACLES["op9_jaccard_join"]).fetchall()
+    assert {d: (n, c) for d, n, c in got} == reference(docs)

@@ -115,7 +115,7 @@ def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["op9_jaccard_join"] = r"""
 with recursive texts as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 grams as (
   select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ')
          else array_to_string(list_slice(w, i, i + 4), ' ') end as gram

@@ -93,6 +93,55 @@ def test_best_chain_is_found(seed):
         assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in got)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_best_chain_is_found_among_rising_anchors_too(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(50):
+        n = int(rng.integers(1, 14))
+        x, y = (np.sort(rng.choice(200, n, replace=False)) for _ in "xy")
+        best = np.zeros(n)
+        for i in range(n):
+            best[i] = 8 + max([0, *[best[j] - 0.25 * (x[i] - x[j] + y[i] - y[j]) for j in range(i)]])
+        got = sd.chains_of(x, y, 8, 0.25, 10**6)
+        assert max(8 * len(c) - 0.25 * (x[c[-1]] - x[c[0]] + y[c[-1]] - y[c[0]]) for c in got) == pytest.approx(best.max())
+        assert sorted(np.concatenate(got).tolist()) == list(range(n))
+
+
+@pytest.mark.parametrize("gap", [10, 15, 20, 25, 30])
+def test_a_passage_between_shorter_shared_pieces_is_found(spark, gap):
+    rng, docs = random.Random(gap), []
+    for pair in range(60):
+        head, passage, foot = own(rng, 20), own(rng, 60), own(rng, 20)
+        docs += [(2 * pair + i, " ".join(head + own(rng, gap) + passage + own(rng, gap) + foot)) for i in (0, 1)]
+    found = spans(sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))
+    for d, _ in docs:
+        assert covered(found, d, 20 + gap, 80 + gap) == 1, d
+    assert all(r["identity"] >= 0.8 for r in found)
+
+
+def test_stretches_cover_every_part_that_is_alike_enough():
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        a, b, x, y = [], [], [], []
+        for _ in range(int(rng.integers(2, 8))):
+            run = rng.integers(0, 1 << 30, int(rng.integers(8, 45))).tolist()
+            x += range(len(a), len(a) + len(run) - 7, 6)
+            y += range(len(b), len(b) + len(run) - 7, 6)
+            a, b = a + run, b + run
+            a = a + rng.integers(0, 1 << 30, int(rng.integers(1, 30))).tolist()
+            b = b + rng.integers(0, 1 << 30, int(rng.integers(1, 30))).tolist()
+        a, b, x, y = map(np.array, (a, b, x, y))
+        got = sd.stretches(x, y, a, b, 8, 50, 0.8)
+        have = {w for g in got for w in range(g[0], g[1])}
+        for b0, e0, b1, e1, n in got:
+            assert n == sd.matched(a[b0:e0], b[b1:e1]) >= 0.8 * max(e0 - b0, e1 - b1) and e0 - b0 >= 50
+        for i in range(len(x)):
+            for j in range(i, len(x)):
+                b0, e0, b1, e1 = x[i], x[j] + 8, y[i], y[j] + 8
+                if e0 - b0 >= 50 and sd.matched(a[b0:e0], b[b1:e1]) >= 0.8 * max(e0 - b0, e1 - b1):
+                    assert have >= set(range(b0, e0))
+
+
 def test_matched_is_the_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):

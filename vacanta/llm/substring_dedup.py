@@ -136,12 +136,16 @@ def chains_of(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float, max_gap: in
     the best anchor before one is a prefix maximum over y. Chains are cut at gaps over `max_gap`.
     """
     order = np.lexsort((y, x))
+    xs, ys = x[order].tolist(), y[order].tolist()
+    score, before = [float(k)] * len(xs), [-1] * len(xs)
     if (np.diff(x[order]) > 0).all() and (np.diff(y[order]) > 0).all():
-        whole = [order]
+        for j in range(1, len(xs)):  # the best anchor before one is the last: its chain gains k by going there
+            gained = score[j - 1] - gap_cost * (xs[j] - xs[j - 1] + ys[j] - ys[j - 1])
+            if gained > 0:
+                score[j], before[j] = k + gained, j - 1
     else:
-        xs, ys = x[order].tolist(), y[order].tolist()
         ranks = np.unique(y[order], return_inverse=True)[1].tolist()
-        tree, score, before = Fenwick(len(set(ranks))), [0.0] * len(xs), [-1] * len(xs)
+        tree = Fenwick(len(set(ranks)))
         i = 0
         while i < len(xs):
             j = i
@@ -154,15 +158,15 @@ def chains_of(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float, max_gap: in
             for m in range(i, j):
                 tree.raise_to(ranks[m], score[m] + gap_cost * (xs[m] + ys[m]), m)
             i = j
-        used, whole = [False] * len(xs), []
-        for end in sorted(range(len(xs)), key=lambda m: -score[m]):
-            chain = []
-            while end >= 0 and not used[end]:
-                used[end] = True
-                chain.append(end)
-                end = before[end]
-            if chain:
-                whole.append(order[chain[::-1]])
+    used, whole = [False] * len(xs), []
+    for end in sorted(range(len(xs)), key=lambda m: -score[m]):
+        chain = []
+        while end >= 0 and not used[end]:
+            used[end] = True
+            chain.append(end)
+            end = before[end]
+        if chain:
+            whole.append(order[chain[::-1]])
     out = []
     for chain in whole:
         wide = (np.diff(x[chain]) > max_gap) | (np.diff(y[chain]) > max_gap)
@@ -170,6 +174,27 @@ def chains_of(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float, max_gap: in
     return out
 
 
+def followed(parts: list[np.ndarray], x: np.ndarray, y: np.ndarray, max_gap: int) -> list[np.ndarray]:
+    """Chains put one behind another where a chain goes on in both texts at most `max_gap` words after one's end.
+
+    Gap costs part what belongs together as well: a tail that costs more than it gains may still be alike enough.
+    `stretches` judges all parts of the joined chains.
+    """
+    done: list[list[np.ndarray]] = []
+    ends: list[list[np.ndarray]] = []  # those that a later chain can still follow
+    for part in sorted(parts, key=lambda c: (x[c[0]], y[c[0]])):
+        bx, by = x[part[0]], y[part[0]]
+        ends = [e for e in ends if x[e[-1][-1]] + max_gap >= bx]
+        near = [(by - y[e[-1][-1]] + bx - x[e[-1][-1]], n) for n, e in enumerate(ends)
+                if x[e[-1][-1]] < bx and 0 < by - y[e[-1][-1]] <= max_gap]
+        if near:
+            ends[min(near)[1]].append(part)
+        else:
+            done.append([part])
+            ends.append(done[-1])
+    return [np.concatenate(c) for c in done]
+
+
 def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFrame:
     """Chains of each document and source, down to single anchors, without places of one document that overlap."""
 
@@ -178,7 +203,8 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFrame
         for (rid, src), (x, y) in runs_of(batches, ["rid", "src_rid"], ["pos", "src_pos"]):
             once = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # boundary records may come twice
             x, y = x[once], y[once]
-            for chain in chains_of(x.astype("i8"), y.astype("i8"), k, gap_cost, max_gap):
+            x, y = x.astype("i8"), y.astype("i8")
+            for chain in followed(chains_of(x, y, k, gap_cost, max_gap), x, y, max_gap):
                 cx, cy = x[chain], y[chain]
                 if rid != src or cy[-1] + k <= cx[0]:
                     out.append((int(rid), int(src), cx, cy))
@@ -234,6 +260,66 @@ def aligned(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int)
     return begin[0], px, begin[1], py, total
 
 
+def stretches(
+    x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, min_words: int, identity: float
+) -> list[tuple[int, int, int, int, int]]:
+    """Parts of a chain that are long and alike enough, aligned; together they cover every such part.
+
+    Of all runs of anchors that fit, those within another are left out, and of the rest as many as cover all.
+    """
+    whole = aligned(x, y, a, b, k)
+    if whole[1] - whole[0] < min_words:
+        return []
+    if whole[4] >= identity * max(whole[1] - whole[0], whole[3] - whole[2]):
+        return [whole]
+    count = len(x)
+    step, left, right = np.zeros(count, "i8"), np.zeros(count, "i8"), np.zeros(count, "i8")
+    for i in range(count):
+        px, py = (x[i - 1] + k, y[i - 1] + k) if i else (0, 0)
+        if i:
+            ax, ay = x[i], y[i]
+            step[i] = matched(a[px:ax], b[py:ay]) + k if ax >= px and ay >= py else max(0, min(ax + k - px, ay + k - py))
+        straight = i > 0 and x[i] - y[i] == px - py
+        room = x[i] - px if straight else min(x[i], y[i], BLOCK if i else x[i])
+        while left[i] < room and a[x[i] - left[i] - 1] == b[y[i] - left[i] - 1]:
+            left[i] += 1
+        if straight and left[i] >= room:  # equal all the way to the anchor before
+            left[i] = left[i - 1] + x[i] - x[i - 1]
+    for i in range(count - 1, -1, -1):
+        ex, ey = x[i] + k, y[i] + k
+        straight = i + 1 < count and x[i + 1] - y[i + 1] == ex - ey
+        room = x[i + 1] - ex if straight else min(len(a) - ex, len(b) - ey, BLOCK if i + 1 < count else len(a))
+        while right[i] < room and a[ex + right[i]] == b[ey + right[i]]:
+            right[i] += 1
+        if straight and right[i] >= room:  # equal all the way to the anchor after
+            right[i] = right[i + 1] + x[i + 1] - x[i]
+    total = np.cumsum(step)
+    n0, x0, y0 = total - left, x - left, y - left
+    n1, x1, y1 = total + k + right, x + k + right, y + k + right
+    # n >= identity * length on both sides, as sums of one term of either end.
+    ux, uy, vx, vy = n1 - identity * x1, n1 - identity * y1, n0 - identity * x0, n0 - identity * y0
+    most_x, most_y = (np.maximum.accumulate(u[::-1])[::-1] for u in (ux, uy))
+    fit, upto = [], -1
+    for i in range(count):
+        low = max(i, upto + 1)
+        if low >= count:
+            break
+        if most_x[low] < vx[i] - 1e-9 or most_y[low] < vy[i] - 1e-9:
+            continue
+        ok = (ux[low:] >= vx[i] - 1e-9) & (uy[low:] >= vy[i] - 1e-9) & (x1[low:] - x0[i] >= min_words)
+        if ok.any():
+            upto = low + int(np.flatnonzero(ok)[-1])
+            fit.append((i, upto))
+    out, at = [], 0
+    while at < len(fit):
+        out.append(fit[at])
+        after = at + 1  # the last that still meets what is covered, else the next
+        while after + 1 < len(fit) and fit[after + 1][0] <= out[-1][1]:
+            after += 1
+        at = after
+    return [(int(x0[i]), int(x1[j]), int(y0[i]), int(y1[j]), int(n1[j] - n0[i])) for i, j in out]
+
+
 def wanted_blocks(chained: DataFrame, k: int) -> DataFrame:
     """The blocks of words, on both sides, that the alignment of each chain looks at: up to BLOCK words beyond it.
 
@@ -277,7 +363,7 @@ def block_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def passages(chained: DataFrame, words: DataFrame, wanted: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
-    """Align every chain on its words and keep those long and alike enough."""
+    """Align every chain on its words and keep its parts that are long and alike enough."""
     gathered = wanted.join(words, ["rid", "block"]).groupBy("chain").agg(
         F.sort_array(F.collect_list(F.struct("side", "block", "words"))).alias("parts")
     )
@@ -295,8 +381,8 @@ def passages(chained: DataFrame, words: DataFrame, wanted: DataFrame, k: int, mi
                         own = [p for p in parts if p["side"] == side]
                         low.append(own[0]["block"] * BLOCK)
                         sides.append(np.concatenate([np.array(p["words"], "i4") for p in own]))
-                    b, e, sb, se, n = aligned(np.array(x) - low[0], np.array(y) - low[1], *sides, k)
-                    if e - b >= min_words and n >= identity * max(e - b, se - sb):
+                    fit = stretches(np.array(x) - low[0], np.array(y) - low[1], *sides, k, min_words, identity)
+                    for b, e, sb, se, n in fit:
                         out.append((rid, src, b + low[0], e + low[0], sb + low[1], se + low[1], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in map(list, zip(*out))], names=names)
@@ -318,7 +404,7 @@ def repeated_passages(
     places are joined to its first place, by id, so a passage in many documents costs a row each and no pairs; its
     first holder shows as the source. Anchors of a document and a source are chained in order, with linear gap
     costs, and aligned on the words of both sides, beyond the chain's ends as long as words are equal, up to BLOCK
-    words or more. A change in a source's text, or another source that holds only a part, can end one passage and
+    words or more. A chain that is not alike enough as a whole gives its parts that are. A change in a source's text, or another source that holds only a part, can end one passage and
     start another.
 
     NULL and empty texts have no passages; NULL ids come first and are given back as NULL; rows with one id and equal

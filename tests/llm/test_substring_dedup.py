@@ -119,6 +119,35 @@ def test_a_passage_between_shorter_shared_pieces_is_found(spark, gap):
     assert all(r["identity"] >= 0.8 for r in found)
 
 
+@pytest.mark.parametrize("part", [30, 35, 40, 49])
+def test_a_passage_whose_parts_stand_first_in_other_documents_is_found(spark, part):
+    rng, docs = random.Random(part), []
+    for n in range(60):
+        passage = own(rng, 60)
+        for i, words in enumerate((passage[:part], passage[-part:], passage, passage)):
+            docs.append((4 * n + i, " ".join(own(rng, 20) + words + own(rng, 20))))
+    found = spans(sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+    for n in range(60):
+        assert covered([r for r in found if r["doc_id"] == 4 * n + 3], 4 * n + 3, 20, 80) == 1, n
+        assert covered(found, 4 * n + 2, 20, 80) == 1, n
+    texts = {d: t.split() for d, t in docs}
+    for r in found:
+        assert r["identity"] == 1 and r["end"] - r["begin"] >= 50
+        assert texts[r["doc_id"]][r["begin"]:r["end"]] == texts[r["source_id"]][r["source_begin"]:r["source_end"]]
+
+
+def test_every_word_of_a_run_that_stands_earlier_is_covered(spark):
+    d = "/root/testdata/sf0.01"
+    docs = {r[0]: r[1].lower().split() for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    have, first = defaultdict(set), {}
+    for r in QUERIES["op1_substring_dedup"](spark, d).collect():
+        have[r.doc_id].update(range(r.begin, r.end))
+    for i in sorted(docs):
+        for at in range(len(docs[i]) - 49):
+            doc, _ = first.setdefault(tuple(docs[i][at:at + 50]), (i, at))
+            assert doc == i or have[i] >= set(range(at, at + 50)), (i, at)
+
+
 def test_stretches_cover_every_part_that_is_alike_enough():
     rng = np.random.default_rng(2)
     for _ in range(150):

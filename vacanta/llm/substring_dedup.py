@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacanta.llm.common import runs_of, written
@@ -391,6 +391,100 @@ def passages(chained: DataFrame, words: DataFrame, wanted: DataFrame, k: int, mi
     return rows.select("rid", "src_rid", "x", "y", "parts").mapInArrow(run, schema).distinct()
 
 
+def regions(found: DataFrame, window: int, k: int, min_words: int) -> DataFrame:
+    """Per `rid` the stretches of its text, first and last word, where all seeds stand elsewhere as well.
+
+    Seeds within a shared passage are repeated, at most `window` apart (twice that among equal hashes), and less than
+    `window` from its ends. Only stretches that can hold `min_words` are left.
+    """
+    places = found.select("rid", "pos").unionByName(
+        found.select(F.col("src_rid").alias("rid"), F.col("src_pos").alias("pos"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rid, at in zip(batch.column("rid").to_pylist(), batch.column("at")):
+                at = at.values.to_numpy()
+                cuts = np.flatnonzero(np.diff(at) > 2 * window) + 1
+                low = np.maximum(at[np.concatenate([[0], cuts])] - 2 * window, 0)
+                high = at[np.concatenate([cuts - 1, [len(at) - 1]])] + k + 2 * window
+                wide = high - low >= min_words
+                if wide.any():
+                    out.append((rid, low[wide], high[wide]))
+            if out:
+                rid, low, high = zip(*out)
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid, pa.int64()), pa.array(low, ints), pa.array(high, ints)], names=["rid", "low", "high"]
+                )
+
+    held = places.groupBy("rid").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    return held.mapInArrow(run, "rid long, low array<int>, high array<int>")
+
+
+def run_seeds(docs: DataFrame, wide: DataFrame, min_words: int) -> DataFrame:
+    """Places and hashes of all runs of `min_words` words within the regions, as `all_seeds` gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 100):
+                part = batch.slice(begin, 100)
+                at, value = [], []
+                for h, low, high in zip(word_hashes(part.column("__text")), part.column("low").to_pylist(),
+                                        part.column("high").to_pylist()):
+                    ends = [max(h_ - min_words + 1, l) for l, h_ in zip(low, np.minimum(high, len(h)))]
+                    at.append(np.unique(np.concatenate([np.arange(l, e) for l, e in zip(low, ends)])))
+                    total = np.zeros(max(len(h) - min_words + 1, 0), "u8")
+                    for i in range(min_words):
+                        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i:i + len(total)]
+                    value.append(mixed(total)[at[-1]])
+                row = pa.array(np.repeat(np.arange(len(at)), [len(a) for a in at]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(value).view("i8")), part.column("__doc").take(row),
+                     part.column("__rid").take(row), pa.array(np.concatenate(at).astype("i4"))],
+                    names=["seed", "doc", "rid", "pos"],
+                )
+
+    kind = docs.schema["__doc"].dataType.simpleString()
+    near = docs.select("__doc", "__rid", "__text").join(wide.withColumnRenamed("rid", "__rid"), "__rid")
+    return near.select("__doc", "__rid", "__text", "low", "high").mapInArrow(
+        run, f"seed long, doc {kind}, rid long, pos int"
+    )
+
+
+def exact_passages(found: DataFrame, min_words: int) -> DataFrame:
+    """Equal runs, as `passages` gives them, from runs of `min_words` words joined to their first place."""
+    names = ["rid", "src_rid", "begin", "end", "src_begin", "src_end", "n_matched"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (rid, src), (x, y) in runs_of(batches, ["rid", "src_rid"], ["pos", "src_pos"]):
+            x, y = x.astype("i8"), y.astype("i8")
+            if rid == src:
+                apart = x >= y + min_words
+                x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            by = np.lexsort((x, x - y))  # along diagonals
+            x, y = x[by], y[by]
+            cuts = np.flatnonzero((np.diff(x - y) != 0) | (np.diff(x) > 1)) + 1
+            first, last = np.concatenate([[0], cuts]), np.concatenate([cuts - 1, [len(x) - 1]])
+            size = x[last] - x[first] + min_words
+            columns = [np.full(len(first), rid), np.full(len(first), src), x[first], x[first] + size, y[first], y[first] + size, size]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    dealt = found.repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
+    return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def uncovered(exact: DataFrame, spans: DataFrame) -> DataFrame:
+    """The equal runs that no passage of the same document covers, without those within another one."""
+    both = spans.withColumn("kind", F.lit(0)).unionByName(exact.withColumn("kind", F.lit(1)))
+    before = Window.partitionBy("rid").orderBy("begin", F.desc("end"), "kind", "src_rid", "src_begin")
+    upto = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("upto", upto).filter("kind = 1 and (upto is null or upto < end)").select(*spans.columns)
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, identity: float = 0.8,
     k: int = 8, window: int = 12, gap_cost: float = 0.25, max_gap: int = 40,
@@ -404,8 +498,13 @@ def repeated_passages(
     places are joined to its first place, by id, so a passage in many documents costs a row each and no pairs; its
     first holder shows as the source. Anchors of a document and a source are chained in order, with linear gap
     costs, and aligned on the words of both sides, beyond the chain's ends as long as words are equal, up to BLOCK
-    words or more. A chain that is not alike enough as a whole gives its parts that are. A change in a source's text, or another source that holds only a part, can end one passage and
-    start another.
+    words or more. A chain that is not alike enough as a whole gives its parts that are. A change in a source's text,
+    or another source that holds only a part, can end one passage and start another.
+
+    The first places of a passage's seeds may lie in several documents that each hold too small a part. So where all
+    seeds are repeated, every run of `min_words` words is joined to its own first place too, and equal runs that no
+    passage covers yet are added: each word of an equal run of `min_words` that stands earlier is in some passage. For
+    passages with changes, less than `min_words` from one another, this is not so.
 
     NULL and empty texts have no passages; NULL ids come first and are given back as NULL; rows with one id and equal
     rows are different documents; places of one document are compared as well, unless they overlap; no rows give no
@@ -416,12 +515,14 @@ def repeated_passages(
     )
     slim = written(slim, "texts")
     found = anchors(all_seeds(slim, k, window))
+    exact = exact_passages(anchors(run_seeds(slim, regions(found, window, k, min_words), min_words)), min_words)
     chained = written(
         chains(found, k, gap_cost, max_gap).withColumn("chain", F.monotonically_increasing_id()), "chains"
     )
     wanted = wanted_blocks(chained, k)
     words = block_words(slim, wanted)
     spans = written(passages(chained, words, wanted, k, min_words, identity), "passages")
+    spans = spans.unionByName(written(uncovered(exact, spans), "exact"))
     ids = slim.select(F.col("__rid").alias("rid"), F.col("__doc").alias(id_col))
     sources = slim.select(F.col("__rid").alias("src_rid"), F.col("__doc").alias("source_id"))
     longer = F.greatest(F.col("end") - F.col("begin"), F.col("src_end") - F.col("src_begin"))

@@ -112,6 +112,51 @@ def test_every_shared_run_goes_but_for_its_ends(spark):
     assert got[1] == (5, 0, docs[0][1]) and got[2][1] >= 3 and got[3][1] >= 7
 
 
+def lines_that_stand_earlier(docs, min_lines=3):
+    """docs: (id, text) with unique ids; gives id -> the set of its lines, blank ones not counted, in such a run."""
+    first, out = {}, {}
+    for doc, text in sorted(docs):
+        h = [x.strip() for x in text.split("\n") if x.strip()]
+        out[doc] = set()
+        for i in range(len(h) - min_lines + 1):
+            if first.setdefault(tuple(h[i:i + min_lines]), (doc, i)) != (doc, i):
+                out[doc].update(range(i, i + min_lines))
+    return out
+
+
+@pytest.mark.parametrize("size", [3, 4])
+def test_a_run_goes_though_two_of_its_lines_stand_earlier(spark, size):
+    docs = []
+    for n in range(100):
+        run = [f"run {n} line {i}" for i in range(size)]
+        at = n % (size - 1)
+        for i, lines in enumerate((run[at:at + 2], run, run)):
+            docs.append((3 * n + i, "\n".join([f"a {n} {i}", *lines, f"z {n} {i}"])))
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    for doc, text in docs:
+        gone = doc % 3 == 2
+        assert got[doc] == (text.count("\n") + 1, size * gone, f"a {doc // 3} 2\nz {doc // 3} 2" if gone else text)
+
+
+def test_touching_matches_of_different_sources_stay(spark):
+    docs = []
+    for n in range(50):
+        a, b = [f"a{n} {i}" for i in range(2)], [f"b{n} {i}" for i in range(2)]
+        docs += [(3 * n, "\n".join(a)), (3 * n + 1, "\n".join(b)), (3 * n + 2, "\n".join(a + b))]
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert all(got[d] == (t.count("\n") + 1, 0, t) for d, t in docs)
+
+
+def test_exactly_the_runs_that_stand_earlier_go(spark):
+    rng = random.Random(3)
+    docs = [(d, "\n".join(f"line {rng.randint(0, 5)}" for _ in range(rng.randint(0, 8)))) for d in range(150)]
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+    gone = lines_that_stand_earlier(docs)
+    for doc, text in docs:
+        lines = [x for x in text.split("\n") if x]
+        assert got[doc] == (len(lines), len(gone[doc]), "\n".join(x for i, x in enumerate(lines) if i not in gone[doc]))
+
+
 def test_odd_rows(spark):
     copy = "a\nb\n\nc\nd"
     docs = [(None, copy, 1), (4, None, 1), (5, "", 1), (6, copy, 1), (6, copy, 1), (7, "x\n" * 9, 1), (8, "a\nb", 1),

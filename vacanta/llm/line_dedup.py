@@ -1,4 +1,4 @@
-"""Repeated runs of lines, found by winnowing: the minima of line hashes in every window are joined and extended."""
+"""Repeated runs of lines: hashes of all runs that are long enough are joined to their first place."""
 
 from __future__ import annotations
 
@@ -55,8 +55,8 @@ def leading_equal(one: Column, other: Column) -> Column:
     return F.when(at == 0, F.size(same)).otherwise(at - 1)
 
 
-def repeated_runs(lined: DataFrame, gram: int, window: int, min_lines: int) -> DataFrame:
-    """Per document `__rid` its `runs` of lines (first, and one past the last, counted among `__h`) to delete."""
+def winnowed_spans(lined: DataFrame, gram: int, window: int) -> DataFrame:
+    """Places of the fingerprints that stand earlier, extended both ways: `__rid`, `begin`, `end`."""
     seeds = fingerprints(lined, gram, window)
     place = F.struct("__doc", "__rid", "pos", "before", "after")
     firsts = written(
@@ -65,10 +65,30 @@ def repeated_runs(lined: DataFrame, gram: int, window: int, min_lines: int) -> D
     )
     same_place = (F.col("__rid") == F.col("first.__rid")) & (F.col("pos") == F.col("first.pos"))
     later = seeds.join(firsts, "g").filter(~same_place)
-    spans = later.select(
+    return later.select(
         "__rid", (F.col("pos") - leading_equal(F.col("before"), F.col("first.before"))).alias("begin"),
         (F.col("pos") + gram + leading_equal(F.col("after"), F.col("first.after"))).alias("end"),
     )
+
+
+def earlier_spans(lined: DataFrame, min_lines: int) -> DataFrame:
+    """All runs of `min_lines` lines that one earlier place holds: `__rid`, `begin`, `end`.
+
+    A longer run that stands earlier is the union of these, so nothing has to be extended.
+    """
+    count = F.greatest(F.size("__h") - (min_lines - 1), F.lit(0))
+    grams = F.transform(F.slice("__h", F.lit(1), count), lambda _, i: F.xxhash64(F.slice("__h", i + 1, F.lit(min_lines))))
+    seeds = lined.select("__doc", "__rid", F.posexplode(grams).alias("pos", "g"))
+    firsts = written(
+        seeds.groupBy("g").agg(F.min(F.struct("__doc", "__rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("g", "first.__rid", "first.pos").toDF("g", "first_rid", "first_pos"), "firsts",
+    )
+    later = seeds.join(firsts, "g").filter("__rid <> first_rid or pos <> first_pos")
+    return later.select("__rid", F.col("pos").alias("begin"), (F.col("pos") + min_lines).alias("end"))
+
+
+def repeated_runs(spans: DataFrame, min_lines: int) -> DataFrame:
+    """Per document `__rid` its `runs` of lines (first, and one past the last, counted among `__h`) to delete."""
     in_doc = Window.partitionBy("__rid").orderBy("begin", "end")
     upto = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("open", F.coalesce((F.col("begin") > upto).cast("int"), F.lit(1)))
@@ -91,20 +111,21 @@ def without_runs(text: Column, at: Column, runs: Column) -> Column:
 
 
 def remove_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2,
-    min_lines: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None,
+    window: int | None = None, min_lines: int = 3,
 ) -> DataFrame:
     """Delete runs of lines that an earlier document, or an earlier place of the same one, holds as well.
 
     Adds `n_lines` (lines with a word) and `n_removed` (of these, how many are gone) and shortens the text.
-    Lines are compared without white space at their ends. Hashes of `gram` successive lines are winnowed: each
-    `window` of them gives its smallest, so two documents that share `gram` + `window` - 1 lines share one. Every
-    place of a fingerprint is joined to its first place in the order of ids and extended both ways while lines
-    are equal. What overlaps or touches is one run; runs of `min_lines` or more go, blank lines inside them too.
-    So of each run of at least `gram` + `window` - 1 lines that stands earlier, all goes but at most `window` - 1
-    lines at an end, where the first place of the fingerprint does not go on alike.
-
-    One row per fingerprint is joined to, so a line shared by many documents costs no pairs, and Spark splits it
+    Lines are compared without white space at their ends. Every run of `min_lines` lines is joined to its first place
+    in the order of ids, and goes if that is another one. So exactly the lines of runs of `min_lines` or more that one
+    earlier place holds go, and the blank lines between them.
+
+    With `gram` and `window` runs are sampled instead, with fewer rows and less exactly: hashes of `gram` successive
+    lines are winnowed, each `window` of them gives its smallest, and each place is extended both ways from its first
+    place; what overlaps or touches is one run.
+
+    One row per hash is joined to, so a line shared by many documents costs no pairs, and Spark splits it
     when it is hot. A NULL text stays NULL and has no lines; a text that is deleted whole becomes empty; NULL ids
     come first; of equal rows and rows with one id, one in no stated order counts as the first; no rows give no
     rows; input columns named as an added one are replaced.
@@ -112,7 +133,9 @@ def remove_repeated_lines(
     clean = without(docs, "n_lines", "n_removed")
     marked = clean.withColumns({"__rid": F.monotonically_increasing_id(), "__doc": F.col(id_col)})
     lined = written(with_lines(marked, text_col), "lines")
-    runs = repeated_runs(lined, gram, window, min_lines)
+    sampled = gram is not None or window is not None
+    spans = winnowed_spans(lined, gram or 2, window or 2) if sampled else earlier_spans(lined, min_lines)
+    runs = repeated_runs(spans, min_lines)
     joined = lined.join(runs, "__rid", "left")
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["end"] - r["begin"]).cast("int"))
     short = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(

@@ -157,6 +157,26 @@ def test_exactly_the_runs_that_stand_earlier_go(spark):
         assert got[doc] == (len(lines), len(gone[doc]), "\n".join(x for i, x in enumerate(lines) if i not in gone[doc]))
 
 
+def test_long_lines_that_stand_earlier_go(spark):
+    long, short, half = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("l", 50), ("s", 49), ("h", 25)))
+    pair = f"{half}\n\n{half.upper()}"
+    docs = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\r\nd"), (3, long), (4, f"a\n{short}"), (5, f"b\n{short}"), (6, short),
+            (7, f"x\n{pair}\ny"), (8, f"z\n{pair}"), (9, f"{half}\nu\n{half.upper()}")]
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    want = {d: (len([x for x in t.split("\n") if x.strip()]), 0, t) for d, t in docs}
+    assert got == want | {2: (3, 1, "c\nd"), 3: (1, 1, ""), 8: (3, 2, "z")}
+
+
+def test_no_line_of_fifty_words_stands_twice(spark):
+    path = "/root/testdata/sf0.01"
+    seen = set()
+    for r in sorted(QUERIES["op3_line_dedup"](spark, path).collect(), key=lambda r: r.doc_id):
+        for line in (r.text or "").split("\n"):
+            words = line.split()
+            assert len(words) < 50 or line.strip() not in seen, r.doc_id
+            seen.add(line.strip())
+
+
 def test_odd_rows(spark):
     copy = "a\nb\n\nc\nd"
     docs = [(None, copy, 1), (4, None, 1), (5, "", 1), (6, copy, 1), (6, copy, 1), (7, "x\n" * 9, 1), (8, "a\nb", 1),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import WORD, barrier, without, written
+from vacanta.llm.common import SPACE, WORD, barrier, without, written
 
 
 def with_lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """Add `__at` and `__h`: places and hashes of the lines that hold a word, cut at line feeds and trimmed."""
+    """Add `__at`, `__h` and `__n`: places, hashes and words of the lines that hold a word.
+
+    Lines are cut at line feeds and trimmed.
+    """
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("x"))),
                       lambda s: s["x"].rlike(WORD))
@@ -17,6 +20,7 @@ def with_lines(docs: DataFrame, text_col: str) -> DataFrame:
     return once.withColumns({
         "__at": F.col("__lines.at"),
         "__h": F.transform("__lines", lambda s: F.xxhash64(F.btrim(s["x"], F.lit(" \t\r\x0b\x0c")))),
+        "__n": F.transform("__lines", lambda s: F.size(F.split(F.btrim(s["x"], F.lit(" \t\r\x0b\x0c")), SPACE))),
     }).drop("__lines")
 
 
@@ -71,24 +75,38 @@ def winnowed_spans(lined: DataFrame, gram: int, window: int) -> DataFrame:
     )
 
 
-def earlier_spans(lined: DataFrame, min_lines: int) -> DataFrame:
-    """All runs of `min_lines` lines that one earlier place holds: `__rid`, `begin`, `end`.
+def earlier_spans(lined: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """Runs of `min_lines` lines, or fewer with `min_words` words, that one earlier place holds.
 
-    A longer run that stands earlier is the union of these, so nothing has to be extended.
+    Returns `__rid`, `begin`, `end`. A longer run that stands earlier is the union of these, so nothing has to be
+    extended.
     """
-    count = F.greatest(F.size("__h") - (min_lines - 1), F.lit(0))
-    grams = F.transform(F.slice("__h", F.lit(1), count), lambda _, i: F.xxhash64(F.slice("__h", i + 1, F.lit(min_lines))))
-    seeds = lined.select("__doc", "__rid", F.posexplode(grams).alias("pos", "g"))
+    def runs(size: int) -> Column:
+        count = F.greatest(F.size("__h") - (size - 1), F.lit(0))
+        hashed = F.transform(F.slice("__h", F.lit(1), count), lambda _, i: F.struct(
+            i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice("__h", i + 1, F.lit(size))).alias("g"),
+        ))
+        if size == min_lines:
+            return hashed
+        return F.filter(hashed, lambda r: F.aggregate(
+            F.slice("__n", r["pos"] + 1, F.lit(size)), F.lit(0), lambda n, w: n + w
+        ) >= min_words)
+
+    found = F.concat(*[runs(size) for size in range(1, min_lines + 1)])
+    seeds = lined.select("__doc", "__rid", F.explode(found).alias("r")).select("__doc", "__rid", "r.*")
     firsts = written(
         seeds.groupBy("g").agg(F.min(F.struct("__doc", "__rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("g", "first.__rid", "first.pos").toDF("g", "first_rid", "first_pos"), "firsts",
     )
     later = seeds.join(firsts, "g").filter("__rid <> first_rid or pos <> first_pos")
-    return later.select("__rid", F.col("pos").alias("begin"), (F.col("pos") + min_lines).alias("end"))
+    return later.select("__rid", F.col("pos").alias("begin"), (F.col("pos") + F.col("size")).alias("end"))
 
 
 def repeated_runs(spans: DataFrame, min_lines: int) -> DataFrame:
-    """Per document `__rid` its `runs` of lines (first, and one past the last, counted among `__h`) to delete."""
+    """Per document `__rid` its `runs` of lines (first, and one past the last, counted among `__h`) to delete.
+
+    What overlaps or touches is one run; shorter ones than `min_lines` stay.
+    """
     in_doc = Window.partitionBy("__rid").orderBy("begin", "end")
     upto = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("open", F.coalesce((F.col("begin") > upto).cast("int"), F.lit(1)))
@@ -112,16 +130,17 @@ def without_runs(text: Column, at: Column, runs: Column) -> Column:
 
 def remove_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None,
-    window: int | None = None, min_lines: int = 3,
+    window: int | None = None, min_lines: int = 3, min_words: int = 50,
 ) -> DataFrame:
     """Delete runs of lines that an earlier document, or an earlier place of the same one, holds as well.
 
     Adds `n_lines` (lines with a word) and `n_removed` (of these, how many are gone) and shortens the text.
-    Lines are compared without white space at their ends. Every run of `min_lines` lines is joined to its first place
-    in the order of ids, and goes if that is another one. So exactly the lines of runs of `min_lines` or more that one
-    earlier place holds go, and the blank lines between them.
+    Lines are compared without white space at their ends. Every run of `min_lines` lines, and every shorter one
+    with `min_words` words or more, is joined to its first place in the order of ids, and goes if that is another one.
+    So exactly the lines of runs of `min_lines` or `min_words` or more that one earlier place holds go, and the blank
+    lines between them. Shorter common lines stay.
 
-    With `gram` and `window` runs are sampled instead, with fewer rows and less exactly: hashes of `gram` successive
+    With `gram` or `window` runs of `min_lines` are sampled instead, with fewer rows and less exactly: hashes of `gram` successive
     lines are winnowed, each `window` of them gives its smallest, and each place is extended both ways from its first
     place; what overlaps or touches is one run.
 
@@ -134,8 +153,10 @@ def remove_repeated_lines(
     marked = clean.withColumns({"__rid": F.monotonically_increasing_id(), "__doc": F.col(id_col)})
     lined = written(with_lines(marked, text_col), "lines")
     sampled = gram is not None or window is not None
-    spans = winnowed_spans(lined, gram or 2, window or 2) if sampled else earlier_spans(lined, min_lines)
-    runs = repeated_runs(spans, min_lines)
+    if sampled:
+        runs = repeated_runs(winnowed_spans(lined, gram or 2, window or 2), min_lines)
+    else:
+        runs = repeated_runs(earlier_spans(lined, min_lines, min_words), 1)
     joined = lined.join(runs, "__rid", "left")
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["end"] - r["begin"]).cast("int"))
     short = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -101,3 +102,18 @@ def test_equal_texts_are_alike_and_others_not(spark):
     assert (both.groupby("text").fingerprint.nunique() == 1).all()
     assert both.groupby("fingerprint").text.nunique().max() <= 3
     assert got.near_next.mean() < 0.05 < 0.1 < got.near_edited.mean() < 0.9
+
+
+def test_near_copies_in_a_rare_language_stay_alike(spark):
+    rng = random.Random(4)
+    common, rare = ([f"{x}{i}" for i in range(n)] for x, n in (("c", 3000), ("r", 90)))
+    docs = [(i, " ".join(rng.sample(common, 80))) for i in range(2955)]
+    texts = [rng.sample(rare, 60) for _ in range(45)]  # 1.5 percent of all, with a term in 1 percent each
+    docs += [(5000 + i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = fp.lexicon(df)
+    near = [(i, " ".join(t), " ".join(t[:30] + ["changed"] + t[31:])) for i, t in enumerate(texts)]
+    both = fp.with_fingerprint(spark.createDataFrame(near, "i long, a string, b string"), "a", terms, "x")
+    both = fp.with_fingerprint(both, "b", terms, "y")
+    alike = [r[0] for r in both.select(fp.likeness(both.x, both.y)).collect()]
+    assert min(alike) > 0.3, sorted(alike)[:5]

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacanta.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, quality_model, quality_rules, sharding, substring_dedup, token_files
+from vacanta.llm import (
+    fingerprints, jaccard_join, lexical_search, line_dedup, mixing, packing, quality_model, quality_rules, sharding,
+    substring_dedup, suffix_dedup, token_files, whitening,
+)
 from vacanta.llm.common import document_texts
 from vacanta.sources.scratch import scratch_dir
 
@@ -111,6 +114,26 @@ def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return substring_dedup.repeated_passages(document_texts(spark, d, "doc_id", "text"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    docs = document_texts(spark, d, "doc_id", "text")
+    return lexical_search.search(docs, spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", "text"))
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    """All embeddings on the 32 leading components of their covariance, whitened."""
+    return whitening.whiten(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """All documents without the 50-byte strings that start in an earlier one, too."""
+    found = suffix_dedup.remove_repeated_windows(document_texts(spark, d, "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # The same sets, all pairs that share a shingle, and components by reachability.
 ORACLES["op9_jaccard_join"] = r"""
 with recursive texts as (
@@ -132,3 +155,52 @@ reach as (
 least as (select a as doc_id, min(b) as component_id from reach group by a)
 select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id
 from documents d join least l using (doc_id) left join sizes s using (doc_id)"""
+
+# Terms by the same pattern, A to Z lower-cased, and the same whole-number score.
+ORACLES["op11_lexical_search"] = r"""
+with doc_terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents where text is not null),
+item_terms as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark where text is not null),
+lengths as (select doc_id, count(*) as n from doc_terms group by doc_id),
+corpus as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+tfs as (select doc_id, term, count(*) as tf from doc_terms where term in (select term from item_terms) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, corpus group by term),
+scores as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::bigint as score
+  from item_terms join tfs using (term) join weights using (term) join lengths using (doc_id), corpus
+  group by item_id, doc_id)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from scores where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 50"""
+
+# All windows of 50 bytes (in hexadecimal, from parts of a text) with the first document of each.
+ORACLES["op13_suffix_dedup"] = r"""
+with bytes as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+parts as (select doc_id, q, substr(h, 2 * q + 1, 2 * 249) as h from (
+  select doc_id, h, unnest(range(0, n - 49, 200)) as q from bytes where n >= 50)),
+windows as (
+  select doc_id, q + k as p, substr(h, 2 * k + 1, 100) as w
+  from (select doc_id, q, h, unnest(range(0, least(200, length(h) // 2 - 49))) as k from parts)),
+firsts as (select w, min(doc_id) as first from windows group by w),
+hits as (select doc_id, p from windows join firsts using (w) where first < doc_id),
+gaps as (
+  select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as new from hits),
+runs as (select doc_id, p, sum(new) over (partition by doc_id order by p) as run from gaps),
+spans as (select doc_id, min(p) as b, max(p) + 50 as e from runs group by doc_id, run),
+kept as (
+  select doc_id, h, n, b, e, lead(b, 1, n) over (partition by doc_id order by b) as until,
+    row_number() over (partition by doc_id order by b) as k from bytes join spans using (doc_id)),
+cut as (
+  select doc_id, any_value(n) as n_bytes, sum(e - b)::bigint as n_removed, count(*) as n_spans,
+    string_agg(case when k = 1 then substr(h, 1, 2 * b) else '' end || substr(h, 2 * e + 1, 2 * (until - e)), '' order by b) as rest
+  from kept group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(rest, h))) as kept_sha256
+from bytes left join cut using (doc_id)"""

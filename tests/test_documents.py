@@ -129,6 +129,56 @@ def test_extract_with_defaults_and_rejects(spark):
     assert refused.n == 3 and refused.model == "qwen2.5:7b" and refused.response == "sorry"
 
 
+def asked(spark, n, model, **options):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(n)] + [(n, None)], "n bigint, text string").coalesce(1)
+    out = documents.extract_with(df, model, F.lit("now"), **options).select("n", "reject_reason", "posting.metadata.job_title").collect()
+    return {r.n: r.job_title for r in out if r.reject_reason is None}, {r.n: r.reject_reason for r in out if r.reject_reason}
+
+
+def numbers(prompts):
+    return [int(p.split("text ")[1].split()[0]) for p in prompts]
+
+
+def answer(i):
+    return '{"metadata":{"job_title":"t%d"}}' % i
+
+
+def test_one_failing_call_costs_one_row(spark):
+    def model(prompts, providers, models):
+        found = numbers(prompts)
+        if any(i % 50 == 7 for i in found):
+            raise RuntimeError("no quota")
+        if 31 in found:
+            return [answer(i) for i in found] + ["more"]
+        return [None if i == 40 else answer(i) for i in found]
+
+    stored, refused = asked(spark, 200, model, rows=64)
+    assert refused == {200: "no text", 31: "model call failed: ValueError: 2 answers to 1 prompts", 40: "empty response", **{
+        i: "model call failed: RuntimeError: no quota" for i in (7, 57, 107, 157)}}
+    assert stored == {i: f"t{i}" for i in range(200) if i not in refused}
+
+
+def test_a_late_call_is_given_up(spark):
+    def model(prompts, providers, models):
+        import time
+
+        found = numbers(prompts)
+        if 5 in found:
+            time.sleep(30)
+        return [answer(i) for i in found]
+
+    stored, refused = asked(spark, 12, model, seconds=0.5, rows=4)
+    assert refused == {12: "no text", 5: "model call failed: TimeoutError: no answer in 0.5 s"} and len(stored) == 11
+
+
+def test_a_model_that_always_fails_refuses_all(spark):
+    def model(prompts, providers, models):
+        raise SystemExit("gone")
+
+    stored, refused = asked(spark, 5, model, rows=2)
+    assert not stored and len(refused) == 6
+
+
 def test_rules_extract_needs_no_model(spark):
     text = (
         "\nURL: https://x/1\nSOURCE: LinkedIn (Scraped)\n\nJOB TITLE: Senior Backend Engineer\n\nCOMPANY: ACME\n\n"

@@ -1,5 +1,6 @@
 """From posting text to the nested posting document, and from the document to table rows."""
 
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -162,16 +163,70 @@ CLOUD_PROVIDER = "perplexity"
 DEFAULT_MODELS = {"perplexity": "sonar-pro", "ollama": "qwen2.5:7b"}
 
 NO_TEXT = "no text"
+CALL_FAILED = "model call failed"
+
+# Fixed value: how many seconds a model call may take.
+CALL_SECONDS = 60.0
+#: Rows that one call gets at most.
+CALL_ROWS = 64
 
 ModelFn = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
 
 
-def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None) -> DataFrame:
+def _call(fn: ModelFn, rows: pd.DataFrame, seconds: float) -> list[str | None]:
+    """The model's answers to these rows; raises if it fails, is late, or answers another number of rows.
+
+    A late call cannot be stopped. It goes on in a thread that nobody waits for, and its answers are dropped.
+    """
+    out: dict = {}
+
+    def run() -> None:
+        try:
+            out["answers"] = list(fn(rows["prompt"], rows["provider"], rows["model"]))
+        except BaseException as error:  # noqa: BLE001  whatever a model raises is a call that failed
+            out["error"] = error if isinstance(error, Exception) else RuntimeError(repr(error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        raise TimeoutError(f"no answer in {seconds:g} s")
+    if "error" in out:
+        raise out["error"]
+    if len(out["answers"]) != len(rows):
+        raise ValueError(f"{len(out['answers'])} answers to {len(rows)} prompts")
+    return [None if a is None or a != a else str(a) for a in out["answers"]]
+
+
+def _asked(fn: ModelFn, rows: pd.DataFrame, seconds: float) -> tuple[list[str | None], list[str | None]]:
+    """Answers and failures, row by row. Rows of a call that fails are asked again in halves, down to single rows."""
+    answers: list[str | None] = [None] * len(rows)
+    failures: list[str | None] = [None] * len(rows)
+    left = [(0, len(rows))]
+    while left:
+        begin, end = left.pop()
+        try:
+            answers[begin:end] = _call(fn, rows.iloc[begin:end], seconds)
+        except Exception as error:  # noqa: BLE001
+            if end - begin == 1:
+                failures[begin] = f"{CALL_FAILED}: {type(error).__name__}: {error}"[:500]
+            else:
+                middle = (begin + end) // 2
+                left += [(middle, end), (begin, middle)]
+    return answers, failures
+
+
+def extract_with(
+    requests: DataFrame, fn: ModelFn, stamp: Column | None = None, seconds: float = CALL_SECONDS, rows: int = CALL_ROWS,
+) -> DataFrame:
     """Run a model over request rows and parse its answers.
 
     Rows have `text` and may have `source_url`, `provider` and `model`; blank ones get their defaults.
-    `fn(prompts, providers, models)` gets one Arrow batch as pandas Series and returns the responses.
-    A batch is retried when its executor is lost, so write the result once before using it twice. A row without
+    `fn(prompts, providers, models)` gets up to `rows` rows as pandas Series and returns the responses. It has
+    `seconds` for them. If it raises, is late or returns another number of answers, its rows are asked again in halves;
+    a row that fails alone is refused with the reason, and all others are kept. So one row costs no more than itself.
+
+    A call is made again when its executor is lost, so write the result once before using it twice. A row without
     text never reaches the model and is refused.
     """
     stamp = local_stamp(F.current_timestamp()) if stamp is None else stamp
@@ -189,19 +244,23 @@ def extract_with(requests: DataFrame, fn: ModelFn, stamp: Column | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            known = batch[batch["text"].notna()]
-            answers = fn(known["prompt"], known["provider"], known["model"]) if len(known) else None
-            yield batch.drop(columns="prompt").assign(
-                response=pd.Series(answers, index=known.index, dtype=object).reindex(batch.index) if len(known) else None
-            )
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at:at + rows]
+                known = part[part["text"].notna()]
+                answers, failures = _asked(fn, known, seconds) if len(known) else ([], [])
+                yield part.drop(columns="prompt").assign(**{
+                    name: pd.Series(values, index=known.index, dtype=object).reindex(part.index)
+                    for name, values in (("response", answers), ("_failure", failures))
+                })
 
     out_schema = StructType(
-        [f for f in prepared.schema.fields if f.name != "prompt"] + [StructField("response", StringType())]
+        [f for f in prepared.schema.fields if f.name != "prompt"]
+        + [StructField("response", StringType()), StructField("_failure", StringType())]
     )
     answered = prepared.mapInPandas(run, out_schema)
     parsed = parse_posting(answered.withColumn("json", strip_fences(F.col("response"))), "json")
-    reason = F.when(F.col("text").isNull(), NO_TEXT).otherwise(F.col("reject_reason"))
-    return resolve_source_url(parsed.drop("json").withColumn("reject_reason", reason))
+    reason = F.when(F.col("text").isNull(), NO_TEXT).otherwise(F.coalesce("_failure", "reject_reason"))
+    return resolve_source_url(parsed.drop("json").withColumn("reject_reason", reason).drop("_failure"))
 
 
 def _line_after(text: Column, label: str) -> Column:

@@ -1,0 +1,146 @@
+"""Golden cases of the selector compiler and of hidden elements, and random trees against a plain matcher."""
+
+import random
+import time
+
+import pytest
+
+from vacanta.functions import markup
+from vacanta.functions.selectors import Unsupported, compile_selector, parse_selector
+from vacanta.operators import pages
+
+PAGE = """<body><nav id=top class="bar wide"><a href="/x.pdf" lang=en-GB>1</a><a href="http://y">2</a></nav>
+<main data-k="A b"><h1>3</h1><p>4</p><p class=lead>5<b>6</b></p><div hidden>7</div><ul><li>8<li>9<li>10<li>11</ul>
+<section><p>12</p><i></i></section></main><footer><p>13</p></footer>"""
+
+
+def found(selector, page=PAGE):
+    _, nodes = markup.parse(page)
+    test = compile_selector(selector)
+    return [markup.text_content(n).strip() for n in nodes if test(n)]
+
+
+@pytest.mark.parametrize("selector, want", [
+    ("main > p", ["4", "56"]), ("h1 + p", ["4"]), ("h1 ~ p", ["4", "56"]), ("h1 ~ div", ["7"]), ("p + p > b", ["6"]),
+    ("p:not(.lead)", ["4", "12", "13"]), ("main p:not(.lead, section > *)", ["4"]), ("li:nth-child(2n)", ["9", "11"]),
+    ("li:nth-child(odd)", ["8", "10"]), ("li:nth-child(-n+2)", ["8", "9"]), ("li:nth-child(3)", ["10"]),
+    ("li:first-child, li:last-child", ["8", "11"]), ("a[href^='/']", ["1"]), ('a[href$=".pdf"]', ["1"]),
+    ("[lang|=en]", ["1"]), ("[data-k~=b] > h1", ["3"]), ("[data-k='a b' i] > h1", ["3"]), ("[hidden]", ["7"]),
+    ("#top > a:only-child", []), ("nav#top.bar.wide a + a", ["2"]), (":is(nav, footer) > :is(a, p)", ["1", "2", "13"]),
+    ("main section:last-child i:empty", [""]), ("body section:last-of-type > p", ["12"]), ("main p ~ section p", ["12"]),
+    ("*[href]", ["1", "2"]), ("a:hover", []), ("p::before", []), ("nav  a ,footer>p", ["1", "2", "13"]),
+    (":root > body > main > h1", ["3"]), ("p:first-of-type", ["4", "12", "13"]), ("li:where(:nth-child(4))", ["11"]),
+])
+def test_forms(selector, want):
+    assert found(selector) == want
+
+
+@pytest.mark.parametrize("selector", ["", "p >", "> p", "p[", "p:nope", "p:not(", "a,,b", "p:nth-child(x)", "1p", "p{}"])
+def test_unreadable(selector):
+    with pytest.raises(Unsupported):
+        compile_selector(selector)
+
+
+def test_weights():
+    weight = lambda s: parse_selector(s)[0].weight
+    assert weight("#a .b[c] > p:first-child") == (1, 3, 1) and weight(":not(#a, b)") == (1, 0, 0)
+    assert weight(":where(#a) i") == (0, 0, 1) and weight("*") == (0, 0, 0)
+
+
+def plain(node, compounds, joins, i):
+    if not compounds[i].holds(node):
+        return False
+    if i == 0:
+        return True
+    left = []
+    if joins[i] in (" ", ">"):
+        up = node.parent
+        while up is not None:
+            left.append(up)
+            up = up.parent if joins[i] == " " else None
+    else:
+        before = node.before
+        while before is not None:
+            left.append(before)
+            before = before.before if joins[i] == "~" else None
+    return any(plain(n, compounds, joins, i - 1) for n in left)
+
+
+def test_random_trees():
+    rng = random.Random(7)
+    for _ in range(60):
+        parts, depth = [], 0
+        for _ in range(60):
+            if depth and rng.random() < 0.45:
+                parts.append("</span>")
+                depth -= 1
+            else:
+                parts.append(f"<span class={rng.choice('abc')}>")
+                depth += 1
+        _, nodes = markup.parse("".join(parts))
+        text = "".join(rng.choice([" ", " > ", " + ", " ~ "]) + "." + rng.choice("abc") for _ in range(rng.randint(2, 5)))
+        (s,) = parse_selector(text.strip(" >+~"))
+        assert [s.matches(n) for n in nodes] == [plain(n, s.compounds, s.joins, len(s.joins) - 1) for n in nodes]
+
+
+def test_deep_and_wide_pages_cost_one_pass():
+    deep, wide = "<i class=a>" * 20_000, "<i class=a></i>" * 20_000
+    began = time.time()
+    assert not found(".a .a > .a .a ~ .b", deep) and not found(".a ~ .a + .a ~ .b, i:nth-child(2n):last-of-type .c", wide)
+    assert time.time() - began < 10
+
+
+HIDE = "<style>%s</style><body><p class=x id=i>a</p><div><p>b</p></div>"
+
+
+@pytest.mark.parametrize("css, want", [
+    (".x{display:none}", "b"), (".x{display:none}.x{display:block}", "a\n\nb"), ("#i{display:none}.x{display:block}", "b"),
+    (".x{display:none!important}#i{display:block}", "b"), ("p{display:none}div p{display:block}", "b"),
+    ("@media print{.x{display:none}}", "a\n\nb"), ("@media screen{.x{display:none}}div{color:red}", "b"),
+    ("@media (max-width:9px){.x{display:none}}", "a\n\nb"), ("/* .x{display:none} */", "a\n\nb"),
+    ("@import 'x.css';.x{color:red;DISPLAY : None}", "b"), (".x:nope,p{display:none}", "a\n\nb"),
+    ("p{visibility:hidden}div{display:none}", ""), ('q{content:"}.x{display:none}"}', "a\n\nb"),
+    (".x{display:none", "b"), ("}.x{display:none}", "b"),
+])
+def test_style_sheets(css, want):
+    root, nodes = markup.parse(HIDE % css)
+    assert markup.rendered(root, markup.Styles(nodes)) == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("a<i hidden>b</i>c", "ac"), ("a<i style='display:none'>b</i>c", "ac"), ("a<i hidden style='display:inline'>b</i>c", "abc"),
+    ("<i style='visibility:hidden'>a<b style='visibility:visible'>b</b></i>", "b"), ("a<dialog>b</dialog><dialog open>c</dialog>", "ac"),
+    ("<div hidden>a<p>b</p></div>", ""), ("<style media=print>i{display:none}</style><i>a</i>", "a"),
+])
+def test_attributes_hide(html, want):
+    root, nodes = markup.parse("<body>" + html)
+    assert markup.rendered(root, markup.Styles(nodes)) == want
+
+
+def test_of_a_hidden_element_all_text_is_taken():
+    root, nodes = markup.parse("<div hidden><h1> a  <b hidden>b</b></h1></div>")
+    assert markup.rendered(markup.first(nodes, compile_selector("h1")), markup.Styles(nodes)) == " a  b"
+
+
+SITE = "site string, host string, field string, position int, selector string"
+
+
+def test_a_site_from_a_table(spark):
+    table = spark.createDataFrame([
+        ("acme", "Acme.example", None, None, None), ("acme", None, "title", 2, "h1"), ("acme", None, "title", 1, "h2 > b"),
+        ("acme", None, "description", 1, "article"), ("acme", None, "description_drop", 1, "footer"),
+        ("sub", "x.acme.example", None, None, None), ("sub", None, "fallback", 1, "body"),
+    ], SITE)
+    html = "<body><h1>one</h1><h2><b>two</b></h2><article>%s<footer>f</footer></article></body>" % ("word " * 50)
+    urls = ["https://jobs.acme.example/1", "https://acme.example", "https://x.acme.example/?q", "https://notacme.example/", None]
+    df = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    out = {r.page_id: r for r in pages.pages_to_text(df, table).collect()}
+    assert [out[i].site for i in range(5)] == ["acme", "acme", "sub", "generic", "generic"]
+    assert out[0].text == "JOB TITLE: two\n\nDESCRIPTION:\n" + ("word " * 50).strip()
+    assert out[2].text.startswith("DESCRIPTION:\nonetwoword") and out[2].text.endswith("f")
+
+
+@pytest.mark.parametrize("row", [("a", None, "title", 1, "p >"), ("a", None, "nose", 1, "p"), ("linkedin", None, "title", 1, "p")])
+def test_a_bad_table_is_refused(spark, row):
+    with pytest.raises(ValueError):
+        pages.site_rules(spark.createDataFrame([row], SITE))

@@ -4,6 +4,9 @@ import re
 from bisect import bisect_right
 from html import unescape
 
+from vacanta.functions.selectors import compile_selector as compile_selector
+from vacanta.functions.visibility import Styles
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 PARAGRAPH_ENDERS = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form",
@@ -30,7 +33,7 @@ MARKUP = re.compile(
     |[!?/][^>]*+(?:>|\Z))""",
     re.S | re.X,
 )
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*(=)\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 DECODED = {"textarea", "title"}
 RAW_TEXT = {
     name: re.compile(rf"</{name}(?=[\s/>])", re.I)
@@ -39,10 +42,15 @@ RAW_TEXT = {
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "above")
+    __slots__ = ("tag", "attrs", "parent", "items", "above", "before", "newest", "memo")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        # The element before, and the last child so far; what a selector has found out.
+        self.before = parent.newest if parent else None
+        self.newest = self.memo = None
+        if parent:
+            parent.newest = self
         # Tags of all ancestors; most nodes share their parent's set.
         over = parent.above if parent else frozenset()
         self.above = over if parent is None or parent.tag in over else over | {parent.tag}
@@ -85,7 +93,7 @@ class _Tree:
             self._close_nearest({"p"}, {"table", "td", "th", "button", "li"})
         if tag in SELF_ENDERS:
             self._close_nearest(*SELF_ENDERS[tag])
-        node = Node(tag, attributes(attrs) if "=" in attrs else NO_ATTRS, self.top)
+        node = Node(tag, attributes(attrs, True) if attrs and not attrs.isspace() else NO_ATTRS, self.top)
         self.top.items.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -117,11 +125,12 @@ class _Tree:
             self.top.items.append(unescape(data) if "&" in data else data)
 
 
-def attributes(source: str) -> dict[str, str]:
-    """Attributes of a tag; of a repeated one the first counts."""
+def attributes(source: str, bare: bool = False) -> dict[str, str]:
+    """Attributes of a tag; of a repeated one the first counts. With `bare`, those without a value too, as ''."""
     found = {}
-    for name, double, single, bare in ATTRIBUTE.findall(source):
-        found.setdefault(name.lower(), unescape(double or single or bare))
+    for name, equals, double, single, plain in ATTRIBUTE.findall(source):
+        if equals or bare:
+            found.setdefault(name.lower(), unescape(double or single or plain))
     return found
 
 
@@ -153,40 +162,6 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return tree.root, tree.nodes
 
 
-def compile_selector(selector: str):
-    """Test for the selector forms the site rules use: tag, .class, tag.class, [attr*="x"], ancestor tag."""
-    *outer, last = selector.split()
-    tag, klass, attr, part = re.fullmatch(
-        r'([a-z0-9]*)(?:\.([\w-]+))?(?:\[(\w+)\*="([^"]*)"\])?', last
-    ).groups()
-    needs_attrs = bool(klass or attr)
-
-    def matches(node):
-        if tag and node.tag != tag:
-            return False
-        if needs_attrs:
-            if not node.attrs:
-                return False
-            if klass and klass not in node.attrs.get("class", "").split():
-                return False
-            if attr and part not in node.attrs.get(attr, ""):
-                return False
-        if not node.above.issuperset(outer):
-            return False
-        if len(outer) < 2:
-            return True
-        up = node.parent
-        for name in reversed(outer):
-            while up is not None and up.tag != name:
-                up = up.parent
-            if up is None:
-                return False
-            up = up.parent
-        return True
-
-    return matches
-
-
 def first(nodes: list[Node], matches):
     return next((node for node in nodes if matches(node)), None)
 
@@ -206,25 +181,43 @@ def text_content(node: Node, drop=()) -> str:
     return "".join(out)
 
 
-def rendered(node: Node) -> str:
-    """Approximate visible text: blocks and <br> break lines, blanks collapse, scripts and styles are hidden."""
+def rendered(node: Node, styles: Styles | None = None) -> str:
+    """Approximate visible text: blocks and <br> break lines, blanks collapse, scripts and styles are hidden, and so is
+    what `styles` hide. Of an element that is not displayed itself, all text is taken."""
+    if styles is None:
+        styles = Styles([])
     pieces = []  # text, or a number of required line breaks, or None for <br>
+    seen = True
+    for over in reversed(_path(node)):
+        displayed, visibility = styles.of(over)
+        if not displayed:
+            return text_content(node)
+        seen = visibility in ("visible", "initial") if visibility not in (None, "inherit") else seen
 
     def margin(tag):
         return 2 if tag == "p" else 1 if tag in BLOCK else 0
 
-    stack = [(node, iter(node.items), False)]
+    plain = not styles.any
+    stack = [(node, iter(node.items), False, seen)]
     while stack:
-        current, items, pre = stack[-1]
+        current, items, pre, seen = stack[-1]
         for item in items:
             if isinstance(item, str):
-                pieces.append((item if pre else SPACES.sub(" ", item), pre))
+                if seen:
+                    pieces.append((item if pre else SPACES.sub(" ", item), pre))
             elif item.tag == "br":
                 pieces.append(None)
             elif item.tag not in HIDDEN:
+                inner = seen
+                if not plain or item.attrs or item.tag == "dialog":
+                    displayed, visibility = styles.of(item)
+                    if not displayed:
+                        continue
+                    if visibility not in (None, "inherit"):
+                        inner = visibility in ("visible", "initial")
                 if margin(item.tag):
                     pieces.append(margin(item.tag))
-                stack.append((item, iter(item.items), pre or item.tag in ("pre", "textarea")))
+                stack.append((item, iter(item.items), pre or item.tag in ("pre", "textarea"), inner))
                 break
         else:
             stack.pop()
@@ -261,6 +254,15 @@ def rendered(node: Node) -> str:
     return "".join(out)
 
 
+def _path(node: Node) -> list[Node]:
+    """The element and all around it."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
 def _rstrip_blank(out):
     if out and not out[-1].endswith("\n"):
         out[-1] = out[-1].rstrip(" ")

@@ -68,12 +68,55 @@ FIELDS = ["title", "salary", "company", "location", "description"]
 SITE_RULES = {"wellfound": WELLFOUND, "linkedin": LINKEDIN}
 
 
+#: Rows that a table of sites may have. Its rules go to every worker.
+SITE_ROWS = 10_000
+SITE_FIELDS = ["title", "salary", "company", "location", "description", "description_drop", "fallback", "fallback_drop"]
+MIN_DESCRIPTION_OF_OTHERS = 200
+
+
+def site_rules(table: DataFrame) -> tuple[dict, dict]:
+    """Rules and hosts of further sites from a table with `site`, `host`, `field`, `position` and `selector`.
+
+    A row gives one selector of a field (SITE_FIELDS; tried by position) or, where its field is NULL, a host of the site,
+    which stands for its subdomains too. What cannot be read raises an error that names it.
+    """
+    rows = table.select("site", "host", "field", "position", "selector").limit(SITE_ROWS + 1).collect()
+    if len(rows) > SITE_ROWS:
+        raise ValueError(f"a table of sites may have {SITE_ROWS} rows")
+    rules: dict[str, dict[str, list[str]]] = {}
+    hosts: dict[str, str] = {}
+    for r in sorted(rows, key=lambda r: (r["position"] or 0, r["selector"] or "")):
+        spec = rules.setdefault(r["site"], {f: [] for f in SITE_FIELDS})
+        if r["host"]:
+            hosts[r["host"].lower()] = r["site"]
+        if r["field"] is None:
+            continue
+        if r["field"] not in SITE_FIELDS:
+            raise ValueError(f"{r['site']}: no field {r['field']}")
+        markup.compile_selector(r["selector"])
+        spec[r["field"]].append(r["selector"])
+    taken = {*SITE_RULES, *SOURCE_NAMES, "greenhouse"} & rules.keys()
+    if taken:
+        raise ValueError(f"sites with rules of their own: {sorted(taken)}")
+    return rules, hosts
+
+
+def _host_site(url: Column, hosts: dict[str, str]) -> Column:
+    """The site that names the URL's host or one it is a subdomain of, the longest name first; else NULL."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    found = F.lit(None).cast("string")
+    for name in sorted(hosts, key=len):
+        found = F.when((host == name) | F.endswith(host, F.lit("." + name)), hosts[name]).otherwise(found)
+    return found
+
+
 def _one_page(html: str, site: str, rules: dict) -> dict:
     """Candidate texts of one page under one site's rules."""
     root, nodes = markup.parse(html)
     head_title = markup.first(nodes, lambda n: n.tag == "title")
     body = markup.first(nodes, lambda n: n.tag == "body") or root
     out = {"page_title": markup.SPACES.sub(" ", markup.text_content(head_title)).strip(" ") if head_title else ""}
+    styles = markup.Styles(nodes)
     out["frames"] = [n.attrs["src"] for n in nodes if n.tag == "iframe" and n.attrs.get("src")]
     if site == "remoterocketship":
         out["body"] = markup.text_content(body, rules[site])
@@ -81,18 +124,18 @@ def _one_page(html: str, site: str, rules: dict) -> dict:
         spec = rules[site]
         for field in ("title", "salary", "company", "location"):
             found = [markup.first(nodes, m) for m in spec.get(field, [])]
-            out[field] = [markup.rendered(n) for n in found if n is not None]
+            out[field] = [markup.rendered(n, styles) for n in found if n is not None]
         found = [markup.first(nodes, m) for m in spec["description"]]
         out["description"] = [markup.text_content(n, spec["description_drop"]) for n in found if n is not None]
         node = next((n for n in (markup.first(nodes, m) for m in spec["fallback"]) if n is not None), None)
         out["body"] = markup.text_content(node, spec["fallback_drop"]) if node is not None else ""
     else:
-        out["body"] = markup.rendered(body)
+        out["body"] = markup.rendered(body, styles)
     return out
 
 
-def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") -> DataFrame:
-    """Replace the HTML column by the texts found under the rules of each page's site.
+def page_candidates(pages: DataFrame, site: str = "site", html: str = "html", more: dict | None = None) -> DataFrame:
+    """Replace the HTML column by the texts found under the rules of each page's site, those of `more` sites among them.
 
     Adds page_title, body (whole-page or fallback text), frames (addresses of embedded pages) and one array per
     field with the text of the first element of each selector that has one, in selector order.
@@ -105,7 +148,7 @@ def page_candidates(pages: DataFrame, site: str = "site", html: str = "html") ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rules = {
             name: {k: [markup.compile_selector(s) for s in v] for k, v in spec.items()}
-            for name, spec in SITE_RULES.items()
+            for name, spec in {**SITE_RULES, **(more or {})}.items()
         }
         rules["remoterocketship"] = [markup.compile_selector(s) for s in ROCKETSHIP_DROP]
         for batch in batches:
@@ -128,7 +171,7 @@ def page_text(pages: DataFrame, mode: str = "rendered", drop: tuple[str, ...] =
     def one(source, tests):
         root, nodes = markup.parse(source)
         body = markup.first(nodes, lambda n: n.tag == "body") or root
-        return markup.rendered(body) if mode == "rendered" else markup.text_content(body, tests)
+        return markup.rendered(body, markup.Styles(nodes)) if mode == "rendered" else markup.text_content(body, tests)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tests = [markup.compile_selector(s) for s in drop]
@@ -158,9 +201,14 @@ def _has_money_sign(t: Column) -> Column:
 
 
 def site_fields(candidates: DataFrame) -> DataFrame:
-    """Choose title, salary, company, location and description by each site's acceptance tests."""
+    """Choose title, salary, company, location and description by each site's acceptance tests.
+
+    A site from a table accepts a description of more than 200 characters and any salary with a sign of money.
+    """
     wellfound = F.col("site") == "wellfound"
-    minimum = F.when(wellfound, MIN_DESCRIPTION["wellfound"]).otherwise(MIN_DESCRIPTION["linkedin"])
+    minimum = F.when(wellfound, MIN_DESCRIPTION["wellfound"]).when(
+        F.col("site") == "linkedin", MIN_DESCRIPTION["linkedin"]
+    ).otherwise(MIN_DESCRIPTION_OF_OTHERS)
     place = _length_between(0, 200)
     found = first_field(F.col("description"), lambda t: utf16_length(t) > minimum)
     chosen = candidates.withColumns({
@@ -199,15 +247,17 @@ def rocketship_cut(body: Column) -> Column:
     return body
 
 
-def pages_to_text(pages: DataFrame) -> DataFrame:
+def pages_to_text(pages: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """Cleaned posting text of each page by the rules of its site.
 
-    Takes pages with `url` and `html` and returns all other columns plus site, page_title and text.
+    Takes pages with `url` and `html` and returns all other columns plus site, page_title and text. `sites` adds sites
+    by a table, see `site_rules`; their hosts are asked first.
     """
     kept = [c for c in pages.columns if c != "html"]
-    routed = pages.withColumn("site", route_source(F.col("url")))
-    fields = site_fields(page_candidates(routed))
-    ruled = F.col("site").isin(list(SITE_RULES))
+    rules, hosts = site_rules(sites) if sites is not None else ({}, {})
+    routed = pages.withColumn("site", F.coalesce(_host_site(F.col("url"), hosts), route_source(F.col("url"))))
+    fields = site_fields(page_candidates(routed, more=rules))
+    ruled = F.col("site").isin([*SITE_RULES, *rules])
     raw = fields.withColumn(
         "_raw",
         F.when(ruled, posting_layout())

@@ -1,0 +1,83 @@
+"""Dictionary matching against plain Python."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from vacanta.operators import skills
+from vacanta.schemas import SKILL_FIELDS
+
+TERMS = "term string, name string, category string, exact boolean"
+TOKEN = re.compile(r"[^\W\d_.]?\.?[\w+#.]*")
+
+
+def cut(text):
+    return [w.rstrip(".") for w in re.findall(r"(?:[^\W\d_]|\.)(?:[^\W_]|[+#.])*", text or "")]
+
+
+def reference(texts, terms):
+    known = {}
+    for term, name, category, exact in set(terms):
+        if term and term.strip():
+            words = cut(term)
+            known.setdefault(" ".join(words).lower(), []).append((" ".join(words), name, category, exact))
+    out = {}
+    for i, text in texts:
+        words = cut(text)
+        for at in range(len(words)):
+            for n in range(1, skills.LONGEST + 1):
+                run = " ".join(words[at:at + n])
+                if at + n > len(words):
+                    break
+                for spelled, name, category, exact in known.get(run.lower(), ()):
+                    if not exact or spelled == run:
+                        place, cnt = out.get((i, name, category), (at, 0))
+                        out[i, name, category] = (min(place, at), cnt + 1)
+    return out
+
+
+def found(df):
+    return {(r.doc_id, r.name, r.category): (r.place, r.cnt) for r in df.collect()}
+
+
+def test_against_plain_python(spark):
+    rng = random.Random(3)
+    vocabulary = ["go", "Go", "C++", "c#", ".net", "node.js", "sql", "SQL", "Server", "big", "data", "x1", "Ünix", "ünix", "of"]
+    terms = [
+        (" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 4))), f"n{rng.randint(0, 30)}", rng.choice(SKILL_FIELDS), rng.random() < 0.4)
+        for _ in range(150)
+    ] + [("", "blank", "other", False), (None, "null", "other", False), ("Go", "Go", "other", True), ("Go", "Go", "other", True)]
+    texts = [(i, " ".join(rng.choice(vocabulary) + rng.choice(["", "", ".", ",", " 4"]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    texts += [(100, None), (101, ""), (102, "go " * 5000), (None, "go sql"), (5, "SQL Server")]
+    got = found(skills.match_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(terms, TERMS)))
+    assert got == reference(texts, terms) and len(got) > 500
+
+
+def test_large_dictionary_is_no_product(spark):
+    terms = spark.range(100_000).selectExpr("'term' || id || ' of ' || (id % 7) || 'x' as term", "'t' || id as name", "'other' as category", "false as exact")
+    texts = spark.createDataFrame([(1, "a term5 of term99999 of x"), (2, "Term7")], "doc_id long, text string")
+    out = skills.match_terms(texts, terms.withColumn("term", F.expr("replace(replace(term, '0x', 'x'), ' of ', ' of x')")))
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert out.count() == 0
+    short = spark.range(100_000).selectExpr("'term' || id as term", "'t' || id as name", "'other' as category", "false as exact")
+    assert found(skills.match_terms(texts, short)) == {(1, "t5", "other"): (1, 1), (1, "t99999", "other"): (3, 1), (2, "t7", "other"): (0, 1)}
+
+
+def test_lists_in_postings(spark):
+    from vacanta.operators import documents
+
+    rows = spark.createDataFrame([(1, "Docker, Rust and SQL Server; rust, SQL"), (2, "nothing"), (3, None)], "n long, text string")
+    done = documents.rules_extract(rows)
+    more = skills.own_dictionary(spark).unionByName(spark.createDataFrame([("nothing", "Nothing", "other", False)], TERMS))
+    got = {r.n: r.t for r in skills.with_dictionary_skills(done, more, "n").select("n", F.col("posting.requirements.technical_skills").alias("t")).collect()}
+    assert got[1].devops_tools == ["Docker"] and got[1].programming_languages == ["Rust", "SQL"] and got[1].databases == ["SQL Server"]
+    assert got[2].other == ["Nothing"] and not any(got[3])
+    assert got[1] == done.filter("n = 1").select("posting.requirements.technical_skills").first()[0]
+
+
+@pytest.mark.parametrize("term", ["4 5", "a b c d e f g h i"])
+def test_unusable_terms(spark, term):
+    with pytest.raises(Exception, match="not a term"):
+        skills.dictionary(spark.createDataFrame([(term, "x", "other", False)], TERMS)).collect()

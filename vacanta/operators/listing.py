@@ -34,8 +34,16 @@ def list_jobs(
         below = F.coalesce(F.col("extracted_at") < moment, F.col("extracted_at").isNull() & moment.isNotNull())
         chosen = chosen.filter(below | same)
     page = _newest(chosen)
-    page = (page.offset(offset) if offset else page).limit(limit)
-    return page.select(
+    return _listed((page.offset(offset) if offset else page).limit(limit))
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """The rows of a page in the listing's order and columns."""
+    return _listed(_newest(rows))
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "id", F.col("job_title").alias("title"), F.col("company_name").alias("company"),
         F.col("location_full").alias("location"), "job_type", "workplace_type",
         F.col("seniority_level").alias("level"), "department",
@@ -46,11 +54,20 @@ def list_jobs(
 
 def search_jobs(jobs: DataFrame, term: str, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Newest jobs whose title, company or location is LIKE %term%; only ASCII letters ignore case."""
+    return newest_hits(jobs.filter(matches_term(term)), limit)
+
+
+def matches_term(term: str) -> Column:
+    """Whether a job's title, company or location is LIKE %term%."""
     pattern = fold_ascii(F.lit(like_pattern(term)))
     hit = F.lit(False)
     for name in ("job_title", "company_name", "location_full"):
         hit = hit | F.coalesce(F.like(fold_ascii(F.col(name)), pattern), F.lit(False))
-    return _newest(jobs.filter(hit)).limit(limit).select(
+    return hit
+
+
+def newest_hits(hits: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    return _newest(hits).limit(limit).select(
         "id", F.col("job_title").alias("title"), F.col("company_name").alias("company"),
         F.col("location_full").alias("location"), "workplace_type", "status", "extracted_at",
         F.col("source_url").alias("url"),

@@ -180,6 +180,13 @@ select title, url, chr(10) || 'JOB TITLE: ' || title || chr(10) || chr(10) || 'L
   || text || chr(10) || chr(10) || 'URL: ' || url || chr(10) || 'UPDATED: 2024-01-02T03:04:05Z' || chr(10)
   || 'SOURCE: Greenhouse API' || chr(10) as text
 from (select page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) as title, {plain(BODY)} as text from pages)"""
+HIDDEN_SHOWN = f"""case when page_id % 8 in (3, 4, 6) then 'shown ' else '' end"""
+# The article with its visible blocks only, as if nothing had been hidden in it.
+VISIBLE = f"""(select page_id, replace(html, '<article>', '<div>' || {HIDDEN_SHOWN} || '</div><article><p>back </p>') as html from pages)"""
+ORACLES["hidden_elements"] = f"select page_id, {shown(BODY)} as text from {VISIBLE}"
+ACME = f"""{part('JOB TITLE', 'title')} || {part('COMPENSATION', 'salary')} || {part('LOCATION', 'location')}
+  || 'DESCRIPTION:' || chr(10) || {trim('article', BROWSER_SPACE)}"""
+ORACLES["added_site"] = f"select page_id, 'acme' as site, {clean(ACME)} as text from {FIELDS}"
 ORACLES["cut_at_marker"] = f"select doc_id, {cut('text', 'Similar Jobs')} as text from {PLANTED}"
 ORACLES["clean_text"] = f"select doc_id, {clean('text')} as text from {PLANTED}"
 ORACLES["clean_linkedin_text"] = f"select doc_id, {linkedin_clean('text')} as text from {docs(t.LINKEDIN_TEXT)}"
@@ -217,6 +224,11 @@ select doc_id, case when doc_id % 3 = 0 then 'perplexity/' else 'ollama/' end
        || case when doc_id % 5 = 0 then 'own-model' when doc_id % 3 = 0 then 'sonar-pro' else 'qwen2.5:7b' end as asked,
        length({PROMPT}) as prompt_chars, case when doc_id % 2 = 0 then 'https://given.example/' else '' end as resolved
 from {PLANTED}"""
+ORACLES["extract_isolated"] = """
+select doc_id, case when doc_id % 61 = 0 then 'no text' when doc_id % 50 = 0 then 'model call failed: ConnectionError: refused'
+                    when doc_id % 73 = 1 then 'model call failed: ValueError: 0 answers to 1 prompts' else 'stored' end as outcome,
+       case when doc_id % 61 = 0 or doc_id % 50 = 0 or doc_id % 73 = 1 then '' else 'ollama/m' end as asked
+from documents"""
 
 RULE_DOCS = f"(select doc_id, {q.TITLE} as title, {q.RULE_TEXT} as text from documents)"
 
@@ -275,6 +287,31 @@ offers as (select doc_id, word, i as pos from words
            union all select doc_id, word || ' ' || w[i + 1], 1000000000 + i from words where i < len(w)),
 hits as (select doc_id, field, name, min(pos) as pos from offers join dictionary on word = spelled group by all)
 select doc_id, {skill_columns} from (select doc_id from documents) left join hits using (doc_id) group by doc_id"""
+
+
+def cut_words(x: str) -> str:
+    return f"""list_transform(regexp_extract_all({x}, '[\\p{{L}}.][\\p{{L}}\\p{{N}}+#.]*'), lambda x: regexp_replace(x, '\\.+$', ''))"""
+
+
+ORACLES["match_terms"] = f"""
+with texts as (select {cut_words(q.HEADING)} as w from pages union all select {cut_words('text')} from benchmark),
+runs as (select w, unnest(range(1, len(w) + 1)) as i from texts),
+terms as (
+  select distinct array_to_string(list_slice(w, i, least(i + n - 1, len(w))), ' ') as term
+  from runs, (values (1), (2), (3)) as lengths(n)),
+known as (
+  select term, lower(term) as name, case when length(term) % 2 = 0 then 'databases' else 'other' end as category,
+         length(term) % 5 = 0 as exact from terms where term <> ''),
+docs as (select doc_id, {cut_words('text')} as w from documents),
+places as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from docs),
+found as (
+  select doc_id, i - 1 as place, array_to_string(list_slice(w, i, i + n - 1), ' ') as run
+  from places, (values (1), (2), (3)) as lengths(n) where i + n - 1 <= len(w)),
+hits as (
+  select doc_id, name, category, min(place) as place, count(*) as cnt
+  from found join known on lower(run) = name and (not exact or run = term) group by all)
+select doc_id, category, count(*) as names, sum(cnt)::bigint as hits, sum(place)::bigint as places, min(name) as first_name
+from hits group by all"""
 ORACLES["rules_extract"] = f"""
 select doc_id, title, {SENIORITY_SQL} as seniority, 'Lyon' as city, {YEARS_SQL[0]} as years_min,
        {SALARY_SQL[1]} as salary_max, regexp_matches(text, {lit(FLAG_WORDS['has_equity'][0])}) as has_equity,
@@ -395,6 +432,22 @@ select id, job_title as title, company_name as company, location_full as locatio
        extracted_at, source_url as url from jobs
 where lower(job_title) like '%machinery%low%' or lower(company_name) like '%machinery%low%' or lower(location_full) like '%machinery%low%'
 order by extracted_at desc, id desc limit 50"""
+
+
+def like_any(term: str) -> str:
+    low = lit(f"%{term.lower()}%")
+    return " or ".join(f"lower({c}) like {low}" for c in ("job_title", "company_name", "location_full"))
+
+
+ORACLES["search_indexed"] = WITH + " union all ".join(
+    f"(select {lit(term)} as term, id, job_title as title, status from jobs where {like_any(term)} order by extracted_at desc, id desc limit 50)"
+    for term in q.TERMS
+)
+PAGED = f"select {{page}} as page, {{part}} as part, id, job_title as title, status, {SALARY_COLUMN} as salary_range from jobs"
+ORACLES["read_pages_by_position"] = WITH + " union all ".join(
+    "(" + PAGED.format(page=page, part=lit(part)) + where + f" order by extracted_at desc, id desc limit 10 offset {10 * page})"
+    for page in (0, 2, 140) for part, where in (("all", ""), ("interview", " where status = 'interview'"))
+)
 ORACLES["filter_listing"] = WITH + """
 select id, job_title as title, company_name as company, status from jobs
 where (contains(lower(job_title), 'build') or contains(lower(company_name), 'build')) and status = 'offer'"""
@@ -424,6 +477,19 @@ union all select 'status', '', 'total', count(*) from jobs
 union all select 'category', skill_category, skill_name, cnt from ({CATEGORY_TOP})
 union all select 'by_status', status, skill_name, cnt from ({STATUS_TOP})
 union all select 'title', '', job_title, cnt from ({TITLES})"""
+# The bundle over the tables as two change logs leave them: the last status of each log, none where either deletes.
+ORACLES["counts_kept"] = f"""
+with old_jobs as ({JOBS}), changes as ({CHANGES}), old_skills as ({SKILLS_SQL}),
+edits as (
+  select id, seq % 2 as half, max_by(status, seq) filter (where status <> '') as status,
+         bool_or(action = 'delete') as deleted from changes group by all),
+jobs as (
+  select j.* replace (coalesce(b.status, a.status, j.status) as status)
+  from old_jobs j left join edits a on a.id = j.id and a.half = 0 left join edits b on b.id = j.id and b.half = 1
+  where not coalesce(a.deleted, false) and not coalesce(b.deleted, false)),
+job_skills as (
+  select s.* from old_skills s where job_id not in (select id from edits where deleted and id in (select id from old_jobs)))
+""" + ORACLES["analytics_parts"].removeprefix(WITH)
 STATUS_LIST = "['saved', 'applied', 'interview', 'offer', 'rejected']"
 ORACLES["skill_status_matrix"] = WITH + f"""
 select skill_name, min(list_position({STATUS_LIST}, status) * 1000000000::bigint + rank) as sort_key,
@@ -461,3 +527,21 @@ opened as (
   where s is not null)
 select url, arg_min(capture_id, us) as capture_id, arg_min(text, us) as text
 from captures join opened using (url, s) group by url, s"""
+
+ORACLES["capture_periods_stream"] = f"""
+with recursive captures as (
+  select {q.PAGE_URL} as url, event_id as capture_id, {q.PAGE_LENGTH} as length, epoch_us(ts) // {q.SLOWER} as us,
+         (epoch_us(ts) // {q.SLOWER}) // 1000000 as s from events),
+seconds as (
+  select url, s, coalesce(bool_or(length > 500), false) as complete, case when url like '%x.example%' then 20 else 15 end as lasts
+  from captures group by url, s),
+ends as (
+  select url, s, least(s + lasts, coalesce((select min(c.s) from seconds c where c.url = o.url and c.complete and c.s >= o.s and c.s < o.s + o.lasts) + 2,
+                                           s + lasts)) as until from seconds o),
+follows as (select url, s, (select min(c.s) from seconds c where c.url = e.url and c.s >= e.until) as next from ends e),
+opened as (
+  select url, min(s) as s from seconds group by url
+  union all
+  select o.url, f.next from opened o join follows f on f.url = o.url and f.s = o.s where f.next is not null)
+select url, f.capture_id, f.length
+from (select url, min({{'us': us, 'capture_id': capture_id, 'length': length}}) as f from captures join opened using (url, s) group by url, s)"""

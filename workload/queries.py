@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from vacanta.functions import rules, text, urls
 from vacanta.functions.postings import flat_skills, join_list, salary_text, skill_counts
-from vacanta.operators import analytics, changes, documents, listing, pages
+from vacanta.operators import analytics, changes, counts, documents, listing, pages, skills
 from vacanta.plans.reports import analytics_bundle
 from vacanta.schemas import JOB_SKILLS_SCHEMA, JOBS_SCHEMA
-from vacanta.sources import files
+from vacanta.sources import files, pages_index, search_index
 from vacanta.sources.scratch import scratch_dir, write_scratch
 from vacanta.sources.store import JobStore
 from vacanta.streaming import streams
@@ -246,6 +246,49 @@ def pages_to_text(spark, d):
     )
 
 
+# Blocks that pages hide, each in another way, and some that only seem to be hidden.
+HIDDEN_HTML = """replace(replace(html, '</head>',
+  '<style>.gone, #x > .y { display : none } @media print { p { display:none } } .back{display:none}
+   article .back { display: block } .quiet { visibility:hidden } b:not(.z):hover{display:none}</style></head>'), '<article>',
+  case page_id % 8 when 0 then '<div class="a gone">HIDDEN</div>'
+    when 1 then '<p style="color:red; display: none">HIDDEN<b>HIDDEN</b></p>' when 2 then '<div hidden>HIDDEN</div>'
+    when 3 then '<i id="x"><b class="y">HIDDEN</b><b>shown </b></i>' when 4 then '<i class="quiet">HIDDEN<b style="visibility:visible">shown </b></i>'
+    when 5 then '<dialog>HIDDEN</dialog>' when 6 then '<div class="gone" style="display:block!important">shown </div>'
+    else '<div><i class="quiet" hidden style="display:inline">HIDDEN</i></div>' end
+  || '<article><p class="back">back </p>')"""
+
+
+@query
+def hidden_elements(spark, d):
+    """Visible text of all pages, without what style sheets, styles and attributes hide."""
+    out = pages.page_text(t.spread(spark, d, "pages").select("page_id", F.expr(HIDDEN_HTML).alias("html")))
+    return out.select("page_id", one_space(F.col("text")).alias("text"))
+
+
+SITES = [
+    ("acme", "acme.example", None, None, None), ("acme", None, "title", 1, "nav h1, article > p:first-child ~ h1"),
+    ("acme", None, "title", 2, "main > div:not(.topcard__flavor) > article:empty"),
+    ("acme", None, "title", 3, "div.jobs-description__content[class$='content'] > button + article > h1:first-child"),
+    ("acme", None, "salary", 1, "[class^='x_'][class$='__b']"),
+    ("acme", None, "company", 1, "main > div.topcard__flavor:first-child ~ div:nth-child(2n + 9)"),
+    ("acme", None, "location", 1, "main > :is(div, p)[class~='topcard__flavor']:not(nav *)"),
+    ("acme", None, "description", 1, "main:not([hidden]) > .jobs-description__content"),
+    ("acme", None, "description_drop", 1, "button, script, style"), ("acme", None, "fallback", 1, "main"),
+    ("acme", None, "fallback_drop", 1, "button, .topcard__flavor, [class*='compensation' i]"),
+]
+
+
+@query
+def added_site(spark, d):
+    """Pages of a site that is added by a table of selectors, without code."""
+    source = t.spread(spark, d, "pages").select(
+        "page_id", F.concat(F.lit("https://jobs.acme.example/"), F.col("page_id").cast("string")).alias("url"),
+        F.expr(t.SITE_HTML).alias("html"),
+    )
+    table = spark.createDataFrame(SITES, "site string, host string, field string, position int, selector string")
+    return pages.pages_to_text(source, table).select("page_id", "site", "text")
+
+
 @query
 def cut_at_marker(spark, d):
     marked = planted_docs(spark, d)
@@ -366,6 +409,31 @@ def extract_with(spark, d):
     )
 
 
+class FailingModel:
+    """Stands for a model that fails some calls: those with a row of the model `broken`, and answers short for `short`."""
+
+    def __call__(self, prompts, providers, models):
+        if "broken" in set(models):
+            raise ConnectionError("refused")
+        answers = fake_model(prompts, providers, models)
+        return answers[:-1] if "short" in set(models) else answers
+
+
+@query
+def extract_isolated(spark, d):
+    """All documents through a model that fails every fiftieth call and answers short now and then."""
+    requests = planted_docs(spark, d).select(
+        "doc_id", F.expr("case when doc_id % 61 = 0 then null else text end").alias("text"),
+        F.expr("case when doc_id % 50 = 0 then 'broken' when doc_id % 73 = 1 then 'short' else 'm' end").alias("model"),
+    )
+    out = write_scratch(documents.extract_with(requests, FailingModel(), F.lit(STAMP)), scratch_dir(spark, "asked"))
+    stored = documents.accepted(out).select(
+        "doc_id", F.lit("stored").alias("outcome"), F.col("posting.metadata.job_title").alias("asked"),
+    )
+    refused = documents.rejected(out).select("doc_id", F.col("reject_reason").alias("outcome"), F.lit("").alias("asked"))
+    return stored.unionByName(refused)
+
+
 RULE_TEXT = """text || case doc_id % 7
   when 0 then ' 3-5 years of work, $90,000 - $120,000, 401k and equity' when 1 then ' 5+ years, €80k-100k, ASAP'
   when 2 then ' 7 yrs; GBP 50-60k; pair programming, paid time off' when 3 then ' urgently hiring, take-home test'
@@ -418,6 +486,36 @@ def technical_skills(spark, d):
     return s.select("doc_id", *[F.array_join(f"s.{f}", "|").alias(f) for f in documents.SKILL_FIELDS])
 
 
+# Every run of one to three words in the headings of all pages and in all benchmark texts; every fifth counts case.
+HEADING = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+
+
+def term_table(spark, d) -> DataFrame:
+    headings = t.read(spark, d, "pages").select(F.expr(HEADING).alias("text"))
+    whole = headings.unionByName(t.read(spark, d, "benchmark").select("text"))
+    words = whole.select(rules.skill_words(F.col("text")).alias("w"))
+    runs = words.select("w", F.posexplode("w").alias("i", "_")).select(
+        F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.slice("w", F.col("i") + 1, n))).alias("run")
+    )
+    terms = runs.select(F.concat_ws(" ", "run").alias("term")).filter("term <> ''").distinct()
+    return terms.select(
+        "term", F.lower("term").alias("name"),
+        F.expr("case when length(term) % 2 = 0 then 'databases' else 'other' end").alias("category"),
+        F.expr("length(term) % 5 = 0").alias("exact"),
+    )
+
+
+@query
+def match_terms(spark, d):
+    """Terms of a dictionary of tens of thousands that stand in all documents."""
+    texts = t.spread(spark, d, "documents").select("doc_id", "text")
+    found = skills.match_terms(texts, term_table(spark, d))
+    return found.groupBy("doc_id", "category").agg(
+        F.count(F.lit(1)).alias("names"), F.sum("cnt").alias("hits"), F.sum("place").cast("bigint").alias("places"),
+        F.min("name").alias("first_name"),
+    )
+
+
 @query
 def flags(spark, d):
     docs = rule_docs(spark, d).withColumn("lower", F.lower("text"))
@@ -627,6 +725,38 @@ def search_jobs(spark, d):
     return listing.search_jobs(t.jobs(spark, d), "machinery%LOW")
 
 
+TERMS = ["machinery%LOW", "a_er#0000001", "uild", "5", "o_e%d s", "%", "hou%hold 1-u%gent"]
+
+
+@query
+def search_indexed(spark, d):
+    """Several terms through an index of all jobs: with wildcards, with none, and shorter than three letters."""
+    path = scratch_dir(spark, "index")
+    search_index.write_index(t.jobs(spark, d), path)
+    index, found = search_index.read_index(spark, path), None
+    for term in TERMS:
+        one = search_index.search_indexed(t.jobs(spark, d), index, term).select(F.lit(term).alias("term"), "id", "title", "status")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def read_pages_by_position(spark, d):
+    """The first, the third and a far page of the listing and of one status, read from a layout by position."""
+    path = scratch_dir(spark, "positions")
+    jobs = t.jobs(spark, d)
+    pages_index.write_listing(jobs, path + "/all", rows=5000)
+    pages_index.write_listing(jobs, path + "/status", by_status=True, rows=2000)
+    found = None
+    for page in (0, 2, 140):
+        for status in (None, "interview"):
+            where, rows = (path + "/all", 5000) if status is None else (path + "/status", 2000)
+            one = pages_index.read_page(spark, where, page, 10, status, rows)
+            one = one.select(F.lit(page).alias("page"), F.lit(status or "all").alias("part"), "id", "title", "status", "salary_range")
+            found = one if found is None else found.unionByName(one)
+    return found
+
+
 @query
 def filter_listing(spark, d):
     whole = t.jobs(spark, d).select("id", F.col("job_title").alias("title"), F.col("company_name").alias("company"), "status")
@@ -671,7 +801,24 @@ def top_job_titles(spark, d):
 @query
 def analytics_parts(spark, d):
     """The analytics bundle as one table."""
-    parts = analytics_bundle(t.jobs(spark, d), t.job_skills(spark, d))
+    return as_one_table(analytics_bundle(t.jobs(spark, d), t.job_skills(spark, d)))
+
+
+@query
+def counts_kept(spark, d):
+    """The analytics bundle from counts, after a change log that came in two batches."""
+    jobs, job_skills = t.jobs(spark, d), t.job_skills(spark, d)
+    log = t.changes(spark, d)
+    kept = write_scratch(counts.job_counts(jobs, job_skills), scratch_dir(spark, "counts"))
+    rows = jobs.withColumn("updated_at", moment("2024-01-01"))
+    half = F.col("seq") % 2 == 0
+    for part in (log.filter(half), log.filter(~half)):
+        rows, job_skills, kept = counts.apply_and_count(rows, job_skills, part, kept, moment())
+        kept = write_scratch(kept, scratch_dir(spark, "counts"))
+    return as_one_table(counts.bundle_of(kept))
+
+
+def as_one_table(parts: dict[str, DataFrame]) -> DataFrame:
     stats = parts["status_stats"].unpivot(
         [], ["total", "saved", "applied", "interview", "offer", "rejected"], "name", "cnt"
     ).select(F.lit("status").alias("part"), F.lit("").alias("grp"), "name", "cnt")
@@ -723,12 +870,12 @@ def ingest_stream(spark, d):
     base = scratch_dir(spark, "ingest")
     store = JobStore(spark, base + "/store")
     sent = write_scratch(postings(spark, d), scratch_dir(spark, "sent"))
-    for batch in (sent, second_batch(sent)):
-        batch.select(
-            documents.posting_json(F.col("posting")).alias("text"), F.col("ingest_seq").alias("capture_id")
-        ).write.mode("append").json(base + "/captures")
+    for turn, batch in enumerate((sent, second_batch(sent))):
+        # What is sent again has numbers of its own: a number that is known is a message that is known.
+        number = (F.col("ingest_seq") + F.lit(turn << 40)).alias("capture_id")
+        batch.select(documents.posting_json(F.col("posting")).alias("text"), number).write.mode("append").json(base + "/captures")
         streams.ingest_stream(
-            files.stream_captures(spark, base + "/captures"), _answers, store, base + "/checkpoint", "ingest", "capture_id",
+            files.stream_captures(spark, base + "/captures"), _answers, store, base + "/checkpoint", "capture_id",
             lambda refused: refused.write.mode("append").parquet(base + "/refused"), now=moment(), available_now=True,
         ).awaitTermination()
     per_job = store.skills().groupBy("job_id").agg(F.count(F.lit(1)).alias("skills"))
@@ -760,6 +907,31 @@ def first_capture_stream(spark, d):
     return spark.read.schema(first.schema).parquet(base + "/out").select("url", "capture_id", "text")
 
 
+# Events of users as captures of pages of known and other sites, a third of them on one page, drawn together in time so
+# that periods overlap. Some are complete, some have no length.
+PAGE_URL = """case when user_id % 3 = 0 then 'https://www.linkedin.com/jobs/view/1'
+  when user_id % 3 = 1 then 'https://wellfound.com/jobs/' || cast(user_id % 50 as string)
+  else 'https://x.example/' || cast(user_id % 50 as string) end"""
+PAGE_LENGTH = "case when event_id % 7 = 0 then 900 when event_id % 5 = 0 then null else event_id % 501 end"
+SLOWER = 2000
+
+
+@query
+def capture_periods_stream(spark, d):
+    """First captures in periods as each page's site asks for, 15 or 20 seconds, ended early by complete captures."""
+    base = scratch_dir(spark, "periods")
+    t.read(spark, d, "events").select(
+        F.expr(PAGE_URL).alias("url"), F.col("event_id").alias("capture_id"), F.col("props").alias("text"),
+        F.expr(PAGE_LENGTH).cast("bigint").alias("contentLength"),
+        F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / SLOWER)).alias("ts"),
+    ).write.json(base + "/captures")
+    first = streams.first_capture_stream(files.stream_captures(spark, base + "/captures"), lateness="1 day")
+    first.writeStream.format("parquet").option("path", base + "/out").option(
+        "checkpointLocation", base + "/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(first.schema).parquet(base + "/out").select("url", "capture_id", F.col("contentLength").alias("length"))
+
+
 @query
 def tracking_stream(spark, d):
     base = scratch_dir(spark, "tracking")
@@ -770,7 +942,7 @@ def tracking_stream(spark, d):
     log.withColumn("id", changes.job_id(F.concat(F.lit("https://jobs.example.com/"), F.col("id").cast("string")))) \
         .write.json(base + "/changes")
     incoming = spark.readStream.schema(log.schema).json(base + "/changes")
-    streams.tracking_stream(incoming, store, base + "/checkpoint", "tracking", now=moment(), available_now=True).awaitTermination()
+    streams.tracking_stream(incoming, store, base + "/checkpoint", now=moment(), available_now=True).awaitTermination()
     per_job = store.skills().groupBy("job_id").agg(F.count(F.lit(1)).alias("skills"))
     return store.jobs().join(per_job, F.col("id") == F.col("job_id"), "left").select(
         "source_url", "status", F.coalesce("notes", F.lit("-")).alias("notes"),

@@ -28,8 +28,35 @@ def gram_hash(hashes):
     return signed(seed)
 
 
-def reference(docs, gram=2, window=2, min_lines=3):
-    """docs: (id, text) with unique ids, in order; gives id -> (n_lines, n_removed, text)."""
+def reference(docs, min_lines=3, min_words=50):
+    """docs: (id, text) with unique ids; gives id -> (n_lines, n_removed, text).
+
+    Of every run of lines that has `min_lines`, or fewer with `min_words` words, all but the first place goes.
+    """
+    first, out = {}, {}
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        lines = (text or "").split("\n")
+        at = [i for i, x in enumerate(lines) if WORD.search(x)]
+        shown = [lines[i].strip(" \t\r\x0b\x0c") for i in at]
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in shown]
+        gone = set()
+        for size in range(1, min_lines + 1):
+            for i in range(len(shown) - size + 1):
+                if size == min_lines or sum(words[i:i + size]) >= min_words:
+                    if first.setdefault(tuple(shown[i:i + size]), (doc, i)) != (doc, i):
+                        gone.update(range(i, i + size))
+        # Blank lines between two that go, go too.
+        delete = {at[i] for i in gone}
+        for i in gone:
+            if i + 1 in gone:
+                delete.update(range(at[i], at[i + 1]))
+        left = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in delete)
+        out[doc] = (len(shown), len(gone), left)
+    return out
+
+
+def sampled_reference(docs, gram=2, window=2, min_lines=3):
+    """The same for given grams and windows, each fingerprint extended from its own first place."""
     docs = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0))
     places, kept = defaultdict(list), {}
     for n, (_, text) in enumerate(docs):
@@ -100,7 +127,7 @@ def test_random_lines(spark, gram, window, min_lines):
             lines += rng.choice([[], [""], [" "]])
         docs.append((d * 3, "\n".join(x + rng.choice(["", " ", "\r"]) for x in lines)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert found(remove_repeated_lines(df, gram=gram, window=window, min_lines=min_lines)) == reference(
+    assert found(remove_repeated_lines(df, gram=gram, window=window, min_lines=min_lines)) == sampled_reference(
         docs, gram, window, min_lines
     )
 
@@ -177,6 +204,31 @@ def test_no_line_of_fifty_words_stands_twice(spark):
             seen.add(line.strip())
 
 
+def test_many_runs_in_one_text_cost_no_square(spark):
+    import time
+
+    lines = [f"shared {i}" if i % 4 else f"%s {i}" for i in range(64_000)]
+    docs = [(i, "\n".join(x.replace("%s", name) for x in lines)) for i, name in enumerate("ab")]
+    began = time.time()
+    got = found(remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert time.time() - began < 20
+    assert got[1] == (64_000, 48_000, "\n".join(f"b {i}" for i in range(0, 64_000, 4)))
+
+
+def test_fingerprints_are_the_minima_of_windows(spark):
+    from vacanta.llm.line_dedup import guaranteed, with_lines
+
+    docs = [(1, "\n".join(f"line {i}" for i in range(40)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id as __doc", "0L as __rid", "text")
+    rows = guaranteed(with_lines(df, "text"), 3, 0).collect()
+    h = [line_hash(x) for x in docs[0][1].split("\n")]
+    grams = [gram_hash(h[i:i + 2]) for i in range(39)]
+    for r in rows:
+        assert r.g == min(grams[r.begin:r.begin + 2]) == grams[r.begin + r.offset]
+        assert r.edge == h[r.begin + 2 if r.offset == 0 else r.begin]
+    assert len(rows) == 38 and len({r.begin + r.offset for r in rows}) < 34
+
+
 def test_odd_rows(spark):
     copy = "a\nb\n\nc\nd"
     docs = [(None, copy, 1), (4, None, 1), (5, "", 1), (6, copy, 1), (6, copy, 1), (7, "x\n" * 9, 1), (8, "a\nb", 1),

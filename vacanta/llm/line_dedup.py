@@ -1,4 +1,4 @@
-"""Repeated runs of lines: hashes of all runs that are long enough are joined to their first place."""
+"""Repeated runs of lines: winnowed fingerprints, extended on both sides and joined to the first place of what they meet."""
 
 from __future__ import annotations
 
@@ -75,31 +75,58 @@ def winnowed_spans(lined: DataFrame, gram: int, window: int) -> DataFrame:
     )
 
 
-def earlier_spans(lined: DataFrame, min_lines: int, min_words: int) -> DataFrame:
-    """Runs of `min_lines` lines, or fewer with `min_words` words, that one earlier place holds.
+def guaranteed(lined: DataFrame, size: int, min_words: int) -> DataFrame:
+    """Fingerprints of all runs of `size` lines: `g`, and the runs they were chosen for, extended to their ends.
 
-    Returns `__rid`, `begin`, `end`. A longer run that stands earlier is the union of these, so nothing has to be
-    extended.
+    Grams of one line less than a run are winnowed: of the two in a run the smaller one is its fingerprint (the last of
+    equals), so wherever the run stands, the same gram of it is chosen. A gram that is chosen for the run that ends with
+    it and for the one that begins with it is one row. With `min_words`, only runs of so many words are looked at. For
+    each run, `offset` is the place of the fingerprint in it and `edge` the hash of the line that extends it.
     """
-    def runs(size: int) -> Column:
-        count = F.greatest(F.size("__h") - (size - 1), F.lit(0))
-        hashed = F.transform(F.slice("__h", F.lit(1), count), lambda _, i: F.struct(
-            i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice("__h", i + 1, F.lit(size))).alias("g"),
-        ))
-        if size == min_lines:
-            return hashed
-        return F.filter(hashed, lambda r: F.aggregate(
-            F.slice("__n", r["pos"] + 1, F.lit(size)), F.lit(0), lambda n, w: n + w
+    gram = max(size - 1, 1)
+    count = F.greatest(F.size("__h") - (gram - 1), F.lit(0))
+    grams = barrier(lined, __g=F.transform(
+        F.slice("__h", F.lit(1), count), lambda h, i: F.xxhash64(F.slice("__h", i + 1, F.lit(gram))) if gram > 1 else h
+    ))
+    last = F.size("__h") - (size - 1)
+    starts = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    if min_words:
+        starts = F.filter(starts, lambda i: F.aggregate(
+            F.slice("__n", i + 1, F.lit(size)), F.lit(0), lambda n, w: n + w
         ) >= min_words)
+    second = (lambda i: F.lit(False)) if size == 1 else (lambda i: F.get("__g", i + 1) <= F.get("__g", i))
+    runs = F.transform(starts, lambda i: F.struct(
+        i.alias("begin"), F.when(second(i), 1).otherwise(0).alias("offset"),
+    ))
+    each = grams.select("__doc", "__rid", "__h", "__g", F.explode(runs).alias("r"))
+    at = F.col("r.begin") + F.col("r.offset")
+    edge = F.lit(None).cast("bigint") if size == 1 else F.get(
+        "__h", F.when(F.col("r.offset") == 0, F.col("r.begin") + gram).otherwise(F.col("r.begin"))
+    )
+    return each.select(
+        "__doc", "__rid", F.get("__g", at).alias("g"), F.col("r.begin").alias("begin"),
+        F.col("r.offset").alias("offset"), edge.alias("edge"), F.lit(size).alias("size"),
+    )
 
-    found = F.concat(*[runs(size) for size in range(1, min_lines + 1)])
-    seeds = lined.select("__doc", "__rid", F.explode(found).alias("r")).select("__doc", "__rid", "r.*")
+
+def earlier_spans(lined: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """Runs of `min_lines` lines, or fewer with `min_words` words, that one earlier place holds.
+
+    Fingerprints meet where they agree with the line that extends them, so each run is judged against the first place
+    that holds all of it, whatever place holds its fingerprint alone. Returns `__rid`, `begin`, `end`. A longer match
+    goes on at the next fingerprint: it is the union of these.
+    """
+    seeds = None
+    for size in range(1, min_lines + 1):
+        found = guaranteed(lined, size, min_words if size < min_lines else 0)
+        seeds = found if seeds is None else seeds.unionByName(found)
+    seeds = seeds.withColumn("key", F.xxhash64("size", "offset", "g", "edge"))
     firsts = written(
-        seeds.groupBy("g").agg(F.min(F.struct("__doc", "__rid", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("g", "first.__rid", "first.pos").toDF("g", "first_rid", "first_pos"), "firsts",
+        seeds.groupBy("key").agg(F.min(F.struct("__doc", "__rid", "begin")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("key", "first.__rid", "first.begin").toDF("key", "first_rid", "first_begin"), "firsts",
     )
-    later = seeds.join(firsts, "g").filter("__rid <> first_rid or pos <> first_pos")
-    return later.select("__rid", F.col("pos").alias("begin"), (F.col("pos") + F.col("size")).alias("end"))
+    later = seeds.join(firsts, "key").filter("__rid <> first_rid or begin <> first_begin")
+    return later.select("__rid", "begin", (F.col("begin") + F.col("size")).alias("end"))
 
 
 def repeated_runs(spans: DataFrame, min_lines: int) -> DataFrame:
@@ -116,9 +143,12 @@ def repeated_runs(spans: DataFrame, min_lines: int) -> DataFrame:
     return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
 
 
-def without_runs(text: Column, at: Column, runs: Column) -> Column:
-    """The text without the lines of its runs and the blank lines inside these."""
-    lines, count = F.split(text, "\n"), F.size(runs)
+def without_runs(lines: Column, at: Column, runs: Column) -> Column:
+    """The text of these lines without those of its runs and the blank lines inside the runs.
+
+    `lines` has to be a column, not an expression: the functions below would split the text again for every run.
+    """
+    count = F.size(runs)
 
     def between(i: Column) -> Column:
         begin = F.when(i == 0, F.lit(0)).otherwise(F.get(at, F.get(runs, i - 1)["end"] - 1) + 1)
@@ -135,14 +165,15 @@ def remove_repeated_lines(
     """Delete runs of lines that an earlier document, or an earlier place of the same one, holds as well.
 
     Adds `n_lines` (lines with a word) and `n_removed` (of these, how many are gone) and shortens the text.
-    Lines are compared without white space at their ends. Every run of `min_lines` lines, and every shorter one
-    with `min_words` words or more, is joined to its first place in the order of ids, and goes if that is another one.
-    So exactly the lines of runs of `min_lines` or `min_words` or more that one earlier place holds go, and the blank
-    lines between them. Shorter common lines stay.
+    Lines are compared without white space at their ends. Hashes of grams of lines are winnowed in windows as wide as
+    a run of `min_lines` lines (for runs of `min_words` words or more: of fewer lines), so that each run is guaranteed a
+    fingerprint; fingerprints are extended to the ends of their runs, joined to the first place of these in the order of
+    ids, and go if that is another one. So exactly the lines of runs of `min_lines` lines or `min_words` words or more
+    that one earlier place holds go, and the blank lines between them. Shorter common lines stay.
 
-    With `gram` or `window` runs of `min_lines` are sampled instead, with fewer rows and less exactly: hashes of `gram` successive
-    lines are winnowed, each `window` of them gives its smallest, and each place is extended both ways from its first
-    place; what overlaps or touches is one run.
+    With `gram` or `window` the guarantee is another: each `window` of hashes of `gram` successive lines gives its
+    smallest, each of these is joined to its own first place and extended both ways from there; what overlaps or
+    touches is one run.
 
     One row per hash is joined to, so a line shared by many documents costs no pairs, and Spark splits it
     when it is hot. A NULL text stays NULL and has no lines; a text that is deleted whole becomes empty; NULL ids
@@ -157,10 +188,10 @@ def remove_repeated_lines(
         runs = repeated_runs(winnowed_spans(lined, gram or 2, window or 2), min_lines)
     else:
         runs = repeated_runs(earlier_spans(lined, min_lines, min_words), 1)
-    joined = lined.join(runs, "__rid", "left")
+    joined = barrier(lined.join(runs, "__rid", "left"), __split=F.when(F.col("runs").isNotNull(), F.split(F.col(text_col), "\n")))
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["end"] - r["begin"]).cast("int"))
     short = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(
-        without_runs(F.col(text_col), F.col("__at"), F.col("runs"))
+        without_runs(F.col("__split"), F.col("__at"), F.col("runs"))
     )
     return joined.select(
         *[short.alias(c) if c == text_col else F.col(f"`{c}`") for c in clean.columns],

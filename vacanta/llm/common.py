@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from vacanta.sources.scratch import scratch_dir
 # The six ASCII white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+# Spark's setting to remove a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words(text: Column) -> Column:
@@ -41,11 +44,27 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows written once below spark.checkpoint.dir and read back.
 
-    Later jobs start from the files, which outlive a lost executor. The files stay until the folder is cleared.
+    Later jobs start from the files, which outlive a lost executor. They stay until the folder is cleared or the table
+    is given to `dropped`. The shuffle files of the write itself go when it has ended.
     """
-    path = scratch_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables from `written` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def document_texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -60,17 +79,20 @@ def per_worker(name: str, make: Callable):
     return kept[name]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a bounded number of rows."""
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `size` bytes of a text or binary column; a longer value is one of its own."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.num_rows:
+            upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype("i8"))
+            cuts = [0, *(np.flatnonzero(np.diff(upto // size)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                yield batch.slice(begin, end - begin)
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[tuple, list]]:
     """Runs of rows with equal integer keys, over batch borders: the key and one array per column."""
-    import numpy as np
-
     held: list[list] = []
     where = None
     for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import runs_of, written
+from vacanta.llm.common import dropped, runs_of, written
 from vacanta.llm.components import components
 from vacanta.llm.wordhash import mixed, word_hashes
 
@@ -306,13 +306,14 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 def sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
     """`cid` and `tokens` of the wanted classes, made again from the texts of their first documents."""
     named = written(
-        members.join(wanted.withColumnRenamed("cid", "__rid"), "__rid", "left_semi").select("cid", "__doc", "d1", "d2"),
-        "wanted",
+        members.join(wanted.withColumnRenamed("cid", "__rid"), "__rid", "left_semi")
+        .select("cid", "__doc", "__text_hash", "d1", "d2"), "wanted",
+    )
+    # By the text's hash too, so that rows without an id, or of one id, meet only their own text.
+    same = F.col("t.__doc").eqNullSafe(F.col("i.__doc")) & F.col("t.__text_hash").eqNullSafe(F.col("i.__text_hash"))
+    texts = docs.select("__doc", "__text_hash", "__text").alias("t").join(named.alias("i"), same).select(
+        "cid", "d1", "d2", "__text"
     )
-    # Merged at any size, so that the cost of a large table can be told from a small one.
-    texts = docs.select("__doc", "__text").alias("t").join(
-        named.alias("i").hint("merge"), F.col("t.__doc").eqNullSafe(F.col("i.__doc"))
-    ).select("cid", "d1", "d2", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +330,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame
                     )
 
     once = texts.withColumn("__h", F.xxhash64("__text")).dropDuplicates(["cid", "__h"]).select("cid", "d1", "d2", "__text")
-    return written(once.mapInArrow(run, "cid long, tokens array<long>"), "sets")
+    out = written(once.mapInArrow(run, "cid long, tokens array<long>"), "sets")
+    dropped(named)
+    return out
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -370,11 +373,13 @@ def near_duplicates(
     members = written(
         worded.select("__rid", "__doc", "__text_hash", "n", "d1", "d2").join(classes, ["d1", "d2"]), "members"
     )
+    dropped(classes)
     postings = found.select(F.explode("prefix").alias("token"), F.col("__rid").alias("rid"))
     shared = written(shared_postings(postings), "postings")
     by_class = written(
         shared.join(members.select(F.col("__rid").alias("rid"), "cid"), "rid").select("token", "cid").distinct(), "meet"
     )
+    dropped(shared)
     # Shingles where the same classes meet are one place.
     places = by_class.groupBy("token").agg(
         F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"),
@@ -382,13 +387,16 @@ def near_duplicates(
     ).filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("token").alias("token"))
     places = written(places.select("token", "members"), "places")
     rows = written(by_class.join(places, "token"), "rows")
+    dropped(by_class, places)
     label = F.coalesce("root", "cid")
     # A text that others were made from shares more of its shingles than they do among themselves.
     weights = rows.groupBy("cid").agg(F.sum("members").alias("weight"))
     meta = written(
         found.filter("bitmap is not null").select(F.col("__rid").alias("cid"), "n", "bitmap").join(weights, "cid"), "meta"
     )
-    sets, tested, links, open_rows = None, None, None, rows
+    wordless = written(found.filter("n = 0").select("__doc", "n", "__text_hash"), "wordless")
+    dropped(found)
+    sets, tested, links, open_rows, used = None, None, None, rows, []
     labelled = meta.withColumn("label", F.col("cid"))
     for how in ("star", "spanning", "all"):
         pairs = block_pairs(in_blocks(open_rows, labelled, most, how == "all"), how)
@@ -399,8 +407,11 @@ def near_duplicates(
         missing = written(missing, "missing")
         if sets is None or not missing.isEmpty():
             more = sets_of(slim, missing, members)
+            used.append(more)
             sets = more if sets is None else sets.unionByName(more)
+        dropped(missing)
         found_links = linked(pairs, sets)
+        used.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found_links if links is None else links.unionByName(found_links)
         if how == "all":
@@ -408,10 +419,14 @@ def near_duplicates(
         roots = components(links)
         known = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).drop("root")
         known = written(known, "labelled")
+        last_open, last_labels = open_rows, labelled
         divided = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
         open_rows = written(known.join(divided.select("token"), "token", "left_semi").drop("label"), "open")
         labels = known.select("cid", "label").distinct()
         labelled = written(meta.join(labels, "cid"), "labels")
+        dropped(known, *[t for t in (last_open, last_labels) if t in used])
+        used += [open_rows, labelled]
+    dropped(*used, rows, meta)
     roots = written(components(links), "roots")
     rooted = written(
         members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", label), "rooted"
@@ -423,7 +438,7 @@ def near_duplicates(
         F.col("__doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
         (F.col("__rid") == F.col("first")).alias("is_first"), F.col("__text_hash").alias("text_hash"),
     )
-    alone = found.filter("n = 0").select(
+    alone = wordless.select(
         F.col("__doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("__doc").alias("component_id"),
         F.lit(True).alias("is_first"), F.col("__text_hash").alias("text_hash"),
     )

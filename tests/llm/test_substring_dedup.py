@@ -136,6 +136,23 @@ def test_a_passage_whose_parts_stand_first_in_other_documents_is_found(spark, pa
         assert texts[r["doc_id"]][r["begin"]:r["end"]] == texts[r["source_id"]][r["source_begin"]:r["source_end"]]
 
 
+@pytest.mark.parametrize("changed, part, step", [(30, 40, 20), (40, 45, 20), (45, 42, 25)])
+def test_a_changed_passage_whose_parts_stand_first_elsewhere_is_found(spark, changed, part, step):
+    rng = random.Random(changed)
+    docs, where = [], []
+    for n in range(20):
+        passage = own(rng, 160)
+        for at in range(0, len(passage) - part + 1, step):
+            docs.append((len(docs), " ".join([*own(rng, 15), *passage[at:at + part], *own(rng, 15)])))
+        docs.append((len(docs), " ".join([*own(rng, 10), *passage, *own(rng, 10)])))
+        other = [f"x{i}" if i % changed == changed // 2 else w for i, w in enumerate(passage)]
+        where.append((len(docs), len(passage)))
+        docs.append((len(docs), " ".join([*own(rng, 25), *other])))
+    found = spans(sd.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)))
+    recall = [covered([r for r in found if r["doc_id"] == d], d, 25, 25 + n) for d, n in where]
+    assert sum(recall) / len(recall) >= 0.9, recall
+
+
 def test_every_word_of_a_run_that_stands_earlier_is_covered(spark):
     d = "/root/testdata/sf0.01"
     docs = {r[0]: r[1].lower().split() for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}

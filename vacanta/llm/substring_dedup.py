@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import runs_of, written
+from vacanta.llm.common import dropped, runs_of, written
 from vacanta.llm.wordhash import mixed, word_hashes
 
 #: Words of a block in which passages' words travel to their alignment.
@@ -60,18 +60,20 @@ def all_seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def anchors(seeds: DataFrame) -> DataFrame:
-    """Each place of a seed joined to the seed's first place: `rid`, `pos`, `src_rid`, `src_pos`.
+    """Each place of a seed joined to the seed's first place: `rid`, `pos`, `src_rid`, `src_pos`; and to the place just
+    before it, `last_rid` and `last_pos` (NULL for the first row of a range, which has the one of another range).
 
     Seeds are sorted by ranges of hash, document and place, so the first place of a seed is the first row of its
     run, and a seed of any count is split over ranges. The first rows of the runs at a range's ends are boundary
     records: a second, small step replaces the first place of such a part by the first of all.
     """
     keys = ["seed", "doc", "rid", "pos"]
-    names = [*keys, "src_rid", "src_pos", "edge"]
+    names = [*keys, "src_rid", "src_pos", "last_rid", "last_pos", "edge"]
     kind = seeds.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, row, started = None, None, False  # of the open run: seed, rid and pos of its first row
+        last = None  # rid and pos of the row before
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -82,17 +84,23 @@ def anchors(seeds: DataFrame) -> DataFrame:
             src_pos = np.where(at < 0, first[2] if first else 0, pos[at]).astype("i4")
             edge = np.zeros(len(seed), bool)
             edge[0], started = not started, True
+            known = np.ones(len(seed), bool)
+            known[0] = last is not None
+            last_rid = np.concatenate([[last[0] if last else 0], rid[:-1]])
+            last_pos = np.concatenate([[last[1] if last else 0], pos[:-1]]).astype("i4")
+            last = int(rid[-1]), int(pos[-1])
             out = pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in keys], pa.array(src_rid), pa.array(src_pos), pa.array(edge)], names=names
+                [*[batch.column(c) for c in keys], pa.array(src_rid), pa.array(src_pos),
+                 pa.array(last_rid, mask=~known), pa.array(last_pos, mask=~known), pa.array(edge)], names=names
             )
             if at[-1] >= 0:
-                last = int(at[-1])
-                first, row = (int(seed[last]), int(rid[last]), int(pos[last])), out.slice(last, 1)
+                open_at = int(at[-1])
+                first, row = (int(seed[open_at]), int(rid[open_at]), int(pos[open_at])), out.slice(open_at, 1)
             yield out.filter(pa.array(~opens | edge))
         if row is not None:
             yield row.set_column(len(names) - 1, "edge", pa.array([True]))
 
-    schema = f"seed long, doc {kind}, rid long, pos int, src_rid long, src_pos int, edge boolean"
+    schema = f"seed long, doc {kind}, rid long, pos int, src_rid long, src_pos int, last_rid long, last_pos int, edge boolean"
     found = written(seeds.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "anchors")
     # At most two rows per range.
     edges = found.filter("edge").select(*keys).distinct()
@@ -103,7 +111,8 @@ def anchors(seeds: DataFrame) -> DataFrame:
     ).distinct(), "heads")
     linked = found.join(F.broadcast(moved), ["src_rid", "src_pos"], "left")
     return linked.select(
-        "rid", "pos", F.coalesce("head_rid", "src_rid").alias("src_rid"), F.coalesce("head_pos", "src_pos").alias("src_pos")
+        "rid", "pos", F.coalesce("head_rid", "src_rid").alias("src_rid"), F.coalesce("head_pos", "src_pos").alias("src_pos"),
+        "last_rid", "last_pos",
     ).filter("rid <> src_rid or pos <> src_pos")
 
 
@@ -222,7 +231,7 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFrame
             names=["rid", "src_rid", "x", "y"],
         )
 
-    dealt = found.repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
+    dealt = found.select("rid", "src_rid", "pos", "src_pos").repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
     return dealt.mapInArrow(run, "rid long, src_rid long, x array<int>, y array<int>")
 
 
@@ -423,6 +432,19 @@ def regions(found: DataFrame, window: int, k: int, min_words: int) -> DataFrame:
     return held.mapInArrow(run, "rid long, low array<int>, high array<int>")
 
 
+def unexplained(found: DataFrame, wide: DataFrame, spans: DataFrame) -> DataFrame:
+    """Anchors to the place just before, of seeds in regions but in no passage; that may be the first place."""
+    later = found.withColumn("src", F.when(F.col("last_rid").isNull(), F.struct(F.col("src_rid"), F.col("src_pos")))
+                             .otherwise(F.struct(F.col("last_rid").alias("src_rid"), F.col("last_pos").alias("src_pos"))))
+    held = spans.groupBy("rid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # a text's own passages
+    placed = later.join(wide, "rid").join(held, "rid", "left")
+    inside = F.exists(F.arrays_zip("low", "high"), lambda r: F.col("pos").between(r["low"], r["high"]))
+    told = F.coalesce(F.exists("spans", lambda p: (p["begin"] <= F.col("pos")) & (F.col("pos") < p["end"])), F.lit(False))
+    return placed.filter(inside & ~told).select(
+        "rid", "pos", "src.src_rid", "src.src_pos"
+    )
+
+
 def run_seeds(docs: DataFrame, wide: DataFrame, min_words: int) -> DataFrame:
     """Places and hashes of all runs of `min_words` words within the regions, as `all_seeds` gives them."""
 
@@ -473,7 +495,7 @@ def exact_passages(found: DataFrame, min_words: int) -> DataFrame:
             columns = [np.full(len(first), rid), np.full(len(first), src), x[first], x[first] + size, y[first], y[first] + size, size]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    dealt = found.repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
+    dealt = found.select("rid", "src_rid", "pos", "src_pos").repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -496,15 +518,17 @@ def repeated_passages(
 
     Each text gives minimizers of `k` words as seeds; texts that share `k` + `window` - 1 words share one. A seed's
     places are joined to its first place, by id, so a passage in many documents costs a row each and no pairs; its
-    first holder shows as the source. Anchors of a document and a source are chained in order, with linear gap
+    first holder shows as the source. Where all seeds of a stretch are repeated and no passage is found, they are also
+    joined to the place before theirs: parts of a passage may stand first in documents that each hold too little. Anchors of a document and a source are chained in order, with linear gap
     costs, and aligned on the words of both sides, beyond the chain's ends as long as words are equal, up to BLOCK
     words or more. A chain that is not alike enough as a whole gives its parts that are. A change in a source's text,
     or another source that holds only a part, can end one passage and start another.
 
     The first places of a passage's seeds may lie in several documents that each hold too small a part. So where all
     seeds are repeated, every run of `min_words` words is joined to its own first place too, and equal runs that no
-    passage covers yet are added: each word of an equal run of `min_words` that stands earlier is in some passage. For
-    passages with changes, less than `min_words` from one another, this is not so.
+    passage covers yet are added: each word of an equal run of `min_words` that stands earlier is in some passage. A
+    passage with changes less than `min_words` from one another is missed where both the first and the last places of its
+    seeds lie in several documents that each hold too little.
 
     NULL and empty texts have no passages; NULL ids come first and are given back as NULL; rows with one id and equal
     rows are different documents; places of one document are compared as well, unless they overlap; no rows give no
@@ -515,13 +539,22 @@ def repeated_passages(
     )
     slim = written(slim, "texts")
     found = anchors(all_seeds(slim, k, window))
-    exact = exact_passages(anchors(run_seeds(slim, regions(found, window, k, min_words), min_words)), min_words)
-    chained = written(
-        chains(found, k, gap_cost, max_gap).withColumn("chain", F.monotonically_increasing_id()), "chains"
-    )
-    wanted = wanted_blocks(chained, k)
-    words = block_words(slim, wanted)
-    spans = written(passages(chained, words, wanted, k, min_words, identity), "passages")
+    wide = written(regions(found, window, k, min_words), "regions")
+    exact = exact_passages(anchors(run_seeds(slim, wide, min_words)), min_words)
+
+    def aligned_passages(joined: DataFrame, label: str) -> DataFrame:
+        chained = written(
+            chains(joined, k, gap_cost, max_gap).withColumn("chain", F.monotonically_increasing_id()), "chains"
+        )
+        wanted = wanted_blocks(chained, k)
+        words = block_words(slim, wanted)
+        out = written(passages(chained, words, wanted, k, min_words, identity), label)
+        dropped(chained, words)
+        return out
+
+    spans = aligned_passages(found, "passages")
+    more = aligned_passages(unexplained(found, wide, spans), "more")
+    spans = spans.unionByName(more)
     spans = spans.unionByName(written(uncovered(exact, spans), "exact"))
     ids = slim.select(F.col("__rid").alias("rid"), F.col("__doc").alias(id_col))
     sources = slim.select(F.col("__rid").alias("src_rid"), F.col("__doc").alias("source_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from vacanta.llm.common import written
+from vacanta.llm.common import in_slices, written
 from vacanta.llm.prefix import add_offsets, in_order, numbered, numbered_schema
-from vacanta.llm.tokens import worker_tokenizer
+from vacanta.llm.tokens import forget_tokenizers, worker_tokenizer
 
 PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _FLUSH = 4 << 20
@@ -47,28 +47,21 @@ def tokenized(docs: DataFrame, kind: str, path: str, end_id: int, text_col: str)
     return docs.mapInArrow(lambda batches: number(run(batches)), numbered_schema(schema, ["n"]))
 
 
-def pack_documents(
-    docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, length: int = 2048,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """Pack all documents into windows of `length` tokens; one row per piece of a document in a window.
-
-    Documents are tokenized in ascending order of their id, each followed by `end_id`, and laid end to end. A first
-    pass writes ids and per-partition sums; totals per partition turn these into global offsets; the second pass
-    cuts at every multiple of `length`. Returns the id, `start` (the document's ids before the piece), `length`,
-    `ids`, `doc_tokens`, `sequence_id` and `offset` in that window. Only the last window can be short.
-
-    A NULL or empty text is its end id alone; NULL ids come first, rows with one id are ordered by a hash of their
-    text, and equal rows are packed as often as they occur. No rows give no rows. Other columns are left out.
-    """
+def _laid(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """The first pass: `__id`, `ids`, `n` and `__before_n`, the ids of all documents before."""
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     order = [F.col("__id"), F.xxhash64("__text"), F.monotonically_increasing_id()]
     ids = tokenized(in_order(slim, order), kind, tokenizer, end_id, "__text")
-    first = written(ids, "packing")
-    laid, _ = add_offsets(first, {"__before_n": F.col("n")})
+    laid, _ = add_offsets(written(ids, "packing"), {"__before_n": F.col("n")})
+    return laid.select("__id", "ids", "n", "__before_n")
+
+
+def _cut(length: int) -> Callable:
+    """Pieces of the documents that a batch of the first pass holds."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget_tokenizers()  # this worker may have tokenized before
+        for batch in in_slices(batches, "ids"):
             raw = batch.column("ids")
             n, at = (batch.column(c).to_numpy().astype("i8") for c in ("n", "__before_n"))
             count = (at + n - 1) // length - at // length + 1
@@ -88,9 +81,42 @@ def pack_documents(
                 names=["__id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
-    kind_of_id = slim.schema["__id"].dataType.simpleString()
-    cuts = laid.select("__id", "ids", "n", "__before_n").mapInArrow(cut, f"__id {kind_of_id}, {PIECE}")
-    return cuts.withColumnRenamed("__id", id_col)
+    return cut
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, length: int = 2048,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Pack all documents into windows of `length` tokens; one row per piece of a document in a window.
+
+    Documents are tokenized in ascending order of their id, each followed by `end_id`, and laid end to end. A first
+    pass writes ids and per-partition sums; totals per partition turn these into global offsets; the second pass
+    cuts at every multiple of `length`. Returns the id, `start` (the document's ids before the piece), `length`,
+    `ids`, `doc_tokens`, `sequence_id` and `offset` in that window. Only the last window can be short.
+
+    A NULL or empty text is its end id alone; NULL ids come first, rows with one id are ordered by a hash of their
+    text, and equal rows are packed as often as they occur. No rows give no rows. Other columns are left out.
+    """
+    laid = _laid(docs, tokenizer, kind, end_id, id_col, text_col)
+    kind_of_id = laid.schema["__id"].dataType.simpleString()
+    return laid.mapInArrow(_cut(length), f"__id {kind_of_id}, {PIECE}").withColumnRenamed("__id", id_col)
+
+
+def pack_sequences(
+    docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, length: int = 2048, pad_id: int = 0,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """`packed_sequences` of `pack_documents`, cut and put together by one function, so that a task needs one Python
+    worker and pieces never leave it."""
+    laid = _laid(docs, tokenizer, kind, end_id, id_col, text_col)
+    cut, assemble = _cut(length), _assemble(length)
+    parts = laid.mapInArrow(lambda batches: assemble(cut(batches)), _part_schema(laid.schema["__id"].dataType))
+    return _joined_windows(written(parts, "windows"), length, pad_id)
+
+
+def _part_schema(id_type) -> str:
+    return f"sequence_id long, offset long, doc_ids array<{id_type.simpleString()}>, lengths array<long>, ids binary"
 
 
 def packed_sequences(packed: DataFrame, length: int = 2048, pad_id: int = 0, id_col: str = "doc_id") -> DataFrame:
@@ -101,10 +127,15 @@ def packed_sequences(packed: DataFrame, length: int = 2048, pad_id: int = 0, id_
     grouped by window. Only these are shuffled. Needs pieces in the order `pack_documents` gives them; another
     order only makes more boundary records. Ids may be NULL; no pieces give no rows.
     """
-    kind_of_id = packed.schema[id_col].dataType.simpleString()
     slim = packed.select(F.col(id_col).alias("__id"), "length", "ids", "sequence_id", "offset")
-    names, columns = ["sequence_id", "offset", "doc_ids", "lengths", "ids"], slim.columns
-    schema = f"sequence_id long, offset long, doc_ids array<{kind_of_id}>, lengths array<long>, ids binary"
+    parts = slim.mapInArrow(_assemble(length), _part_schema(packed.schema[id_col].dataType))
+    return _joined_windows(written(parts, "windows"), length, pad_id)
+
+
+def _assemble(length: int) -> Callable:
+    """Whole windows, and boundary records of the others, from pieces in order."""
+    names = ["sequence_id", "offset", "doc_ids", "lengths", "ids"]
+    columns = ["__id", "length", "ids", "sequence_id", "offset"]
 
     def batch_of(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.list_(id_type), pa.list_(pa.int64()), pa.binary()]
@@ -140,7 +171,11 @@ def packed_sequences(packed: DataFrame, length: int = 2048, pad_id: int = 0, id_
         held = sorted(held, key=lambda h: h[0])
         return window, held[0][0], [h[1] for h in held], [h[2] for h in held], b"".join(h[3] for h in held)
 
-    parts = written(slim.mapInArrow(assemble, schema), "windows")
+    return assemble
+
+
+def _joined_windows(parts: DataFrame, length: int, pad_id: int) -> DataFrame:
+    """All windows, those of several records put together."""
     whole = F.octet_length("ids") == 4 * length
     fields = F.sort_array(F.collect_list(F.struct("offset", "doc_ids", "lengths", "ids")))
     edges = parts.filter(~whole).groupBy("sequence_id").agg(fields.alias("f")).select(

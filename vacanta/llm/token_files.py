@@ -206,7 +206,8 @@ def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None) -> D
                     yield _batch(held)
                 reader.close()
 
-    files = manifest.select("path", "start").repartition("path")
+    # One row per file. A number of its own, as else the few bytes of the manifest would all be read by one task.
+    files = manifest.select("path", "start").repartition(max(manifest.count(), 1), "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 

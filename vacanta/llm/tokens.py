@@ -14,6 +14,11 @@ _ASCII_SPACE = " \t\n\r\x0b\x0c"
 _CHUNK = re.compile(f"[^{_ASCII_SPACE}]+")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _TAIL = string.punctuation.replace("'", "")
+# Letters that one code point and one lower-case letter stand for, whatever normal form is asked for.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Byte-level models write a byte that is no printable character of Latin-1 as one beyond U+00FF, in order.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 # Entries kept by a worker: chunks as they stand, plain words, trailing punctuation. About 70 MB in all.
 _KEPT_CHUNKS, _KEPT_CORES, _KEPT_TAILS = 120_000, 200_000, 20_000
 
@@ -21,8 +26,8 @@ _KEPT_CHUNKS, _KEPT_CORES, _KEPT_TAILS = 120_000, 200_000, 20_000
 class WordIds(dict):
     """Ids of white-space separated chunks, each tokenized once by a worker as long as there is room for it.
 
-    The tokenizer never joins chunks, so a text's ids are the ids of its chunks in order. A plain ASCII word with
-    trailing punctuation is two pieces to the tokenizer's own splitter, and the model is asked for each.
+    The tokenizer never joins chunks, so a text's ids are the ids of its chunks in order. A word of Latin letters with
+    trailing ASCII punctuation is two pieces to the tokenizer's own splitter, and the model is asked for each.
     """
 
     def __init__(self, tokenizer, space: str, mark: str, fold: bool):
@@ -31,7 +36,7 @@ class WordIds(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(_TAIL)
-        if chunk.isascii() and core.isalpha():
+        if _LETTERS.fullmatch(core):
             ids = self._core(core.lower() if self.fold else core)
             if len(core) < len(chunk):
                 ids += self._tail(chunk[len(core):])
@@ -47,7 +52,8 @@ class WordIds(dict):
     def _core(self, core: str) -> bytes:
         ids = self.cores.get(core)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(self.mark + core)]).tobytes()
+            written = core if core.isascii() else core.encode().decode("latin-1").translate(_BYTES)
+            ids = array("I", [t.id for t in self.model.tokenize(self.mark + written)]).tobytes()
             if len(self.cores) < _KEPT_CORES:
                 self.cores[core] = ids
         return ids
@@ -109,4 +115,12 @@ def load(path: str):
 
 def worker_tokenizer(kind: str, path: str):
     """The tokenizer of this worker, loaded once; kind is `word` or `byte`."""
-    return per_worker(f"{kind}:{path}", lambda: {"word": WordTokenizer, "byte": ByteTokenizer}[kind](path))
+    made = per_worker("tokenizers", dict)
+    if (kind, path) not in made:
+        made[kind, path] = {"word": WordTokenizer, "byte": ByteTokenizer}[kind](path)
+    return made[kind, path]
+
+
+def forget_tokenizers() -> None:
+    """Give back what this worker's tokenizers hold, for work that needs none."""
+    per_worker("tokenizers", dict).clear()

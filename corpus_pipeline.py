@@ -12,7 +12,7 @@ from vacanta.llm.common import written
 from vacanta.llm.jaccard_join import keep_first
 from vacanta.llm.line_dedup import remove_repeated_lines
 from vacanta.llm.mixing import mix_documents, repeat_documents
-from vacanta.llm.packing import pack_documents, packed_sequences
+from vacanta.llm.packing import pack_sequences
 from vacanta.llm.quality_rules import quality_outliers
 from vacanta.llm.queries import vocabulary
 
@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Padded sequences of 2048 token ids, with the documents and lengths of their pieces."""
-    return packed_sequences(pack_documents(docs, vocabulary("word_bpe_49k.json")))
+    return pack_sequences(docs, vocabulary("word_bpe_49k.json"))
 
 
 STAGES = [

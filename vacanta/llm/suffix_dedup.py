@@ -17,16 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacanta.llm.common import without, written
+from vacanta.llm.common import dropped, in_slices, without, written
 
-SEED = 20
+#: Bytes of a seed, and the least length of strings.
+SEED, LEAST = 24, 20
 #: Bytes that are hashed at once, and suffixes that are sorted at once (more where one seed has more).
 CHUNK, SORTED = 1 << 18, 1 << 19
 #: Runs of one seed that are sorted in one task; further digits deal out seeds of more.
-HOT = 4096
+HOT = 16384
+#: Parts, by seed, that runs are sorted in one after the other, so that their shuffles do not lie on disk together.
+PARTS = 2
 _U = np.uint64
 
 
@@ -70,10 +74,11 @@ def runs_of_windows(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator
 
     `ends` has the end of each text. Runs are cut at the number of windows that a seed fits in, and at chunks.
     """
-    span = length - SEED + 1
+    size = min(SEED, length)
+    span = length - size + 1
     for begin in range(0, max(len(data) - length + 1, 0), CHUNK):
         part = data[begin:begin + CHUNK + length - 1]
-        seed = smallest(rolled(part, SEED), span)
+        seed = smallest(rolled(part, size), span)
         place = np.arange(begin, begin + len(seed))
         text = np.searchsorted(ends, place, "right")
         inside = place + length <= ends[text]
@@ -93,31 +98,19 @@ def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), "u1"), np.cumsum([len(v) for v in values], dtype="i8")
 
 
-def _in_bits(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about `size` bytes of the column; a longer value is a slice of its own."""
-    at = np.cumsum(pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype("i8")) // size
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
-    for begin, end in zip(cuts, cuts[1:]):
-        if end > begin:
-            yield batch.slice(begin, end - begin)
-
-
 def seeds_of(texts: DataFrame, length: int) -> DataFrame:
     """`seed` and `u` for each text: its seeds, each once in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        for whole in batches:
-            for batch in _in_bits(whole, "bytes"):
-                data, ends = _laid(batch.column("bytes"))
-                u = batch.column("u").to_numpy()
-                for seed, place, _ in runs_of_windows(data, ends, length):
-                    owner = u[np.searchsorted(ends, place, "right")]
-                    order = np.lexsort((seed, owner))
-                    seed, owner = seed[order], owner[order]
-                    new = np.r_[True, (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(seed[new]), pa.array(owner[new])], names=["seed", "u"])
+        for batch in in_slices(batches, "bytes"):
+            data, ends = _laid(batch.column("bytes"))
+            u = batch.column("u").to_numpy()
+            for seed, place, _ in runs_of_windows(data, ends, length):
+                owner = u[np.searchsorted(ends, place, "right")]
+                order = np.lexsort((seed, owner))
+                seed, owner = seed[order], owner[order]
+                new = np.r_[True, (seed[1:] != seed[:-1]) | (owner[1:] != owner[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(seed[new]), pa.array(owner[new])], names=["seed", "u"])
 
     return texts.select("u", "bytes").mapInArrow(run, "seed long, u long")
 
@@ -126,34 +119,31 @@ def runs_with(texts: DataFrame, length: int) -> DataFrame:
     """Runs of the texts whose seed is in their list `seeds`: `u`, `first`, `seed`, `start`, `bytes`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        for whole in batches:
-            for batch in _in_bits(whole, "bytes"):
-                data, ends = _laid(batch.column("bytes"))
-                raw, begins = data.tobytes(), np.r_[0, ends[:-1]]
-                wanted = batch.column("seeds")
-                known = wanted.flatten().to_numpy()
-                # Seeds and their texts as one sorted list of pairs.
-                owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-                order = np.lexsort((known, owner))
-                known, owner = known[order], owner[order]
-                bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-                for seed, place, n in runs_of_windows(data, ends, length):
-                    text = np.searchsorted(ends, place, "right")
-                    cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True])
-                    keep = np.zeros(len(seed), bool)
-                    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        own = known[bounds[text[begin]]:bounds[text[begin] + 1]]
-                        keep[begin:end] = np.isin(seed[begin:end], own)
-                    seed, place, n, text = seed[keep], place[keep], n[keep], text[keep]
-                    row = pa.array(text)
-                    pieces = [raw[p:p + k + length - 1] for p, k in zip(place.tolist(), n.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("u").take(row), batch.column("first").take(row), pa.array(seed),
-                         pa.array(place - begins[text]), pa.array(pieces, pa.binary())],
-                        names=["u", "first", "seed", "start", "bytes"],
-                    )
+        for batch in in_slices(batches, "bytes"):
+            data, ends = _laid(batch.column("bytes"))
+            raw, begins = data.tobytes(), np.r_[0, ends[:-1]]
+            wanted = batch.column("seeds")
+            known = wanted.flatten().to_numpy()
+            # Seeds and their texts as one sorted list of pairs.
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            order = np.lexsort((known, owner))
+            known, owner = known[order], owner[order]
+            bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            for seed, place, n in runs_of_windows(data, ends, length):
+                text = np.searchsorted(ends, place, "right")
+                cuts = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True])
+                keep = np.zeros(len(seed), bool)
+                for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    own = known[bounds[text[begin]]:bounds[text[begin] + 1]]
+                    keep[begin:end] = np.isin(seed[begin:end], own)
+                seed, place, n, text = seed[keep], place[keep], n[keep], text[keep]
+                row = pa.array(text)
+                pieces = [raw[p:p + k + length - 1] for p, k in zip(place.tolist(), n.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("u").take(row), batch.column("first").take(row), pa.array(seed),
+                     pa.array(place - begins[text]), pa.array(pieces, pa.binary())],
+                    names=["u", "first", "seed", "start", "bytes"],
+                )
 
     return texts.mapInArrow(run, "u long, first long, seed long, start long, bytes binary")
 
@@ -245,31 +235,69 @@ def windows_of(rows: DataFrame, length: int) -> DataFrame:
     return each.select("u", "first", (F.col("start") + F.col("__at")).alias("start"), window.alias("window"))
 
 
+def merged_spans(spans: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """Of each row's spans those that overlap or touch as one: row, start and stop, in order."""
+    row = np.repeat(np.arange(len(spans)), np.diff(spans.offsets.to_numpy()))
+    flat = spans.flatten()
+    start, stop = (flat.field(n).to_numpy() for n in ("start", "stop"))
+    apart = int(stop.max(initial=0)) + 1  # rows laid so far apart that no span reaches into the next
+    order = np.argsort(start + row * apart, kind="stable")
+    row, start, stop = row[order], (start + row * apart)[order], (stop + row * apart)[order]
+    upto = np.maximum.accumulate(stop) if len(stop) else stop
+    new = np.r_[True, start[1:] > upto[:-1]] if len(row) else np.zeros(0, bool)
+    ends = upto[np.r_[np.flatnonzero(new)[1:] - 1, len(row) - 1]] if len(row) else upto
+    return row[new], start[new] - row[new] * apart, ends - row[new] * apart
+
+
 def removed(texts: DataFrame) -> DataFrame:
     """Texts (`key`, `bytes`, `spans`) with what stands outside their spans: `key`, `n_removed`, `n_spans`, `kept`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                raw = batch.column("bytes")[at].as_py()
-                spans = sorted((s["start"], s["stop"]) for s in batch.column("spans")[at].as_py())
-                merged: list[list[int]] = []
-                for start, stop in spans:
-                    if merged and start <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], stop)
-                    else:
-                        merged.append([start, stop])
-                edges = [0, *[e for m in merged for e in m], len(raw)]
-                kept = b"".join(raw[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2))
-                columns = [
-                    batch.column("key").slice(at, 1), pa.array([len(raw) - len(kept)], pa.int64()),
-                    pa.array([len(merged)], pa.int64()), pa.array([kept], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_removed", "n_spans", "kept"])
+        for batch in in_slices(batches, "bytes"):
+            row, start, stop = merged_spans(batch.column("spans"))
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            start, stop, kept = start.tolist(), stop.tolist(), []
+            for text, begin, end in zip(batch.column("bytes"), bounds, bounds[1:]):
+                raw = text.as_py()
+                edges = zip([0, *stop[begin:end]], [*start[begin:end], len(raw)])
+                kept.append(b"".join([raw[i:j] for i, j in edges]))
+            sizes = pc.binary_length(batch.column("bytes")).to_numpy().astype("i8")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(sizes - np.array([len(k) for k in kept], "i8")),
+                 pa.array(np.diff(bounds)), pa.array(kept, pa.binary())],
+                names=["key", "n_removed", "n_spans", "kept"],
+            )
 
     return texts.select("key", "bytes", "spans").mapInArrow(run, "key binary, n_removed long, n_spans long, kept binary")
 
 
+def _repeated(runs: DataFrame, length: int, hot: int) -> DataFrame:
+    """`u`, `start` and `stop` of the windows of runs that stand in an earlier text. All runs of a seed must be there."""
+    # Runs that stand in one text only, or in texts of one id, are new there: they need no partner in the join.
+    least = runs.groupBy("bytes").agg(F.min("first").alias("least"), F.max("first").alias("most"))
+    least = written(least.filter("least < most").select("bytes", "least"), "least")
+    new = F.col("least").isNull() | (F.col("first") == F.col("least"))
+    judged = runs.join(least, "bytes", "left").select(
+        "u", "first", "seed", "start", (F.col("start") + F.octet_length("bytes")).alias("stop"), F.when(new, F.col("bytes")).alias("bytes")
+    )
+    judged = written(judged, "judged")
+    dropped(least)
+    left = judged.filter("bytes is not null")
+    common = written(left.groupBy("seed").count().filter(F.col("count") > hot).select("seed"), "common")
+    dealt = left.join(common, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed")
+    each = windows_of(left.join(common, "seed", "left_semi"), length)
+    earlier = each.groupBy("window").agg(F.min("first").alias("least"))
+    repeated = each.join(earlier, "window").filter(F.col("least") < F.col("first"))
+    spans = (
+        judged.filter("bytes is null").select("u", "start", "stop")
+        .unionByName(spans_of(dealt, length))
+        .unionByName(repeated.select("u", "start", (F.col("start") + length).alias("stop")))
+    )
+    out = written(spans, "repeated")
+    dropped(judged, common)
+    return out
+
+
 def remove_repeated_windows(
     docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept=lambda c: c, hot: int = HOT,
 ) -> DataFrame:
@@ -280,11 +308,11 @@ def remove_repeated_windows(
     once, as the smallest of their ids. All comparisons are on the bytes themselves, hashes only deal them out.
 
     NULL and empty texts are empty; texts shorter than `length` are kept. A NULL id is smaller than all others; rows of
-    one id remove nothing from each other. `length` has to be at least 20 (`SEED`). Input columns called like an
+    one id remove nothing from each other. `length` has to be at least 20 (`LEAST`). Input columns called like an
     added one are replaced, all others but the text are kept. No rows give no rows.
     """
-    if length < SEED:
-        raise ValueError(f"length must be at least {SEED}")
+    if length < LEAST:
+        raise ValueError(f"length must be at least {LEAST}")
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rest = without(docs, *added, text_col).columns
@@ -301,33 +329,26 @@ def remove_repeated_windows(
     several = seeds_of(texts, length).groupBy("seed").agg(F.min("u").alias("a"), F.max("u").alias("b"))
     several = written(several.filter("a < b").select("seed"), "seeds")
     wanted = seeds_of(texts, length).join(several, "seed", "left_semi").groupBy("u").agg(F.collect_list("seed").alias("seeds"))
+    wanted = written(wanted, "wanted")
+    dropped(several)
     runs = written(runs_with(texts.join(wanted, "u"), length), "runs")
-
-    least = runs.groupBy("bytes").agg(F.min("first").alias("least"))
-    new = F.col("first") == F.col("least")
-    judged = runs.join(least, "bytes").select(
-        "u", "first", "seed", "start", (F.col("start") + F.octet_length("bytes")).alias("stop"), F.when(new, F.col("bytes")).alias("bytes")
-    )
-    judged = written(judged, "judged")
-    left = judged.filter("bytes is not null")
-    common = written(left.groupBy("seed").count().filter(F.col("count") > hot).select("seed"), "common")
-    dealt = left.join(common, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed")
-    each = windows_of(left.join(common, "seed", "left_semi"), length)
-    earlier = each.groupBy("window").agg(F.min("first").alias("least"))
-    repeated = each.join(earlier, "window").filter(F.col("least") < F.col("first"))
-    spans = (
-        judged.filter("bytes is null").select("u", "start", "stop")
-        .unionByName(spans_of(dealt, length))
-        .unionByName(repeated.select("u", "start", (F.col("start") + length).alias("stop")))
-    )
-    spans = written(spans, "spans").groupBy("u").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = removed(texts.select("u", "key", "bytes").join(spans, "u"))
+    dropped(wanted)
+
+    spans = None
+    for part in range(PARTS):
+        found = _repeated(runs.filter(F.pmod("seed", F.lit(PARTS)) == part), length, hot)
+        spans = found if spans is None else spans.unionByName(found)
+    dropped(runs)
+    # A text's own spans: no more than it has bytes.
+    listed = spans.groupBy("u").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    cut = removed(texts.select("u", "key", "bytes").join(listed, "u"))
     found = cut.select("key", "n_removed", "n_spans", kept(F.col("kept")).alias("kept"))
     found = texts.select("key", "first", kept(F.col("bytes")).alias("own")).join(found, "key", "left").select(
         "key", "first", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")],
         F.coalesce("kept", "own").alias("__kept"),
     )
     found = written(found.withColumnsRenamed({"key": "__key", "first": "__first", "n_removed": "__removed", "n_spans": "__spans"}), "kept")
+    dropped(texts)
     narrow = rows.withColumn("__own", F.when(~long, kept(F.col("__bytes")))).select(
         *[F.col(f"`{c}`") for c in rest], "__rank", "__size", "__own", F.when(long, F.col("__key")).alias("__key")
     )

@@ -119,17 +119,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a dealt table that a task gets, about.
+ROWS_PER_TASK = 50_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of about so many rows, dealt out evenly to a number of tasks that grows with them."""
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(fewest, -(-rows // ROWS_PER_TASK)))
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table dealt out evenly, for work that is heavy per row."""
-    return read(spark, sf_dir, name).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """A given table dealt out evenly, for work that is heavy per row. Counting reads the files' footers only."""
+    rows = read(spark, sf_dir, name)
+    return dealt(rows, rows.count())
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str, heavy: str = "") -> DataFrame:
-    """The rows of a text above; `heavy` names the given table whose rows carry heavy work."""
-    used = {
-        name: (spread if name == heavy else read)(spark, sf_dir, name) for name in GIVEN if "{" + name + "}" in text
-    }
-    return spark.sql(text, **used)
+    """The rows of a text above. If they carry heavy work, `heavy` names the given table that has one for each.
+
+    They are dealt out after the joins, as a join by shuffle deals anew, in tasks by bytes and not by work.
+    """
+    rows = spark.sql(text, **{name: read(spark, sf_dir, name) for name in GIVEN if "{" + name + "}" in text})
+    return dealt(rows, read(spark, sf_dir, heavy).count()) if heavy else rows
 
 
 def duck(text: str) -> str:

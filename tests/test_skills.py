@@ -55,6 +55,22 @@ def test_against_plain_python(spark):
     assert got == reference(texts, terms) and len(got) > 500
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_only_a_large_dictionary_makes_runs_shuffle(spark, monkeypatch, most):
+    monkeypatch.setattr(skills, "BROADCAST_TERMS", most)
+    terms = [("go", "Go", "other", False), ("big data", "Big", "other", False), ("SQL Server", "Server", "databases", True)]
+    texts = [(1, "Go big data, go Big"), (2, "sql server and SQL Server"), (3, None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = skills.match_terms(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(terms, TERMS))
+        plan, got = out._jdf.queryExecution().executedPlan().toString(), found(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(1, "Go", "other"): (0, 2), (1, "Big", "other"): (1, 1), (2, "Server", "databases"): (3, 1)}
+    assert ("SortMergeJoin" in plan) == (most == 0)
+
+
 def test_large_dictionary_is_no_product(spark):
     terms = spark.range(100_000).selectExpr("'term' || id || ' of ' || (id % 7) || 'x' as term", "'t' || id as name", "'other' as category", "false as exact")
     texts = spark.createDataFrame([(1, "a term5 of term99999 of x"), (2, "Term7")], "doc_id long, text string")

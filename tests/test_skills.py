@@ -69,6 +69,8 @@ def test_only_a_large_dictionary_makes_runs_shuffle(spark, monkeypatch, most):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {(1, "Go", "other"): (0, 2), (1, "Big", "other"): (1, 1), (2, "Server", "databases"): (3, 1)}
     assert ("SortMergeJoin" in plan) == (most == 0)
+    if most:  # the texts' own shuffle and that of the lengths
+        assert plan.count("Exchange hashpartitioning(_id") == 1 and "Exchange hashpartitioning(_id#" in plan
 
 
 def test_large_dictionary_is_no_product(spark):

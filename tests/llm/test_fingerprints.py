@@ -117,3 +117,21 @@ def test_near_copies_in_a_rare_language_stay_alike(spark):
     both = fp.with_fingerprint(both, "b", terms, "y")
     alike = [r[0] for r in both.select(fp.likeness(both.x, both.y)).collect()]
     assert min(alike) > 0.3, sorted(alike)[:5]
+
+
+def test_each_text_is_fingerprinted_once(spark, monkeypatch):
+    """Besides one row per bucket, no text is fingerprinted again to find the buckets of its id."""
+    done, plain = spark.sparkContext.accumulator(0), fp.with_fingerprint
+
+    def counting(docs, *args):
+        def run(batches):
+            for batch in batches:
+                done.add(batch.num_rows)
+                yield batch
+
+        return plain(docs.mapInArrow(run, docs.schema), *args)
+
+    monkeypatch.setattr(fp, "with_fingerprint", counting)
+    df = spark.createDataFrame([(i, f"word{i % 7} other{i}") for i in range(200)], "doc_id long, text string")
+    assert len(fp.fingerprint_documents(df, buckets=3).collect()) == 200
+    assert done.value <= 200 + 3 + 200

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,12 +96,17 @@ def id_bucket(docs: DataFrame, id_col: str, buckets: int) -> Column:
     return F.when(F.col(id_col).isNull(), 0).when(at == 0, 1).otherwise(1 + (at - 1) * wide + inside)
 
 
-def with_next(docs: DataFrame, id_col: str, tie: Column, values: list[str], buckets: int) -> DataFrame:
+def with_next(
+    docs: DataFrame, id_col: str, tie: Column, values: list[str], buckets: int,
+    derive: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """Add `next_<value>` of the row with the next higher id; the last row's next is the first row.
 
     Rows meet in buckets of neighbouring ids, so nothing is sorted as a whole. The first rows of a bucket are also
     dealt to the bucket before it, the very first to the last, and go again when they have been looked at. Rows
     with one id stay in one bucket, in the order of `tie`.
+
+    `derive` adds columns to rows that have their buckets: buckets are found from the ids alone, without that work.
     """
     placed = docs.withColumns({"__bucket": id_bucket(docs, id_col, buckets), "__tail": F.lit(0)})
     firsts = placed.groupBy("__bucket").agg(F.min(id_col).alias("__id")).orderBy("__bucket").collect()
@@ -114,7 +120,7 @@ def with_next(docs: DataFrame, id_col: str, tie: Column, values: list[str], buck
     same = F.col(id_col).eqNullSafe(F.col("__id"))
     tails = docs.join(F.broadcast(heads), same).select(*docs.columns, "__bucket", "__tail")
     order = Window.partitionBy("__bucket").orderBy("__tail", id_col, tie)
-    looked = placed.unionByName(tails).withColumns({f"next_{v}": F.lead(v).over(order) for v in values})
+    looked = derive(placed.unionByName(tails)).withColumns({f"next_{v}": F.lead(v).over(order) for v in values})
     return looked.filter("__tail = 0").drop("__bucket", "__tail")
 
 
@@ -140,10 +146,12 @@ def fingerprint_documents(
     """
     slim = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     terms = lexicon(slim, "__text", band)
-    marked = with_fingerprint(slim, "__text", terms)
     if buckets is None:
         buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = with_next(marked, "__doc", F.xxhash64("__text"), ["__text", "fingerprint"], buckets)
+    near = with_next(
+        slim, "__doc", F.xxhash64("__text"), ["__text", "fingerprint"], buckets,
+        lambda rows: with_fingerprint(rows, "__text", terms),
+    )
     edited = barrier(
         near.withColumn("n_chars", F.char_length("__text").cast("long")),
         edited_text=edited_text(F.col("__text"), F.col("next___text")),

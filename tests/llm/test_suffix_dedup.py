@@ -123,3 +123,30 @@ def test_equal_windows_have_equal_seeds():
     plain = rolled(data, 20)
     assert len(plain) == 2981 and plain[5] == rolled(data[5:25], 20)[0]
     assert (smallest(plain, 31) == [plain[i:i + 31].min() for i in range(2951)]).all()
+
+
+@pytest.mark.parametrize("size", [8, 16, 24])
+def test_hashes_of_words_of_eight_bytes(size):
+    data = np.random.default_rng(4).integers(0, 256, 101).astype("u1")
+    plain = rolled(data, size)
+    assert len(plain) == 102 - size and len(set(plain.tolist())) == len(plain)
+    assert all(plain[i] == rolled(data[i:i + size].copy(), size)[0] for i in range(len(plain)))
+    assert len(rolled(data[:size - 1], size)) == 0
+
+
+def test_seeds_are_made_twice_a_text(spark, corpus, monkeypatch):
+    """Once to find those of several texts and once to cut the runs, however many join steps follow."""
+    made, plain = spark.sparkContext.accumulator(0), suffix_dedup.seeds_of
+
+    def counting(texts, length):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(texts.select("u", "bytes").mapInArrow(run, "u long, bytes binary"), length)
+
+    monkeypatch.setattr(suffix_dedup, "seeds_of", counting)
+    rows = table(spark, corpus)
+    assert found(remove_repeated_windows(rows)) == reference(corpus)
+    assert 0 < made.value <= len({r[1] for r in corpus})

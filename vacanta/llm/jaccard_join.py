@@ -104,7 +104,8 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
 def shared_postings(postings: DataFrame) -> DataFrame:
     """(token, rid) rows whose token occurs more than once.
 
-    Rows are sorted by ranges of both columns, so a token of any count is split; the tokens at a range's ends stay.
+    Ranges are of both columns, so a token of any count is split; the tokens at a range's ends stay. Within a range rows
+    are sorted by one number, which Spark does without comparing rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def shared_postings(postings: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["token", "rid"])
 
-    return postings.repartitionByRange("token", "rid").sortWithinPartitions("token", "rid").mapInArrow(
+    return postings.repartitionByRange("token", "rid").sortWithinPartitions("token").mapInArrow(
         run, "token long, rid long"
     )
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacanta.llm.common import dropped, in_slices, without, written
+from vacanta.llm.jaccard_join import shared_postings
 
 #: Bytes of a seed, and the least length of strings.
 SEED, LEAST = 24, 20
@@ -42,8 +43,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def rolled(data: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each string of `size` bytes, from hashes of halves."""
-    part, width = _mixed(data.astype("u8") + _U(0x9E3779B97F4A7C15)), 1
+    """A hash of each string of `size` bytes, from hashes of halves, down to words of eight bytes or to bytes."""
+    width = 1 if size % 8 else 8
+    part = _mixed((data.astype("u8") if width == 1 else _eights(data)) + _U(0x9E3779B97F4A7C15))
+    size //= width
     out, done = None, 0
     while size:
         if size & 1:
@@ -54,6 +57,14 @@ def rolled(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Each eight neighbouring bytes as one number."""
+    out = np.empty(max(len(data) - 7, 0), "u8")
+    for k in range(min(8, len(out))):
+        out[k::8] = data[k:k + (len(data) - k) // 8 * 8].view("<u8")
+    return out
+
+
 def _joined(x: np.ndarray, nx: int, y: np.ndarray, ny: int, total: int) -> np.ndarray:
     n = max(total - nx - ny + 1, 0)
     return _mixed(x[:n] * _U(0xFF51AFD7ED558CCD) + y[nx:nx + n])
@@ -135,7 +146,9 @@ def runs_with(texts: DataFrame, length: int) -> DataFrame:
                 keep = np.zeros(len(seed), bool)
                 for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     own = known[bounds[text[begin]]:bounds[text[begin] + 1]]
-                    keep[begin:end] = np.isin(seed[begin:end], own)
+                    if len(own):
+                        found = np.searchsorted(own, seed[begin:end]).clip(max=len(own) - 1)
+                        keep[begin:end] = own[found] == seed[begin:end]
                 seed, place, n, text = seed[keep], place[keep], n[keep], text[keep]
                 row = pa.array(text)
                 pieces = [raw[p:p + k + length - 1] for p, k in zip(place.tolist(), n.tolist())]
@@ -326,11 +339,11 @@ def remove_repeated_windows(
     )
     texts = written(texts.withColumn("u", F.monotonically_increasing_id()), "texts")
 
-    several = seeds_of(texts, length).groupBy("seed").agg(F.min("u").alias("a"), F.max("u").alias("b"))
-    several = written(several.filter("a < b").select("seed"), "seeds")
-    wanted = seeds_of(texts, length).join(several, "seed", "left_semi").groupBy("u").agg(F.collect_list("seed").alias("seeds"))
+    # Few seeds of one text only may stay: their runs have no partner later on.
+    seeds = written(seeds_of(texts, length).select(F.col("seed").alias("token"), F.col("u").alias("rid")), "seeds")
+    wanted = shared_postings(seeds).groupBy(F.col("rid").alias("u")).agg(F.collect_list("token").alias("seeds"))
     wanted = written(wanted, "wanted")
-    dropped(several)
+    dropped(seeds)
     runs = written(runs_with(texts.join(wanted, "u"), length), "runs")
     dropped(wanted)
 

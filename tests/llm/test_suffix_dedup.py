@@ -150,3 +150,17 @@ def test_seeds_are_made_twice_a_text(spark, corpus, monkeypatch):
     rows = table(spark, corpus)
     assert found(remove_repeated_windows(rows)) == reference(corpus)
     assert 0 < made.value <= len({r[1] for r in corpus})
+
+
+def test_texts_are_joined_once_to_their_spans(spark, corpus, monkeypatch):
+    scans, write = [], suffix_dedup.written
+
+    def kept(df, label):
+        if label == "kept":
+            plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+            scans.append(sum("Relation [" in line and "bytes#" in line for line in plan))
+        return write(df, label)
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    assert found(remove_repeated_windows(table(spark, corpus), kept=lambda c: c)) == reference(corpus)
+    assert scans == [1]

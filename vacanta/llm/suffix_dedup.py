@@ -263,7 +263,8 @@ def merged_spans(spans: pa.ListArray) -> tuple[np.ndarray, ...]:
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """Texts (`key`, `bytes`, `spans`) with what stands outside their spans: `key`, `n_removed`, `n_spans`, `kept`."""
+    """Texts (`key`, `first`, `bytes`, `spans`) with what stands outside their spans: `key`, `first`, `n_removed`,
+    `n_spans`, `kept`. A text without spans is kept whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "bytes"):
@@ -276,12 +277,15 @@ def removed(texts: DataFrame) -> DataFrame:
                 kept.append(b"".join([raw[i:j] for i, j in edges]))
             sizes = pc.binary_length(batch.column("bytes")).to_numpy().astype("i8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(sizes - np.array([len(k) for k in kept], "i8")),
+                [batch.column("key"), batch.column("first"), pa.array(sizes - np.array([len(k) for k in kept], "i8")),
                  pa.array(np.diff(bounds)), pa.array(kept, pa.binary())],
-                names=["key", "n_removed", "n_spans", "kept"],
+                names=["key", "first", "n_removed", "n_spans", "kept"],
             )
 
-    return texts.select("key", "bytes", "spans").mapInArrow(run, "key binary, n_removed long, n_spans long, kept binary")
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans")
+    return texts.select("key", "first", "bytes", spans).mapInArrow(
+        run, "key binary, first long, n_removed long, n_spans long, kept binary"
+    )
 
 
 def _repeated(runs: DataFrame, length: int, hot: int) -> DataFrame:
@@ -354,12 +358,9 @@ def remove_repeated_windows(
     dropped(runs)
     # A text's own spans: no more than it has bytes.
     listed = spans.groupBy("u").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = removed(texts.select("u", "key", "bytes").join(listed, "u"))
-    found = cut.select("key", "n_removed", "n_spans", kept(F.col("kept")).alias("kept"))
-    found = texts.select("key", "first", kept(F.col("bytes")).alias("own")).join(found, "key", "left").select(
-        "key", "first", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")],
-        F.coalesce("kept", "own").alias("__kept"),
-    )
+    # All texts at once: two joins would hold the texts on disk twice, and what is kept of them as well.
+    cut = removed(texts.select("u", "key", "first", "bytes").join(listed, "u", "left"))
+    found = cut.select("key", "first", "n_removed", "n_spans", kept(F.col("kept")).alias("__kept"))
     found = written(found.withColumnsRenamed({"key": "__key", "first": "__first", "n_removed": "__removed", "n_spans": "__spans"}), "kept")
     dropped(texts)
     narrow = rows.withColumn("__own", F.when(~long, kept(F.col("__bytes")))).select(

@@ -186,3 +186,41 @@ def test_reference_sql():
     docs = con.execute("select doc_id, text from documents").fetchall()
     got = con.execute(ORACLES["op9_jaccard_join"]).fetchall()
     assert {d: (n, c) for d, n, c in got} == reference(docs)
+
+
+def test_places_are_narrow_and_of_more_than_two_after_the_first_round(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(words[40 * i:40 * i + 200] + [f"x{i}"])) for i in range(1, 6)]  # shared shingles, no links
+    docs += [(20 + i, " ".join(f"y{i // 2}a{k}" for k in range(60 + 40 * (i % 2)))) for i in range(4)]  # places of two
+    docs += [(40 + i, " ".join(f"z{k}" for k in range(120)) + f" q{i}") for i in range(3)]
+    seen, pairs_of = [], jj.block_pairs
+
+    def looked_at(blocks, how):
+        rows = blocks.collect()
+        least = min((sum(r.block == b.block for r in rows) for b in rows), default=3)
+        seen.append((how, least, {(r.n, len(r.bitmap)) for r in rows}))
+        return pairs_of(blocks, how)
+
+    monkeypatch.setattr(jj, "block_pairs", looked_at)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert found(jj.near_duplicates(df)) == reference(docs)
+    assert [how for how, _, _ in seen] == ["star", "spanning", "all"]
+    assert all(least > 2 for _, least, _ in seen[1:])
+    assert seen[0][2] and all(size < n for n, size in seen[0][2])  # less than a byte a shingle
+
+
+def test_folded_bitmaps_prune_nothing_that_links(spark):
+    r = random.Random(2)
+    whole = [np.array([r.getrandbits(63) for _ in range(n)], "u8") for n in (40, 63, 64, 65, 300)]
+    sets = [s[:max(1, len(s) - k)] for s in whole for k in range(0, len(s) // 5)]
+    rows = [(i, len(s), jj.bitmap_of(s)) for i, s in enumerate(sets)]
+    short = [jj.shorter(b, len(b) >> jj.FOLDS) for _, _, b in rows]
+    true = {(i, j) for i in range(len(sets)) for j in range(i) for x, y in [(set(sets[i]), set(sets[j]))]
+            if 9 * len(x & y) >= 4 * (len(x) + len(y))}
+    met = jj.candidate_pairs(np.array([len(s) for s in sets]), short, np.arange(len(sets)), False)
+    met = {(max(p), min(p)) for p in met}
+    assert true <= met
+    meta = spark.createDataFrame(rows, "cid long, n long, bitmap binary")
+    every = spark.createDataFrame([(j, i) for i in range(len(sets)) for j in range(i)], "a long, b long")
+    fit = {(r.b, r.a) for r in jj.fitting(every, meta).collect()}
+    assert true <= fit < {(i, j) for i in range(len(sets)) for j in range(i)}

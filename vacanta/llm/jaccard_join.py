@@ -19,6 +19,8 @@ WORDS = 5
 BITS_EACH = 8
 SLOTS = 1 << 17
 LEAF, FANOUT = 16, 8
+#: Bitmaps travel to the places where sets meet folded so many times; what they let pass meets the whole bitmaps.
+FOLDS = 2
 _KEPT = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
                          0x85EBCA77C2B2AE63], "u8")
@@ -63,7 +65,8 @@ def commonness(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Per row its set's size `n`, digest (`d1`, `d2`), bitmap, and the shingles of its `prefix`.
+    """Per row its set's size `n`, digest (`d1`, `d2`), bitmap, that bitmap folded (`coarse`), and the shingles of its
+    `prefix`.
 
     Two sets that link share a shingle among the first n - ceil(0.8 n) + 1 of either in any common order. A task
     gives the prefix of a set it has met before only once.
@@ -73,7 +76,7 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple] = set()
         for batch in batches:
-            out: dict[str, list] = {"n": [], "d1": [], "d2": [], "bitmap": [], "prefix": []}
+            out: dict[str, list] = {"n": [], "d1": [], "d2": [], "bitmap": [], "coarse": [], "prefix": []}
             for h in word_hashes(batch.column("__text")):
                 s = shingles(h)
                 name = digest(s)
@@ -82,22 +85,25 @@ def signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 out["d2"].append(name[1])
                 if name in met or not len(s):
                     out["bitmap"].append(None)
+                    out["coarse"].append(None)
                     out["prefix"].append(None)
                     continue
                 if len(met) < _KEPT:
                     met.add(name)
                 out["bitmap"].append(bitmap_of(s))
+                out["coarse"].append(shorter(out["bitmap"][-1], len(out["bitmap"][-1]) >> FOLDS))
                 first = len(s) - (4 * len(s) + 4) // 5 + 1
                 out["prefix"].append(s[np.lexsort((s, rank[slot_of(s)]))[:first]].view("i8"))
             kinds = {"n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "bitmap": pa.binary(),
-                     "prefix": pa.list_(pa.int64())}
+                     "coarse": pa.binary(), "prefix": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], *[pa.array(out[c], k) for c, k in kinds.items()]],
                 names=[*names, *kinds],
             )
 
     kind = docs.schema["__doc"].dataType.simpleString()
-    schema = f"__rid long, __doc {kind}, __text_hash long, n long, d1 long, d2 long, bitmap binary, prefix array<long>"
+    schema = f"__rid long, __doc {kind}, __text_hash long, n long, d1 long, d2 long, bitmap binary, coarse binary, "
+    schema += "prefix array<long>"
     return docs.select(*names, "__text").mapInArrow(run, schema)
 
 
@@ -145,6 +151,11 @@ def folded(bitmaps: np.ndarray) -> np.ndarray:
     return bitmaps[:, :half] | bitmaps[:, half:]
 
 
+def shorter(bitmap: bytes, size: int) -> bytes:
+    """A bitmap folded to `size` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, "u1").reshape(-1, size), axis=0).tobytes()
+
+
 class Tree:
     """Members ordered by size; nodes hold the OR of bitmaps, the range of sizes, and the most hidden shingles.
 
@@ -277,6 +288,29 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def fitting(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    """The pairs that their whole bitmaps allow to link as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (n, m, x, y) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("n", "m", "x", "y")])):
+                size = min(len(x), len(y))
+                x, y = (np.frombuffer(shorter(b, size), "u8") for b in (x, y))
+                hidden = min(n - int(np.bitwise_count(x).sum()), m - int(np.bitwise_count(y).sum()))
+                keep[i] = 9 * min(int(np.bitwise_count(x & y).sum()) + hidden, n, m) >= 4 * (n + m)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    ends = written(ends_of(pairs), "ends")
+    maps = written(meta.join(ends, "cid", "left_semi").select("cid", "n", "bitmap"), "maps")
+    one = maps.select(F.col("cid").alias("a"), "n", F.col("bitmap").alias("x"))
+    other = maps.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bitmap").alias("y"))
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "n", "m", "x", "y")
+    out = written(both.mapInArrow(run, "a long, b long"), "pairs")
+    dropped(ends, maps)
+    return out
+
+
 def in_blocks(rows: DataFrame, meta: DataFrame, most: int, across: bool) -> DataFrame:
     """Blocks from (token, cid, members) rows. Tokens with more than `most` members are cut in parts.
 
@@ -304,15 +338,18 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(tokens.sum(dtype="u8").view("i8")), int(other.sum(dtype="u8").view("i8"))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
-    """`cid` and `tokens` of the wanted classes, made again from the texts of their first documents."""
+def sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame, many: bool) -> DataFrame:
+    """`cid` and `tokens` of the wanted classes, made again from the texts of their first documents.
+
+    With `many`, as many as grow with the documents, they are not broadcast, whatever their files' size.
+    """
     named = written(
         members.join(wanted.withColumnRenamed("cid", "__rid"), "__rid", "left_semi")
         .select("cid", "__doc", "__text_hash", "d1", "d2"), "wanted",
     )
     # By the text's hash too, so that rows without an id, or of one id, meet only their own text.
     same = F.col("t.__doc").eqNullSafe(F.col("i.__doc")) & F.col("t.__text_hash").eqNullSafe(F.col("i.__text_hash"))
-    texts = docs.select("__doc", "__text_hash", "__text").alias("t").join(named.alias("i"), same).select(
+    texts = docs.select("__doc", "__text_hash", "__text").alias("t").join((named.hint("merge") if many else named).alias("i"), same).select(
         "cid", "d1", "d2", "__text"
     )
 
@@ -378,55 +415,61 @@ def near_duplicates(
     postings = found.select(F.explode("prefix").alias("token"), F.col("__rid").alias("rid"))
     shared = written(shared_postings(postings), "postings")
     by_class = written(
-        shared.join(members.select(F.col("__rid").alias("rid"), "cid"), "rid").select("token", "cid").distinct(), "meet"
+        shared.join(members.select(F.col("__rid").alias("rid"), "cid", "n"), "rid").select("token", "cid", "n").distinct(), "meet"
     )
     dropped(shared)
-    # Shingles where the same classes meet are one place.
+    # Shingles where the same classes meet are one place. Where two meet whose sizes are too far apart, there is no link.
     places = by_class.groupBy("token").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"),
         F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("s1"),
         F.sum(F.xxhash64("cid", F.lit(7)).cast("decimal(38,0)")).alias("s2"),
-    ).filter("members > 1").groupBy("members", "s1", "s2").agg(F.min("token").alias("token"))
+    ).filter("members > 2 or (members = 2 and 5 * low >= 4 * high)").groupBy("members", "s1", "s2").agg(F.min("token").alias("token"))
     places = written(places.select("token", "members"), "places")
-    rows = written(by_class.join(places, "token"), "rows")
+    rows = written(by_class.drop("n").join(places, "token"), "rows")
     dropped(by_class, places)
     label = F.coalesce("root", "cid")
     # A text that others were made from shares more of its shingles than they do among themselves.
     weights = rows.groupBy("cid").agg(F.sum("members").alias("weight"))
     meta = written(
-        found.filter("bitmap is not null").select(F.col("__rid").alias("cid"), "n", "bitmap").join(weights, "cid"), "meta"
+        found.filter("bitmap is not null").select(F.col("__rid").alias("cid"), "n", "bitmap", "coarse").join(weights, "cid"), "meta"
     )
     wordless = written(found.filter("n = 0").select("__doc", "n", "__text_hash"), "wordless")
     dropped(found)
     sets, tested, links, open_rows, used = None, None, None, rows, []
-    labelled = meta.withColumn("label", F.col("cid"))
+    narrow = meta.select("cid", "n", F.col("coarse").alias("bitmap"), "weight")
+    labelled = narrow.withColumn("label", F.col("cid"))
     for how in ("star", "spanning", "all"):
         pairs = block_pairs(in_blocks(open_rows, labelled, most, how == "all"), how)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        met = written(pairs, "met")
+        pairs = fitting(met, meta)
         missing = ends_of(pairs) if sets is None else ends_of(pairs).join(sets, "cid", "left_anti")
         missing = written(missing, "missing")
         if sets is None or not missing.isEmpty():
-            more = sets_of(slim, missing, members)
+            more = sets_of(slim, missing, members, sets is None)
             used.append(more)
             sets = more if sets is None else sets.unionByName(more)
         dropped(missing)
         found_links = linked(pairs, sets)
-        used.append(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        dropped(pairs)
+        used.append(met)
+        tested = met if tested is None else tested.unionByName(met)
         links = found_links if links is None else links.unionByName(found_links)
         if how == "all":
             break
         roots = components(links)
-        known = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).drop("root")
+        # A place of two members is done after one round, linked or not.
+        more_pairs = open_rows.filter(F.col("members") > (2 if most > 1 else 1))
+        known = more_pairs.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", label).drop("root")
         known = written(known, "labelled")
         last_open, last_labels = open_rows, labelled
         divided = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-        open_rows = written(known.join(divided.select("token"), "token", "left_semi").drop("label"), "open")
-        labels = known.select("cid", "label").distinct()
-        labelled = written(meta.join(labels, "cid"), "labels")
+        open_known = written(known.join(divided.select("token"), "token", "left_semi"), "open")
+        open_rows = open_known.drop("label")
+        labelled = written(narrow.join(open_known.select("cid", "label").distinct(), "cid"), "labels")
         dropped(known, *[t for t in (last_open, last_labels) if t in used])
-        used += [open_rows, labelled]
+        used += [open_known, labelled]
     dropped(*used, rows, meta)
     roots = written(components(links), "roots")
     rooted = written(

@@ -19,7 +19,8 @@ WORDS = 5
 BITS_EACH = 8
 SLOTS = 1 << 17
 LEAF, FANOUT = 16, 8
-#: Bitmaps travel to the places where sets meet folded so many times; what they let pass meets the whole bitmaps.
+#: Bitmaps travel to the first round, whose pairs are fewer than members, folded so many times; what they let pass
+#: meets the whole bitmaps. Later rounds take whole ones, as folded ones would let squares of a group pass.
 FOLDS = 2
 _KEPT = 200_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5,
@@ -443,7 +444,7 @@ def near_duplicates(
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         met = written(pairs, "met")
-        pairs = fitting(met, meta)
+        pairs = fitting(met, meta) if how == "star" else met
         missing = ends_of(pairs) if sets is None else ends_of(pairs).join(sets, "cid", "left_anti")
         missing = written(missing, "missing")
         if sets is None or not missing.isEmpty():
@@ -452,7 +453,8 @@ def near_duplicates(
             sets = more if sets is None else sets.unionByName(more)
         dropped(missing)
         found_links = linked(pairs, sets)
-        dropped(pairs)
+        if pairs is not met:
+            dropped(pairs)
         used.append(met)
         tested = met if tested is None else tested.unionByName(met)
         links = found_links if links is None else links.unionByName(found_links)
@@ -467,7 +469,7 @@ def near_duplicates(
         divided = known.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
         open_known = written(known.join(divided.select("token"), "token", "left_semi"), "open")
         open_rows = open_known.drop("label")
-        labelled = written(narrow.join(open_known.select("cid", "label").distinct(), "cid"), "labels")
+        labelled = written(meta.drop("coarse").join(open_known.select("cid", "label").distinct(), "cid"), "labels")
         dropped(known, *[t for t in (last_open, last_labels) if t in used])
         used += [open_known, labelled]
     dropped(*used, rows, meta)

@@ -247,3 +247,42 @@ def test_odd_rows(spark):
     assert whole == [(5, None, 0, 20000)] * 2
     assert {r["doc_id"] for r in found} <= {3, 4, 5, 7} and 7 in {r["doc_id"] for r in found}
     assert sd.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, wide, n).astype("u8") for n in (0, 1, 7, 8, 18, 19, 20, 60, 300) for wide in (2, 9, 1 << 62)]
+    for some in (texts, texts[:6], texts[::-1], [texts[0]]):
+        row, at, value = sd.seeds_of_all(some, 8, 12)
+        for i, h in enumerate(some):
+            mine = np.flatnonzero(row == i)
+            mine = mine[np.argsort(at[mine])]
+            own = sd.seeds_of(h, 8, 12)
+            assert at[mine].tolist() == own[0].tolist() and value[mine].tolist() == own[1].tolist(), i
+    h = rng.integers(0, 1 << 62, 200).astype("u8")
+    total = np.zeros(151, "u8")
+    for i in range(50):
+        total = total * np.uint64(sd._FACTOR) + h[i:i + 151]
+    assert (sd.run_hashes(h, 50) == sd.mixed(total)).all() and len(sd.run_hashes(h[:49], 50)) == 0
+
+
+def test_anchors_write_hashes_and_documents_of_boundary_records_only(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(sd, "written", lambda df, label, write=sd.written: tables.setdefault(label, write(df, label)))
+    rows = [(i // 3, i % 7, i, 1) for i in range(3000)]
+    sd.anchors(spark.createDataFrame(rows, "seed long, doc long, rid long, pos int"), lasts=False).count()
+    assert tables["anchors"].filter("not edge and (seed is not null or doc is not null)").isEmpty()
+    assert "last_rid" not in tables["anchors"].columns
+
+
+def test_texts_are_not_broadcast_to_at_any_size(spark, monkeypatch):
+    plans = {}
+
+    def planned(df, label, write=sd.written):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(sd, "written", planned)
+    words = " ".join(f"t{i}" for i in range(80))
+    sd.repeated_passages(spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string")).count()
+    assert "SortMergeJoin" in plans["blocks"] and "Broadcast" not in plans["blocks"]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,34 @@ from vacanta.llm.wordhash import mixed, word_hashes
 
 #: Words of a block in which passages' words travel to their alignment.
 BLOCK = 64
+#: Types of ids that Arrow orders as Spark does.
+_ORDERED = ("tinyint", "smallint", "int", "bigint", "string", "binary", "date")
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of `n` words, from runs of half the length."""
+    if len(h) < n:
+        return np.empty(0, "u8")
+    total, size = h, 1
+    for bit in bin(n)[3:]:
+        total = total[:len(total) - size] * np.uint64(pow(_FACTOR, size, 1 << 64)) + total[size:]
+        size *= 2
+        if bit == "1":
+            total = total[:len(total) - 1] * np.uint64(_FACTOR) + h[size:]
+            size += 1
+    return mixed(total)
+
+
+def first_least(values: np.ndarray, wide: int) -> np.ndarray:
+    """The place of the first least value in each `wide` successive ones."""
+    at, size = np.arange(len(values)), 1
+    while size < wide:
+        step = min(size, wide - size)
+        one, other = at[:len(at) - step], at[step:]
+        at = np.where(values[one] <= values[other], one, other)
+        size += step
+    return at
 
 
 def seeds_of(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -24,13 +53,9 @@ def seeds_of(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray
     count = len(h) - k + 1
     if count < 1:
         return np.empty(0, "i8"), np.empty(0, "u8")
-    total = np.zeros(count, "u8")
-    for i in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i:i + count]
-    total = mixed(total)
-    wide = min(window, count)
-    least = np.lib.stride_tricks.sliding_window_view(total, wide).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
+    total = run_hashes(h, k)
+    least = first_least(total, min(window, count))
+    at = least[np.concatenate([[True], least[1:] != least[:-1]])]
     values = total[at]
     if len(np.unique(values)) < len(values):
         last, keep = {}, np.ones(len(at), bool)
@@ -42,14 +67,41 @@ def seeds_of(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray
     return at, values
 
 
+def seeds_of_all(texts: list[np.ndarray], k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of texts, places and hashes of what `seeds_of` gives for each, from the texts laid end to end."""
+    size = np.array([len(h) for h in texts])
+    begin, whole = np.cumsum(size) - size, np.concatenate(texts)
+    text = np.repeat(np.arange(len(texts)), size)
+    total = run_hashes(whole, k)
+    alone = (size >= k) & (size < k + window - 1)
+    row, at, value = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u8")
+    if len(total) >= window:
+        least = first_least(total, window)
+        inside = text[:len(least)] == text[window + k - 2:]
+        least = least[inside]
+        at = least[np.concatenate([[True], least[1:] != least[:-1]])] if len(least) else least
+        row, value = text[at], total[at]
+        at = at - begin[row]
+        by = np.lexsort((value, row))
+        again = (row[by][1:] == row[by][:-1]) & (value[by][1:] == value[by][:-1])
+        alone[row[by][1:][again]] = True
+        rest = ~alone[row]
+        row, at, value = row[rest], at[rest], value[rest]
+    own = np.flatnonzero(alone)
+    found = [seeds_of(texts[i], k, window) for i in own.tolist()]
+    return (
+        np.concatenate([row, np.repeat(own, [len(f[0]) for f in found])]) if found else row,
+        np.concatenate([at, *[f[0] for f in found]]), np.concatenate([value, *[f[1] for f in found]]),
+    )
+
+
 def all_seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                found = [seeds_of(h, k, window) for h in word_hashes(part.column("__text"))]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                at, value = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                row, at, value = seeds_of_all(list(word_hashes(part.column("__text"))), k, window)
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view("i8")), part.column("__doc").take(row), part.column("__rid").take(row),
                      pa.array(at.astype("i4"))], names=["seed", "doc", "rid", "pos"],
@@ -59,22 +111,61 @@ def all_seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     return docs.select("__doc", "__rid", "__text").mapInArrow(run, f"seed long, doc {kind}, rid long, pos int")
 
 
-def anchors(seeds: DataFrame) -> DataFrame:
+def repeated_in_order(batches: Iterator[pa.RecordBatch], keys: list[str], sort: bool) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by the first key, sorted by all, in batches of whole runs of the first key.
+
+    Runs of one row are left out, but for the first and the last run. Without `sort`, rows are sorted by all keys before.
+    """
+    held: list[pa.RecordBatch] = []  # rows of the open run
+    started = False
+
+    def ready(rows: list[pa.RecordBatch], last: bool) -> pa.RecordBatch:
+        nonlocal started
+        out = pa.concat_batches(rows)
+        seed = out.column(keys[0]).to_numpy()
+        same = seed[1:] == seed[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | last
+        if not started:
+            keep |= seed == seed[0]
+        started = True
+        out = out.filter(pa.array(keep))
+        if not sort:
+            return out
+        return out.take(pc.sort_indices(out, [(k, "ascending") for k in keys], null_placement="at_start"))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        seed = batch.column(keys[0]).to_numpy()
+        cut = int(np.searchsorted(seed, seed[-1]))
+        if held and (cut or seed[0] != held[0].column(keys[0])[0].as_py()):
+            yield ready([*held, batch.slice(0, cut)], False)
+            held = []
+        elif cut:
+            yield ready([batch.slice(0, cut)], False)
+        held.append(batch.slice(cut))
+    if held:
+        yield ready(held, True)
+
+
+def anchors(seeds: DataFrame, lasts: bool = True) -> DataFrame:
     """Each place of a seed joined to the seed's first place: `rid`, `pos`, `src_rid`, `src_pos`; and to the place just
-    before it, `last_rid` and `last_pos` (NULL for the first row of a range, which has the one of another range).
+    before it, with `lasts`, `last_rid` and `last_pos` (NULL for the first row of a range, which has the one of another).
 
-    Seeds are sorted by ranges of hash, document and place, so the first place of a seed is the first row of its
-    run, and a seed of any count is split over ranges. The first rows of the runs at a range's ends are boundary
-    records: a second, small step replaces the first place of such a part by the first of all.
+    Seeds are written, then sorted by ranges of hash, document and place, so the first place of a seed is the first row
+    of its run, and a seed of any count is split over ranges. Within a range Spark sorts by the hash, one number, and
+    rows of one hash are sorted here. The first rows of the runs at a range's ends are boundary records: a second, small
+    step replaces the first place of such a part by the first of all. Only they keep the hash and the document.
     """
     keys = ["seed", "doc", "rid", "pos"]
     names = [*keys, "src_rid", "src_pos", "last_rid", "last_pos", "edge"]
     kind = seeds.schema["doc"].dataType.simpleString()
+    here = kind in _ORDERED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, row, started = None, None, False  # of the open run: seed, rid and pos of its first row
         last = None  # rid and pos of the row before
-        for batch in batches:
+        for batch in repeated_in_order(batches, keys, here):
             if not batch.num_rows:
                 continue
             seed, rid, pos = (batch.column(c).to_numpy() for c in ("seed", "rid", "pos"))
@@ -89,19 +180,26 @@ def anchors(seeds: DataFrame) -> DataFrame:
             last_rid = np.concatenate([[last[0] if last else 0], rid[:-1]])
             last_pos = np.concatenate([[last[1] if last else 0], pos[:-1]]).astype("i4")
             last = int(rid[-1]), int(pos[-1])
-            out = pa.RecordBatch.from_arrays(
+            whole = pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keys], pa.array(src_rid), pa.array(src_pos),
                  pa.array(last_rid, mask=~known), pa.array(last_pos, mask=~known), pa.array(edge)], names=names
             )
             if at[-1] >= 0:
                 open_at = int(at[-1])
-                first, row = (int(seed[open_at]), int(rid[open_at]), int(pos[open_at])), out.slice(open_at, 1)
-            yield out.filter(pa.array(~opens | edge))
+                first, row = (int(seed[open_at]), int(rid[open_at]), int(pos[open_at])), whole.slice(open_at, 1)
+            out = whole.filter(pa.array(~opens | edge))
+            for i, c in enumerate(keys[:2]):  # only boundary records need them
+                column = out.column(c)
+                out = out.set_column(i, c, pc.if_else(out.column("edge"), column, pa.scalar(None, column.type)))
+            yield out
         if row is not None:
             yield row.set_column(len(names) - 1, "edge", pa.array([True]))
 
     schema = f"seed long, doc {kind}, rid long, pos int, src_rid long, src_pos int, last_rid long, last_pos int, edge boolean"
-    found = written(seeds.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "anchors")
+    seeds = written(seeds, "seeds")
+    dealt = seeds.repartitionByRange(*keys).sortWithinPartitions(*(keys[:1] if here else keys))
+    found = written(dealt.mapInArrow(run, schema).select(*[n for n in names if lasts or not n.startswith("last_")]), "anchors")
+    dropped(seeds)
     # At most two rows per range.
     edges = found.filter("edge").select(*keys).distinct()
     heads = edges.groupBy("seed").agg(F.min(F.struct("doc", "rid", "pos")).alias("f"))
@@ -112,7 +210,7 @@ def anchors(seeds: DataFrame) -> DataFrame:
     linked = found.join(F.broadcast(moved), ["src_rid", "src_pos"], "left")
     return linked.select(
         "rid", "pos", F.coalesce("head_rid", "src_rid").alias("src_rid"), F.coalesce("head_pos", "src_pos").alias("src_pos"),
-        "last_rid", "last_pos",
+        *(["last_rid", "last_pos"] if lasts else []),
     ).filter("rid <> src_rid or pos <> src_pos")
 
 
@@ -213,7 +311,12 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFrame
             once = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])  # boundary records may come twice
             x, y = x[once], y[once]
             x, y = x.astype("i8"), y.astype("i8")
-            for chain in followed(chains_of(x, y, k, gap_cost, max_gap), x, y, max_gap):
+            dx, dy = np.diff(x), np.diff(y)
+            if (dx > 0).all() and (dy > 0).all():  # what gap costs part is put together again, but for wide gaps
+                found = np.split(np.arange(len(x)), np.flatnonzero((dx > max_gap) | (dy > max_gap)) + 1)
+            else:
+                found = followed(chains_of(x, y, k, gap_cost, max_gap), x, y, max_gap)
+            for chain in found:
                 cx, cy = x[chain], y[chain]
                 if rid != src or cy[-1] + k <= cx[0]:
                     out.append((int(rid), int(src), cx, cy))
@@ -237,15 +340,19 @@ def chains(found: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFrame
 
 def matched(a: np.ndarray, b: np.ndarray) -> int:
     """Words of the longest common subsequence of two short runs."""
-    if not len(a) or not len(b):
-        return 0
-    if len(a) == len(b) and (a == b).all():
+    a, b = list(a), list(b)
+    if a == b:
         return len(a)
-    best = np.zeros(len(b) + 1, "i4")
+    places: dict = {}
+    for i, word in enumerate(b):
+        places[word] = places.get(word, 0) | 1 << i
+    # One bit per word of b; a bit that is off is a place where the subsequence's length rises.
+    full = (1 << len(b)) - 1
+    rises = full
     for word in a:
-        step = np.where(b == word, best[:-1] + 1, 0)
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], step))
-    return int(best[-1])
+        met = rises & places.get(word, 0)
+        rises = (rises + met | rises - met) & full
+    return len(b) - rises.bit_count()
 
 
 def aligned(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> tuple[int, int, int, int, int]:
@@ -253,11 +360,18 @@ def aligned(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, k: int)
 
     Anchors are extended by equal words at the chain's ends; what lies between two anchors is matched word by word.
     """
-    left = 0
-    while x[0] - left > 0 and y[0] - left > 0 and a[x[0] - left - 1] == b[y[0] - left - 1]:
-        left += 1
-    px, py, total = x[0] - left, y[0] - left, 0
+    room = min(x[0], y[0])
+    other = np.flatnonzero(a[x[0] - room:x[0]] != b[y[0] - room:y[0]])
+    left = room - 1 - int(other[-1]) if len(other) else int(room)
+    px, py, total = int(x[0]) - left, int(y[0]) - left, 0
     begin = px, py
+    ex, ey = int(x[-1]) + k, int(y[-1]) + k
+    if ex - px == ey - py and (x - y == px - py).all() and (a[px:ex] == b[py:ey]).all():
+        room = min(len(a) - ex, len(b) - ey)
+        other = np.flatnonzero(a[ex:ex + room] != b[ey:ey + room])
+        right = int(other[0]) if len(other) else room
+        return px, ex + right, py, ey + right, ex + right - px
+    a, b = a.tolist(), b.tolist()
     for ax, ay in zip(x.tolist(), y.tolist()):
         if ax >= px and ay >= py:
             total += matched(a[px:ax], b[py:ay]) + k
@@ -282,7 +396,8 @@ def stretches(
     if whole[4] >= identity * max(whole[1] - whole[0], whole[3] - whole[2]):
         return [whole]
     count = len(x)
-    step, left, right = np.zeros(count, "i8"), np.zeros(count, "i8"), np.zeros(count, "i8")
+    step, left, right = [0] * count, [0] * count, [0] * count
+    xs, ys, a, b, x, y = x, y, a.tolist(), b.tolist(), x.tolist(), y.tolist()
     for i in range(count):
         px, py = (x[i - 1] + k, y[i - 1] + k) if i else (0, 0)
         if i:
@@ -302,6 +417,7 @@ def stretches(
             right[i] += 1
         if straight and right[i] >= room:  # equal all the way to the anchor after
             right[i] = right[i + 1] + x[i + 1] - x[i]
+    left, right, x, y = np.array(left, "i8"), np.array(right, "i8"), xs, ys
     total = np.cumsum(step)
     n0, x0, y0 = total - left, x - left, y - left
     n1, x1, y1 = total + k + right, x + k + right, y + k + right
@@ -346,7 +462,7 @@ def wanted_blocks(chained: DataFrame, k: int) -> DataFrame:
 
 
 def block_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`rid`, `block` and `words` of the wanted blocks, cut from their texts."""
+    """`rid`, `block` and `words` (four bytes each) of the wanted blocks, cut from their texts."""
     rids = written(wanted.select("rid", "block").distinct(), "wanted").groupBy("rid").agg(
         F.sort_array(F.collect_list("block")).alias("blocks")
     )
@@ -359,16 +475,25 @@ def block_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for rid, h, blocks in zip(part.column("rid").to_pylist(), word_hashes(part.column("__text")),
                                           part.column("blocks").to_pylist()):
                     h = (h & np.uint64(0xFFFFFFFF)).astype("u4").view("i4")
-                    out += [(rid, b, h[b * BLOCK:(b + 1) * BLOCK]) for b in blocks if b * BLOCK < len(h)]
+                    out += [(rid, b, h[b * BLOCK:(b + 1) * BLOCK].tobytes()) for b in blocks if b * BLOCK < len(h)]
                 if out:
                     rid, block, words = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rid, pa.int64()), pa.array(block, pa.int64()), pa.array(words, pa.list_(pa.int32()))],
+                        [pa.array(rid, pa.int64()), pa.array(block, pa.int64()), pa.array(words, pa.binary())],
                         names=["rid", "block", "words"],
                     )
 
-    texts = docs.select(F.col("__rid").alias("rid"), "__text").join(rids, "rid")
-    return written(texts.mapInArrow(run, "rid long, block long, words array<int>"), "blocks")
+    texts = docs.select(F.col("__rid").alias("rid"), "__text").join(rids.hint("merge"), "rid")
+    return written(texts.mapInArrow(run, "rid long, block long, words binary"), "blocks")
+
+
+def flat(column: pa.Array) -> tuple:
+    """The values of a list or of a binary column (as 32-bit integers) laid end to end, and where each row's begin and end."""
+    offsets = np.frombuffer(column.buffers()[1], "i4")[column.offset:column.offset + len(column) + 1]
+    if not pa.types.is_binary(column.type):
+        return column.values, offsets
+    data = column.buffers()[2]
+    return np.frombuffer(data, "i4", len(data) // 4) if data is not None else np.empty(0, "i4"), offsets // 4
 
 
 def passages(chained: DataFrame, words: DataFrame, wanted: DataFrame, k: int, min_words: int, identity: float) -> DataFrame:
@@ -382,17 +507,20 @@ def passages(chained: DataFrame, words: DataFrame, wanted: DataFrame, k: int, mi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                for rid, src, x, y, parts in zip(*[part.column(c).to_pylist() for c in ("rid", "src_rid", "x", "y", "parts")]):
-                    sides, low = [], []
-                    for side in (0, 1):
-                        own = [p for p in parts if p["side"] == side]
-                        low.append(own[0]["block"] * BLOCK)
-                        sides.append(np.concatenate([np.array(p["words"], "i4") for p in own]))
-                    fit = stretches(np.array(x) - low[0], np.array(y) - low[1], *sides, k, min_words, identity)
-                    for b, e, sb, se, n in fit:
-                        out.append((rid, src, b + low[0], e + low[0], sb + low[1], se + low[1], n))
+            (x, cuts), (y, _), (parts, upto) = (flat(batch.column(c)) for c in ("x", "y", "parts"))
+            x, y = (v.to_numpy().astype("i8") for v in (x, y))
+            side, block = (parts.field(c).to_numpy() for c in ("side", "block"))
+            words, begins = flat(parts.field("words"))
+            sides = np.concatenate([[0], np.cumsum(side)])
+            rids, sources = (batch.column(c).to_pylist() for c in ("rid", "src_rid"))
+            for i, (rid, src) in enumerate(zip(rids, sources)):
+                lo, hi = upto[i], upto[i + 1]
+                mid = hi - (sides[hi] - sides[lo])
+                low = int(block[lo]) * BLOCK, int(block[mid]) * BLOCK
+                a, b = words[begins[lo]:begins[mid]], words[begins[mid]:begins[hi]]
+                cx, cy = x[cuts[i]:cuts[i + 1]] - low[0], y[cuts[i]:cuts[i + 1]] - low[1]
+                for b0, e0, b1, e1, n in stretches(cx, cy, a, b, k, min_words, identity):
+                    out.append((rid, src, b0 + low[0], e0 + low[0], b1 + low[1], e1 + low[1], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in map(list, zip(*out))], names=names)
 
@@ -457,10 +585,7 @@ def run_seeds(docs: DataFrame, wide: DataFrame, min_words: int) -> DataFrame:
                                         part.column("high").to_pylist()):
                     ends = [max(h_ - min_words + 1, l) for l, h_ in zip(low, np.minimum(high, len(h)))]
                     at.append(np.unique(np.concatenate([np.arange(l, e) for l, e in zip(low, ends)])))
-                    total = np.zeros(max(len(h) - min_words + 1, 0), "u8")
-                    for i in range(min_words):
-                        total = total * np.uint64(0x9E3779B97F4A7C15) + h[i:i + len(total)]
-                    value.append(mixed(total)[at[-1]])
+                    value.append(run_hashes(h, min_words)[at[-1]])
                 row = pa.array(np.repeat(np.arange(len(at)), [len(a) for a in at]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(value).view("i8")), part.column("__doc").take(row),
@@ -469,7 +594,7 @@ def run_seeds(docs: DataFrame, wide: DataFrame, min_words: int) -> DataFrame:
                 )
 
     kind = docs.schema["__doc"].dataType.simpleString()
-    near = docs.select("__doc", "__rid", "__text").join(wide.withColumnRenamed("rid", "__rid"), "__rid")
+    near = docs.select("__doc", "__rid", "__text").join(wide.withColumnRenamed("rid", "__rid").hint("merge"), "__rid")
     return near.select("__doc", "__rid", "__text", "low", "high").mapInArrow(
         run, f"seed long, doc {kind}, rid long, pos int"
     )
@@ -480,22 +605,35 @@ def exact_passages(found: DataFrame, min_words: int) -> DataFrame:
     names = ["rid", "src_rid", "begin", "end", "src_begin", "src_end", "n_matched"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (rid, src), (x, y) in runs_of(batches, ["rid", "src_rid"], ["pos", "src_pos"]):
-            x, y = x.astype("i8"), y.astype("i8")
-            if rid == src:
-                apart = x >= y + min_words
-                x, y = x[apart], y[apart]
-            if not len(x):
+        held: list[np.ndarray] = []  # rows of the last document so far
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            by = np.lexsort((x, x - y))  # along diagonals
-            x, y = x[by], y[by]
-            cuts = np.flatnonzero((np.diff(x - y) != 0) | (np.diff(x) > 1)) + 1
-            first, last = np.concatenate([[0], cuts]), np.concatenate([cuts - 1, [len(x) - 1]])
-            size = x[last] - x[first] + min_words
-            columns = [np.full(len(first), rid), np.full(len(first), src), x[first], x[first] + size, y[first], y[first] + size, size]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-    dealt = found.select("rid", "src_rid", "pos", "src_pos").repartition("rid", "src_rid").sortWithinPartitions("rid", "src_rid", "pos", "src_pos")
+            rows = np.stack([batch.column(c).to_numpy() for c in ("rid", "src_rid", "shift", "pos")])
+            cut = int(np.searchsorted(rows[0], rows[0, -1]))
+            if held and (cut or rows[0, 0] != held[0][0, 0]):
+                yield batch_of(np.concatenate([*held, rows[:, :cut]], axis=1))
+                held = []
+            elif cut:
+                yield batch_of(rows[:, :cut])
+            held.append(rows[:, cut:])
+        if held:
+            yield batch_of(np.concatenate(held, axis=1))
+
+    def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[:, np.lexsort(rows[::-1])]
+        cut = (np.diff(rows[:3]) != 0).any(axis=0) | (np.diff(rows[3]) > 1)
+        first = np.flatnonzero(np.concatenate([[True], cut]))
+        last = np.concatenate([first[1:] - 1, [rows.shape[1] - 1]])
+        rid, src, shift, low = rows[:, first]
+        end = rows[3, last] + min_words
+        columns = [rid, src, low, end, low - shift, end - shift, end - low]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    apart = F.col("shift") >= min_words
+    shifted = found.select("rid", "src_rid", (F.col("pos").cast("long") - F.col("src_pos")).alias("shift"), F.col("pos").cast("long"))
+    near = shifted.filter((F.col("rid") != F.col("src_rid")) | apart)
+    dealt = near.repartition("rid", "src_rid").sortWithinPartitions("rid")  # by one number, which Spark does without comparing rows
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
@@ -540,7 +678,7 @@ def repeated_passages(
     slim = written(slim, "texts")
     found = anchors(all_seeds(slim, k, window))
     wide = written(regions(found, window, k, min_words), "regions")
-    exact = exact_passages(anchors(run_seeds(slim, wide, min_words)), min_words)
+    exact = exact_passages(anchors(run_seeds(slim, wide, min_words), lasts=False), min_words)
 
     def aligned_passages(joined: DataFrame, label: str) -> DataFrame:
         chained = written(

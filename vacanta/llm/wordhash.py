@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed together; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _random = np.random.Generator(np.random.Philox(20240229))
 # One random number per byte value, with A to Z as a to z, and one odd number per place in a word.
 _BYTE = _random.integers(0, 1 << 64, 256, dtype="u8")

@@ -55,6 +55,13 @@ def test_parse_outcomes(spark, text, reason):
     assert row.reject_reason == reason
 
 
+def test_text_after_a_document_cannot_take_its_place(spark):
+    first = '{"source_url":"a"}'
+    texts = [first + '],"x":[1', first + "]} x", first + " \n", first + ",", f"{{\"x\":[{first}]}}"]
+    got = [(r.reject_reason, r.posting.source_url) for r in parsed(spark, *texts).collect()]
+    assert got == [(None, "a"), (None, "a"), (None, "a"), ("not a single JSON object", "a"), (None, "")]
+
+
 def test_missing_values_become_zero_values(spark):
     (row,) = documents.accepted(parsed(spark, "{}")).collect()
     assert row.posting.metadata.job_title == "" and row.posting.requirements.years_experience_min == 0

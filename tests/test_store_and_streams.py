@@ -205,6 +205,40 @@ def test_nothing_is_lost_on_the_way_in(spark, tmp_path):
     assert store.jobs().count() == 1
 
 
+def test_postings_between_first_and_last_are_left_out_early(spark, tmp_path, monkeypatch):
+    from vacanta.sources import store as module
+
+    seen = []
+
+    def explode_skills(df, *args, **kwargs):
+        seen.append(df.select("_of").collect())
+        return documents.explode_skills(df, *args, **kwargs)
+
+    monkeypatch.setattr(module, "explode_skills", explode_skills)
+    store = JobStore(spark, str(tmp_path / "s"))
+    ingest(spark, [(n, doc("a", f"A{n}", f"s{n}")) for n in range(1, 1001)] + [(0, doc("b", "B", "y"))], store)
+    assert {0, 1, 1000} <= {r._of for r in seen[0]} and len(seen[0]) < 200
+    assert content(store) == ([("a", "A1000", "saved", ""), ("b", "B", "saved", "")], [("a", "s1000"), ("b", "y")])
+    # Of a deleted job the first posting that counts is the first one above the number it was deleted with.
+    ids = {r.source_url: r.id for r in store.jobs().collect()}
+    store.apply_changes(spark.createDataFrame([(ids["a"], 1, "delete", None, None, None)], CHANGE_SCHEMA), NOW)
+    sent = [(n, {**doc("a", f"N{n}", f"n{n}"), "extracted_at": f"at {n}"}) for n in range(900, 1100)]
+    ingest(spark, sent, store)
+    row = store.find(ids["a"]).first()
+    assert (row.extracted_at_raw, row.job_title) == ("at 1001", "N1099")
+    assert content(store)[1] == [("a", "n1099"), ("b", "y")]
+
+
+def test_marked_rows(spark):
+    from vacanta.sources.bitmap import marked
+
+    rows = spark.createDataFrame([(i, None if i % 100 == 0 else f"k{i % 500}") for i in range(20_000)], "n long, k string")
+    keys = rows.filter("n % 7 = 0 and n < 5000").select("n", "k")
+    got = {r.n for r in marked(rows, keys, ["n", "k"], 20_000).collect()}
+    assert {r.n for r in keys.collect()} <= got and len(got) < 2_000
+    assert marked(rows, keys, ["n", "k"], 20_000).columns == ["n", "k"] and marked(rows, keys.limit(0), ["n", "k"], 0).count() == 0
+
+
 def test_ingest_stream_equals_batch_and_skips_replays(spark, tmp_path):
     store = JobStore(spark, str(tmp_path / "s"))
     refused = []

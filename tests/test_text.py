@@ -22,6 +22,20 @@ def test_strip_fences(values):
     assert values(text.strip_fences, cases) == ["{}", "{}", "{}", "{}", "JSON\n{}", "```json{}"]
 
 
+def test_strip_fences_like_three_replacements(values):
+    import itertools
+    import re
+
+    cases = ["".join(x) for n in range(5) for x in itertools.product(["```", "```json", "`", " ", "\u2003\n", "é{}"], repeat=n)]
+
+    def want(response):
+        space = text.DECODER_SPACE_CHARS
+        body = re.sub(r"\A```json", "", response.strip(space))
+        return re.sub(r"```\Z", "", re.sub(r"\A```", "", body)).strip(space)
+
+    assert values(text.strip_fences, [*cases, None]) == [*map(want, cases), None]
+
+
 def test_extract_url(values):
     cases = ["a\nURL: https://x/1 \nURL: other", "CURL:b", "nothing", "URL:\nnext", "URL: c\r\n"]
     assert values(text.extract_url, cases) == ["https://x/1", "b", "", "", "c"]

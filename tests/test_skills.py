@@ -73,6 +73,33 @@ def test_only_a_large_dictionary_makes_runs_shuffle(spark, monkeypatch, most):
         assert plan.count("Exchange hashpartitioning(_id") == 1 and "Exchange hashpartitioning(_id#" in plan
 
 
+def test_terms_of_a_large_dictionary_go_to_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(skills, "BROADCAST_TERMS", 0)
+    rng = random.Random(5)
+    vocabulary = ["go", "Go", "C++", ".net", "...", "node.js", "SQL", "ΟΔΟΣ", "οδος", "İx", "x1", "of"]
+    terms = [
+        (" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8))), f"n{rng.randint(0, 40)}", rng.choice(SKILL_FIELDS), rng.random() < 0.4)
+        for _ in range(200)
+    ] + [("...", "dots", "other", False), ("Go", None, "other", True), ("SQL", None, None, False)]
+    texts = [(i % 60, " ".join(rng.choice(vocabulary) + rng.choice(["", ",", " 4", "."]) for _ in range(rng.randint(0, 60)))) for i in range(90)]
+    texts += [(100, None), (101, ""), (102, "..."), (103, "4"), (None, "Go SQL"), (None, "go")]
+    df, known = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(terms, TERMS)
+    out = skills.match_terms(df, known, parts=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Words, runs and what is found are not shuffled, neither by term nor by text.
+    assert "Exchange hashpartitioning(first" not in plan and "Exchange hashpartitioning(_id" not in plan
+    got = found(out)
+    monkeypatch.setattr(skills, "BROADCAST_TERMS", 1000)
+    near = skills.match_terms(df, known, parts=5)
+    assert got == found(near) and out.dtypes == near.dtypes and len(got) > 500 and (102, "dots", "other") in got
+
+
+def test_a_partition_for_each_task(spark):
+    rows = spark.range(2000).withColumn("task", skills._task(spark, F.col("id"), 13))
+    by_part = rows.repartition(13, "task").groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("task").alias("n")).collect()
+    assert [r.n for r in by_part] == [1] * 13
+
+
 def test_large_dictionary_is_no_product(spark):
     terms = spark.range(100_000).selectExpr("'term' || id || ' of ' || (id % 7) || 'x' as term", "'t' || id as name", "'other' as category", "false as exact")
     texts = spark.createDataFrame([(1, "a term5 of term99999 of x"), (2, "Term7")], "doc_id long, text string")
